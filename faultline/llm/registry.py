@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import embeddings, packing, pii, quality, secrets, simhash, substring, warc
+from faultline.llm import decontaminate, embeddings, packing, pii, quality, secrets, simhash, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,35 @@ FROM f
 """
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+i AS (SELECT DISTINCT item, least(10, len(w)) AS k, w[s:s + least(10, len(w)) - 1] AS g FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) t(s) WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM i),
+x AS (SELECT doc_id, s, k, w[s:s + k - 1] AS g FROM d, ks, unnest(range(1, len(w) - k + 2)) t(s)),
+h AS (SELECT doc_id, s, k, item FROM x JOIN i USING (k, g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM h, unnest(range(s, s + k)) t(p) GROUP BY 1),
+m AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(m.items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.without_repeats(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -76,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": op3_secret_scan,
         "op5_packing": op5_packing,
         "op6_warc": op6_warc,
+        "op7_decontamination": op7_decontamination,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_pii": op9_pii,
         "op10_quality": op10_quality,
@@ -85,4 +115,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_warc": OP6_SQL,
+        "op7_decontamination": OP7_SQL,
     }
