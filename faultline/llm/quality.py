@@ -192,3 +192,27 @@ def scores(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["id", "score"])
 
     return rows.mapInArrow(run, "id long, score double").select("id", held_out(F.col("id")).alias("held_out"), "score")
+
+
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs whose score is 0.5 or more, in one pass over their texts.
+
+    The model is fitted on at most `sample` labelled ids that are not held out, those that hash lowest. With too
+    few labels of either class every row stays.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
+    known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("id")), "id", "left_semi")
+    train = features(rows, "id", "text").join(F.broadcast(known), "id").dropDuplicates(["id"]).orderBy("id").collect()
+    model = fit(np.array([r.x for r in train]), np.array([r.y for r in train])) if train else None
+    if model is None:
+        return docs
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array([statistics(t.as_buffer().to_pybytes() if t.is_valid and len(t.as_buffer() or b"") else b"") for t in batch.column(place)])
+                yield batch.filter(pa.array(model.score(x) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, embeddings, packing, pii, quality, secrets, simhash, substring, warc
+from faultline.llm import decontaminate, embeddings, lines, packing, pii, quality, secrets, simhash, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -103,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op3_secret_scan": op3_secret_scan,
+        "op4_line_dedup": op4_line_dedup,
         "op5_packing": op5_packing,
         "op6_warc": op6_warc,
         "op7_decontamination": op7_decontamination,
