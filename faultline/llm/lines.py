@@ -20,7 +20,7 @@ from faultline.llm.common import Workspace
 EDITS = 2
 LEAST_CHARS = 20
 BROADCAST_IDS = 200_000
-SKETCH = "etaonirs"
+SKETCH = "etaonirshldcumpg"
 
 
 def let(value: Column, use) -> Column:
@@ -57,14 +57,15 @@ def sought(line: Column, n: Column, edits: int) -> Column:
 
 
 def sketch(line: Column) -> Column:
-    """Counts of eight letters, a byte each; an edit changes their sum of differences by two at most."""
-    count = lambda c: F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(127)).cast("long")
-    return reduce(add, (F.shiftleft(count(c), 8 * k) for k, c in enumerate(SKETCH)))
+    """Counts of sixteen letters modulo 16, four bits each; an edit moves two of them by one at most."""
+    count = lambda c: (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(15).cast("long")
+    return reduce(add, (F.shiftleft(count(c), 4 * k) for k, c in enumerate(SKETCH)))
 
 
 def apart(a: Column, b: Column) -> Column:
-    byte = lambda x, k: F.shiftright(x, 8 * k).bitwiseAND(127)
-    return reduce(add, (F.abs(byte(a, k) - byte(b, k)) for k in range(len(SKETCH))))
+    """The least number of letters that two sketches differ by, going round the 16."""
+    gap = lambda k: (F.shiftright(a, 4 * k) - F.shiftright(b, 4 * k)).bitwiseAND(15)
+    return reduce(add, (F.least(gap(k), 16 - gap(k)) for k in range(len(SKETCH))))
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -100,9 +101,13 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 def candidates(distinct: DataFrame, edits: int) -> DataFrame:
     """(a, b): hashes of distinct lines that share a segment and may be within `edits` edits, a < b."""
-    n = F.length("line").alias("n")
-    own = distinct.select(F.xxhash64("line").alias("x"), sketch(F.col("line")).alias("xs"), F.explode(filed(F.col("line"), n, edits)).alias("key"))
-    look = distinct.select(F.xxhash64("line").alias("y"), sketch(F.col("line")).alias("ys"), F.explode(sought(F.col("line"), n, edits)).alias("key"))
+    # hash and sketch go into the exploded array: beside it they would be computed again for each of its rows
+    line, n = F.col("line"), F.length("line")
+    once = F.struct(F.xxhash64(line).alias("h"), sketch(line).alias("s"))
+    spread = lambda keys, h, s: distinct.select(
+        F.explode(let(once, lambda o: F.transform(keys, lambda k: F.struct(k.alias("key"), o["h"].alias(h), o["s"].alias(s))))).alias("f")
+    ).select("f.*")
+    own, look = spread(filed(line, n, edits), "x", "xs"), spread(sought(line, n, edits), "y", "ys")
     maybe = (own["key"] == look["key"]) & (F.col("x") != F.col("y")) & (apart(F.col("xs"), F.col("ys")) <= 2 * edits)
     met = own.join(look, maybe).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return met.distinct()
