@@ -59,12 +59,13 @@ def sought(line: Column, n: Column, edits: int) -> Column:
 def sketch(line: Column) -> Column:
     """Counts of sixteen letters modulo 16, four bits each; an edit moves two of them by one at most."""
     count = lambda c: (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(15).cast("long")
-    return reduce(add, (F.shiftleft(count(c), 4 * k) for k, c in enumerate(SKETCH)))
+    return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(count(c), 4 * k) for k, c in enumerate(SKETCH)))
 
 
 def apart(a: Column, b: Column) -> Column:
     """The least number of letters that two sketches differ by, going round the 16."""
-    gap = lambda k: (F.shiftright(a, 4 * k) - F.shiftright(b, 4 * k)).bitwiseAND(15)
+    part = lambda x, k: F.shiftright(x, 4 * k).bitwiseAND(15).cast("int")
+    gap = lambda k: F.abs(part(a, k) - part(b, k))
     return reduce(add, (F.least(gap(k), 16 - gap(k)) for k in range(len(SKETCH))))
 
 
