@@ -20,7 +20,7 @@ from faultline.llm.common import Workspace
 EDITS = 2
 LEAST_CHARS = 20
 BROADCAST_IDS = 200_000
-SKETCH = "etaonirshldcumpg"
+SKETCH = "etaonirshldcum"
 
 
 def let(value: Column, use) -> Column:
@@ -40,26 +40,38 @@ def segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def filed(line: Column, n: Column, edits: int) -> Column:
+def part(wide: Column, start: Column, size: Column) -> Column:
+    """size characters from start of a line in four-byte characters, where every place is found at once."""
+    return F.substring(wide, start * 4 - 3, size * 4)
+
+
+def filed(wide: Column, n: Column, edits: int) -> list[Column]:
     """Keys of a line's own segments."""
-    return F.array(*(F.xxhash64(n, F.lit(i), F.substring(line, start, size)) for i, (start, size) in enumerate(segments(n, edits))))
+    return [F.xxhash64(n, F.lit(i), part(wide, start, size)) for i, (start, size) in enumerate(segments(n, edits))]
 
 
-def sought(line: Column, n: Column, edits: int) -> Column:
+def sought(wide: Column, n: Column, edits: int) -> list[Column]:
     """Keys of all substrings that a segment of a line of n - edits to n characters could have become."""
     keys = []
     for less in range(edits + 1):
         for i, (start, size) in enumerate(segments(n - less, edits)):
             # i edits at most before segment i, edits - i at most after it
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                keys.append(F.xxhash64(n - less, F.lit(i), F.substring(line, start + shift, size)))
-    return F.array(*keys)
+                keys.append(F.xxhash64(n - less, F.lit(i), part(wide, start + shift, size)))
+    return keys
 
 
 def sketch(line: Column) -> Column:
-    """Counts of sixteen letters modulo 16, four bits each; an edit moves two of them by one at most."""
-    count = lambda c: (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(15).cast("long")
-    return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(count(c), 4 * k) for k, c in enumerate(SKETCH)))
+    """Counts of fourteen letters modulo 16, four bits each; an edit moves two of them by one at most.
+
+    Each letter is counted by what its removal takes from a line without the letters before it.
+    """
+    bits, rest = [], line
+    for k, c in enumerate(SKETCH):
+        less = F.replace(rest, F.lit(c), F.lit(""))
+        bits.append(F.shiftleft((F.octet_length(rest) - F.octet_length(less)).bitwiseAND(15).cast("long"), 4 * k))
+        rest = less
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
 def apart(a: Column, b: Column) -> Column:
@@ -100,15 +112,20 @@ def within(a: Column, b: Column, edits: int) -> Column:
     )
 
 
-def candidates(distinct: DataFrame, edits: int) -> DataFrame:
+def keyed_lines(lines: DataFrame, edits: int) -> DataFrame:
+    """(h, s, keys): hash, sketch and keys of each distinct line; first its own keys, then the sought ones."""
+    wide, n = F.col("wide"), F.col("n")
+    rows = lines.select("line", F.encode("line", "UTF-32").alias("wide"))
+    rows = rows.select(F.xxhash64("line").alias("h"), sketch(F.col("line")).alias("s"), "wide", (F.octet_length("wide") / 4).cast("int").alias("n"))
+    return rows.select("h", "s", F.array(*filed(wide, n, edits), *sought(wide, n, edits)).alias("keys")).distinct()
+
+
+def candidates(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): hashes of distinct lines that share a segment and may be within `edits` edits, a < b."""
-    # hash and sketch go into the exploded array: beside it they would be computed again for each of its rows
-    line, n = F.col("line"), F.length("line")
-    once = F.struct(F.xxhash64(line).alias("h"), sketch(line).alias("s"))
-    spread = lambda keys, h, s: distinct.select(
-        F.explode(let(once, lambda o: F.transform(keys, lambda k: F.struct(k.alias("key"), o["h"].alias(h), o["s"].alias(s))))).alias("f")
-    ).select("f.*")
-    own, look = spread(filed(line, n, edits), "x", "xs"), spread(sought(line, n, edits), "y", "ys")
+    keyed = keyed_lines(lines, edits)
+    # both sides slice one array, so that they read one and the same exchange
+    own = keyed.select(F.col("h").alias("x"), F.col("s").alias("xs"), F.explode(F.slice("keys", 1, edits + 1)).alias("key"))
+    look = keyed.select(F.col("h").alias("y"), F.col("s").alias("ys"), F.explode(F.slice("keys", edits + 2, F.size("keys"))).alias("key"))
     maybe = (own["key"] == look["key"]) & (F.col("x") != F.col("y")) & (apart(F.col("xs"), F.col("ys")) <= 2 * edits)
     met = own.join(look, maybe).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return met.distinct()
@@ -133,7 +150,7 @@ def hashed(lines: DataFrame) -> DataFrame:
 
 def near_links(lines: DataFrame, work: Workspace, edits: int) -> DataFrame:
     """(h1, h2): lines within `edits` edits of another line that comes first earlier."""
-    pairs = work.table(candidates(lines.select("line").distinct(), edits), "pairs")
+    pairs = work.table(candidates(lines.select("line"), edits), "pairs")
     ids = work.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     if ids.count() <= BROADCAST_IDS:  # 8 bytes each
         ids = F.broadcast(ids)

@@ -75,13 +75,21 @@ def test_within(spark):
 def test_sketches_never_rule_out_a_link(spark):
     rng, rows = random.Random(9), []
     for _ in range(400):
-        a = "".join(rng.choice("gggppmuced") for _ in range(rng.randrange(20, 70)))
+        a = "".join(rng.choice("gggppmuced") for _ in range(rng.randrange(20, 260)))
         rows.append((a, edited(rng, a, 2, "gpx"), "".join(rng.choice("etaonirsz") for _ in range(60))))
     df = spark.createDataFrame(rows, "a string, b string, c string").select(*(lines.sketch(F.col(c)).alias(c) for c in "abc"))
     got = df.select(lines.apart(F.col("a"), F.col("b")).alias("near"), lines.apart(F.col("a"), F.col("c")).alias("far")).collect()
     assert max(r.near for r in got) <= 4 and min(r.far for r in got) > 4
 
 
+def test_long_lines_of_any_letters(spark):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("etaon éж𝄞") for _ in range(rng.randrange(120, 300))) for _ in range(8)]
+    rows = [(d, edited(rng, rng.choice(base), rng.randrange(4), "etaж𝄞")) for d in range(60)]
+    want = brute(rows)
+    assert run(spark, rows) == want and sum(len(r[2]) for r in want) > 20
+
+
 def test_random_lines(spark):
     rng = random.Random(7)
     base = ["".join(rng.choice("etaon é") for _ in range(rng.randrange(18, 45))) for _ in range(25)]
