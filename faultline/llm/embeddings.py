@@ -1,9 +1,12 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, reranking.
 
-A rotation learned on a bounded sample turns vectors into balanced binary codes. Each code is cut into tables of
-about log2(n) bits; vectors that agree in one table of one label meet there, and their cosine is computed from the
-original vectors. A pair counts in the first table where it meets. A bucket with many vectors is dealt to block
-pairs, and a task returns link counts and a spanning forest, never its pairs.
+Labels of few vectors are compared all with all, in blocks. In a larger one each vector gets short codes, one a
+table: first cuts of a rotation learned on a bounded sample (iterative quantisation), then signs of independent
+random directions, so many that a pair at the threshold misses all of those with probability 0.01 at most, whatever
+the data. Codes have about log2(n / BLOCK) bits, n being the label's own size, so a bucket holds about a block, and
+longer codes come with more tables. Vectors that agree in one table of one label meet there, and their cosine is
+computed from the original vectors. A pair counts in the first table where it meets. A bucket with many vectors is
+dealt to block pairs, and a task returns link counts and a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -13,13 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import Workspace, connected_components
 
 SAMPLE = 20_000
 BLOCK = 256
+EXACT = 2_048
+MISS = 0.01
 GROUP_ROWS = 4_000
 
 
@@ -39,11 +44,30 @@ def quantiser(sample: np.ndarray, bits: int, rounds: int = 40, seed: int = 7) ->
     return basis @ rotation
 
 
-def cuts(bits: int, largest: int) -> list[tuple[int, int]]:
-    """(low bit, width) of each table: widths near log2 of the largest label, so buckets stay small as data grow."""
-    tables = max(1, bits // max(8, math.ceil(math.log2(max(2, largest)))))
-    edges = [round(i * bits / tables) for i in range(tables + 1)]
-    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
+def code_width(n: Column) -> Column:
+    """Bits of a label's codes: none where all vectors are compared, else so many that a bucket holds about a block."""
+    return F.when(n > EXACT, F.ceil(F.log2(n / F.lit(float(BLOCK)))).cast("int")).otherwise(F.lit(0))
+
+
+def table_counts(width: int, bits: int, cosine: float) -> tuple[int, int]:
+    """(fitted, random) tables of codes of this width; the random ones alone keep the bound on missed pairs."""
+    if not width:
+        return 0, 0
+    agree = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** width
+    random = 1 if agree == 1 else math.ceil(math.log(MISS) / math.log1p(-agree))
+    return min(bits // width, random), random
+
+
+def codes(unit: np.ndarray, width: int, fitted: np.ndarray | None, cosine: float) -> np.ndarray:
+    """One code of each table, as int32, for each row; rows without tables share one code."""
+    cuts, random = table_counts(width, 0 if fitted is None else fitted.shape[1], cosine)
+    if not random:
+        return np.zeros((len(unit), 1), dtype="<i4")
+    directions = np.random.default_rng((11, unit.shape[1], width)).normal(size=(unit.shape[1], random * width))
+    if cuts:
+        directions = np.concatenate([fitted[:, : cuts * width], directions], axis=1)
+    on = (unit @ directions >= 0).reshape(len(unit), cuts + random, width)
+    return (on @ (1 << np.arange(width))).astype("<i4")
 
 
 def forest(adjacent: np.ndarray) -> np.ndarray:
@@ -58,13 +82,13 @@ def forest(adjacent: np.ndarray) -> np.ndarray:
         root = new
 
 
-def meetings(codes: np.ndarray, lows: list[tuple[int, int]], table: int) -> np.ndarray:
-    """Pairs that agree in no table before this one."""
-    fresh = np.ones((len(codes), len(codes)), dtype=bool)
-    for lo, width in lows[:table]:
-        part = codes >> np.uint64(lo) & np.uint64((1 << width) - 1)
-        fresh &= part[:, None] != part[None, :]
-    return fresh
+def first_meetings(near: np.ndarray, code: np.ndarray, table: int) -> None:
+    """Clears pairs that agree in a table before this one."""
+    if table:
+        i, j = np.nonzero(near)
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            near[a, b] = (code[a, :table] != code[b, :table]).all(1)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", cosine: float = 0.93, sample: int = SAMPLE) -> DataFrame:
@@ -90,31 +114,36 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     width = sizes[0]["size"]
     nodes = nodes.where(F.col("size") == width).drop("size")
-    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0]
-    fitted = np.array([r.v for r in nodes.orderBy("node", "salt").limit(sample).select("v").collect()])
-    fitted /= np.abs(fitted).max(1, keepdims=True)
-    fitted /= np.linalg.norm(fitted, axis=1, keepdims=True)
-    bits = min(64, width)
-    projection = quantiser(fitted, bits)
-    tables = cuts(bits, largest)
+    spaces = nodes.groupBy("label").count().select("label", code_width(F.col("count")).alias("w")).where("w > 0")
+    spaces = work.table(spaces, "spaces")  # at most one in EXACT of the vectors has a row here
+    fitted = None
+    if spaces.limit(1).count():
+        drawn = np.array([r.v for r in nodes.orderBy("node", "salt").limit(sample).select("v").collect()])
+        drawn /= np.abs(drawn).max(1, keepdims=True)
+        drawn /= np.linalg.norm(drawn, axis=1, keepdims=True)
+        fitted = quantiser(drawn, min(64, width))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy().reshape(-1, width)
+            if not len(batch):
+                continue
+            x = batch.column(1).flatten().to_numpy().reshape(-1, width)
             x = x / np.abs(x).max(1, keepdims=True)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            on = (x @ projection >= 0).astype(np.uint8)
-            on = np.pad(on, ((0, 0), (0, 64 - bits)))
-            code = np.packbits(on, axis=1, bitorder="little").view("<u8").ravel() if len(on) else np.zeros(0, np.uint64)
+            bits, code = batch.column(3).to_numpy(), [b""] * len(x)
+            for w in np.unique(bits):
+                at = np.flatnonzero(bits == w)
+                for i, c in zip(at, codes(x[at], int(w), fitted, cosine)):
+                    code[i] = c.tobytes()
+            parts = pa.array([np.frombuffer(c, "<i4") for c in code], pa.list_(pa.int32()))
             unit = [r.tobytes() for r in x.astype("<f8")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(code.view(np.int64), pa.int64()), pa.array(unit, pa.binary()), batch.column(3)], names=["node", "label", "code", "unit", "k"]
+                [batch.column(0), batch.column(2), parts, pa.array(code, pa.binary()), pa.array(unit, pa.binary()), batch.column(4)], names=["node", "label", "parts", "code", "unit", "k"]
             )
 
-    coding = nodes.select("node", "label", "v", "k").mapInArrow(coded, "node long, label string, code long, unit binary, k long")
-    coding = work.table(coding, "codes")
-    cells = F.array(*(F.struct(F.lit(i).alias("t"), F.shiftrightunsigned("code", lo).bitwiseAND((1 << w) - 1).alias("part")) for i, (lo, w) in enumerate(tables)))
-    spread = coding.select("node", "label", "code", "unit", "k", F.explode(cells).alias("cell")).select("*", "cell.*").drop("cell")
+    coding = nodes.join(F.broadcast(spaces), "label", "left").select("node", "v", "label", F.coalesce("w", F.lit(0)).alias("w"), "k")
+    coding = work.table(coding.mapInArrow(coded, "node long, label string, parts array<int>, code binary, unit binary, k long"), "codes")
+    spread = coding.select("node", "label", F.posexplode("parts").alias("t", "part"))
     # how many blocks a bucket needs; only buckets of two or more go on
     counts = spread.groupBy("label", "t", "part").count().where("count > 1")
     counts = counts.withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
@@ -122,24 +151,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     mine = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("bucket", F.xxhash64("label", "t", "part", F.least("mine", "other"), F.greatest("mine", "other")))
-    total = max(1, coding.count() * len(tables) // GROUP_ROWS)
+    met = work.table(met.select("bucket", "t", "mine", "other", "node"), "met")
+    total = max(1, met.count() // GROUP_ROWS)
+    met = met.join(coding.select("node", "code", "unit", "k"), "node")
     met = met.select(F.pmod("bucket", F.lit(total)).alias("deal"), "bucket", "t", "mine", "other", "node", "code", "unit", "k")
     out = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def rerank(table: pa.Table) -> pa.Table:
-        bucket, t, mine, other, node, code, k = (table[c].to_numpy() for c in ("bucket", "t", "mine", "other", "node", "code", "k"))
-        unit = np.frombuffer(b"".join(table["unit"].to_pylist()), "<f8").reshape(-1, width)
+        bucket, t, mine, other, node, k = (table[c].to_numpy() for c in ("bucket", "t", "mine", "other", "node", "k"))
+        units, parts = table["unit"].to_pylist(), table["code"].to_pylist()
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order])) + 1
         found: list[list[np.ndarray]] = [[], [], []]
         for at in np.split(order, edges):
             if len(at) < 2:
                 continue
-            near = unit[at] @ unit[at].T >= cosine
-            near &= meetings(code[at].view(np.uint64), tables, int(t[at[0]]))
+            unit = np.frombuffer(b"".join(units[i] for i in at), "<f8").reshape(len(at), -1)
+            near = unit @ unit.T >= cosine
             if mine[at[0]] != other[at[0]] or (mine[at] != mine[at[0]]).any():
                 near &= mine[at][:, None] != mine[at][None, :]
             np.fill_diagonal(near, False)
+            first_meetings(near, np.frombuffer(b"".join(parts[i] for i in at), "<i4").reshape(len(at), -1), int(t[at[0]]))
             linked = near.any(1)
             if linked.any():
                 root = forest(near)

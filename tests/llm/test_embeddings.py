@@ -73,3 +73,22 @@ def test_query(spark):
     got = registry.op2_embedding_near_dedup(spark, root).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_recall_in_a_large_label(spark):
+    """Planted pairs of cosine 0.93 to 0.96 in a label of 20,000 vectors, beside a small label that is found whole."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(20_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=(1_000, 64))
+    side -= (side * base[:1_000]).sum(1, keepdims=True) * base[:1_000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.96, size=(1_000, 1))
+    near = cosine * base[:1_000] + np.sqrt(1 - cosine**2) * side
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, near]).astype(np.float32))]
+    rows += [(50_000 + i, v, 2) for i, v, _ in rows[:100] + rows[20_000:20_100]]
+    got = run(spark, rows)
+    assert sum(r[1] for r in got if r[0] < 50_000) >= 0.99 * 2_000
+    assert sum(r[1] for r in got if r[0] >= 50_000) == 200
+    assert all(r[1] in (0, 1) for r in got)
+    assert all(r[2] == r[0] - 20_000 for r in got if r[1] and 20_000 <= r[0] < 50_000)
