@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, lines, packing, quality, simhash
+from faultline.llm import decontaminate, lines, packing, quality, shingles
 from faultline.llm.common import Workspace
 
 SHINGLE = 5
+SIMILARITY = 0.8
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +29,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of linked fingerprints over five-word shingles.
+    """The document of smallest id of each component of pairs whose five-word shingles have a Jaccard of 0.8 or more.
 
-    Documents that lost all their lines share a fingerprint, so one of them stays. Of rows that repeat an id one
+    Documents that lost all their lines have one empty set, so one of them stays. Of rows that repeat an id one
     stays; a null id stays only where its whole component has none.
     """
-    found = simhash.near_duplicates(docs, width=SHINGLE)
+    found = shingles.near_duplicates(docs, width=SHINGLE, similarity=SIMILARITY)
     keep = found.where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc_id"])
 

@@ -75,13 +75,14 @@ def filed(fps: DataFrame, fp_col: str = "fp") -> DataFrame:
     return fps.select(F.col(fp_col).alias("fp")).mapInArrow(run, "fp long, own array<int>, look array<int>")
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(src, dst) for each two distinct fingerprints within max_bits (at most three), src < dst."""
+def links(fps: DataFrame, max_bits: int = MAX_BITS, join: str | None = None) -> DataFrame:
+    """(src, dst) for each two distinct fingerprints within max_bits (at most three), src < dst; join is a hint."""
     if max_bits > MAX_BITS:
         raise ValueError("two segments with at most one wrong bit each are only certain up to three bits")
     keyed = filed(fps)
     own = keyed.select(F.col("fp").alias("src"), F.explode("own").alias("key"))
     look = keyed.select(F.col("fp").alias("dst"), F.explode("look").alias("key"))
+    own = own.hint(join) if join else own
     near = (F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_bits)
     return own.join(look, (own["key"] == look["key"]) & near).select("src", "dst").distinct()
 
