@@ -72,6 +72,46 @@ def test_merge_is_greedy_and_keeps_every_job(spark):
     assert got == [("c2", 3, "j3", ["j1", "j2", "j3"]), ("c3", 1, "j4", ["j4"])]
 
 
+def test_merge_against_comparing_all_heads(spark, monkeypatch):
+    """Random signatures in two runs; the grouped step must see neither jobs nor texts."""
+    import random
+    import re
+
+    rng, schema = random.Random(4), "run_id string, cluster_id string, signature string, size long, representative_job_id string, text_length int, first_ord long, job_ids array<string>"
+    rows = []
+    for i in range(150):
+        words = " ".join(rng.sample(["alpha", "beta", "gamma", "delta", "eps", "zeta"], rng.randrange(3, 7))) if i % 15 else f"{i} {i}"
+        jobs = [f"j{i}_{k}" for k in range(rng.randrange(1, 6))]
+        rows.append((f"r{i % 2}", f"c{i}", f"{words} {rng.choice(['one', 'two', '9'])}" if i % 15 else words, len(jobs), jobs[0], rng.randrange(1000), i, jobs))
+    want = []
+    for run in ("r0", "r1"):
+        heads = sorted(([*r[1:7], list(r[7])] for r in rows if r[0] == run), key=lambda h: (-h[2], h[5]))
+        again = True
+        while again:
+            again, sets, taken, out = False, [set(re.findall(r"[a-z_][a-z0-9_]{2,}", h[1])) for h in heads], set(), []
+            for i, h in enumerate(heads):
+                if i in taken:
+                    continue
+                for j in range(i + 1, len(heads)):
+                    union = len(sets[i] | sets[j])
+                    if j not in taken and not (union and len(sets[i] & sets[j]) / union < 0.7):
+                        again, o = True, heads[j]
+                        taken.add(j)
+                        h[6], h[2] = h[6] + o[6], h[2] + o[2]
+                        if o[4] > h[4]:
+                            h[0], h[1], h[3], h[4] = o[0], o[1], o[3], o[4]
+                out.append(h)
+            heads = sorted(out, key=lambda h: -h[2])
+        want += [(run, h[0], h[1], h[2], h[3], n, h[6]) for n, h in enumerate(heads, 1)]
+    df = spark.createDataFrame(rows, schema)
+    seen = []
+    kind = type(df.groupBy("run_id"))
+    real = kind.applyInPandas
+    monkeypatch.setattr(kind, "applyInPandas", lambda self, *a: (seen.append(self._df.columns), real(self, *a))[1])
+    assert sorted(tuple(r) for r in clusters.merged_clusters(df).collect()) == sorted(want)
+    assert len(want) < 120 and seen and not {"job_ids", "signature"} & set(seen[0])
+
+
 def test_cache(spark):
     cache = spark.createDataFrame([("a", 100.0, "x"), ("a", 50.0, "old"), ("b", 1.0, "y")], "text_hash string, cached_at double, answer string")
     got = {r.text_hash: (r.answer, r.cached) for r in report.from_cache(spark.createDataFrame([("a",), ("b",), ("c",)], "text_hash string"), cache, 110.0, 60.0).collect()}
