@@ -1,8 +1,8 @@
 """Keys of 23-bit words from the perfect binary Golay code.
 
-Every 23-bit word lies within three bits of exactly one codeword. A word's keys are the 12-bit indices of the
-codewords nearest to it and to each word one bit away: one key, or six. Words that differ in one bit hold each
-other's own index among their keys; words that differ in two bits share a key.
+Every 23-bit word lies within three bits of exactly one codeword. A word's own key is the 12-bit index of the
+codeword nearest to it, and its parity; its near keys are the own keys of itself and of each word one bit away: two
+or seven of them. Words that differ in at most one bit hold each other's own key among their near keys.
 """
 
 from __future__ import annotations
@@ -44,14 +44,21 @@ def syndromes(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(words: np.ndarray) -> np.ndarray:
+    for shift in (16, 8, 4, 2, 1):
+        words = words ^ (words >> np.uint32(shift))
+    return words & np.uint32(1)
+
+
 def keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(own index, sorted neighbour indices of shape (n, 24)); equal neighbours repeat."""
+    """(own key of 13 bits, sorted near keys of shape (n, 24)); equal near keys repeat."""
     single, errors = tables()
     words = words.astype(np.uint32)
-    at = syndromes(words)
-    own = (words ^ errors[at]) >> np.uint32(PARITY)
+    at, odd = syndromes(words), parity(words)
+    index = lambda x: (x >> np.uint32(PARITY)) << np.uint32(1)
+    own = index(words ^ errors[at]) | odd
     near = np.empty((len(words), WIDTH + 1), dtype=np.uint32)
     near[:, WIDTH] = own
     for bit in range(WIDTH):
-        near[:, bit] = (words ^ np.uint32(1 << bit) ^ errors[at ^ single[bit]]) >> np.uint32(PARITY)
+        near[:, bit] = index(words ^ np.uint32(1 << bit) ^ errors[at ^ single[bit]]) | (odd ^ np.uint32(1))
     return own, np.sort(near, axis=1)

@@ -88,11 +88,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = Workspace(docs.sparkSession, "shingles")
     rows = work.table(sets(docs, id_col, text_col, width), "rows")
     nodes = work.table(rows.where("n > 0").select("node", "n", "fp", "bands").dropDuplicates(["node"]), "nodes")
-    golay = work.table(simhash.links(nodes.select("fp").distinct(), join="merge"), "golay")
+    golay = work.table(simhash.links(nodes.select("fp").distinct(), work), "golay")
+    work.drop("keys")
     ends = golay.withColumn("key", F.xxhash64("src", "dst"))
     ends = ends.select("key", F.col("src").alias("fp")).union(ends.select("key", F.col("dst").alias("fp")))
     keys = nodes.select("node", "n", F.explode("bands").alias("key")).union(nodes.select("node", "n", F.xxhash64("fp").alias("key")))
-    keys = work.table(keys.union(nodes.join(ends, "fp").select("node", "n", "key")), "keys")
+    keys = work.table(keys.union(nodes.join(ends, "fp").select("node", "n", "key")), "filed")
     size = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9
     hubs = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     star = keys.join(hubs, "key").where((F.col("node") > F.col("hub.node")) & size("n", F.col("hub.n")))

@@ -2,9 +2,10 @@
 
 A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits, each read as a 23-bit word. Of three
 segments that share at most three wrong bits, some two have at most one wrong bit each. So for every pair of
-segments a fingerprint is filed under the pair of its own codeword indices, and looked up under the pairs of its
-neighbour indices (up to 36): fingerprints within three bits meet under at least one 24-bit key. The join checks
-the distance itself, so only true links leave it.
+segments a fingerprint is filed under near keys of the first with its own key of the second, and sought under its own
+key of the first with near keys of the second: up to 21 rows of either kind, and fingerprints within three bits meet
+under at least one 26-bit key. The join checks the distance itself, so only true links leave it. Expected meetings
+of n random fingerprints are n * n * 147 / 2^27, a thousand a fingerprint at 10^9.
 """
 
 from __future__ import annotations
@@ -52,8 +53,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, fp long")
 
 
+def crossed(near: np.ndarray, own: np.ndarray, pair: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of a pair's near keys of one segment with the own key of the other; each key of a row once."""
+    new = np.ones(near.shape, dtype=bool)
+    new[:, 1:] = near[:, 1:] != near[:, :-1]
+    row = np.nonzero(new)[0]
+    one, other = near[new].astype(np.int64), own[row].astype(np.int64)
+    return row, (one << 13 | other if first else other << 13 | one) | pair << 26
+
+
 def filed(fps: DataFrame, fp_col: str = "fp") -> DataFrame:
-    """(fp, own keys, looked-up keys) of distinct fingerprints."""
+    """(fp, filed, sought): the keys of distinct fingerprints."""
+
+    def arrays(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
+        row, key = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(row, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order].astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,30 +77,25 @@ def filed(fps: DataFrame, fp_col: str = "fp") -> DataFrame:
             for at in range(0, len(fp), 4096):
                 part = fp[at : at + 4096]
                 seg = [golay.keys((part >> np.uint64(lo) & np.uint64((1 << n) - 1)).astype(np.uint32)) for lo, n in SEGMENTS]
-                own = np.stack([seg[a][0] << np.uint32(12) | seg[b][0] | np.uint32(p << 24) for p, (a, b) in enumerate(PAIRS)], axis=1)
-                distinct = [[np.unique(row) for row in near] for _, near in seg]
-                look = [
-                    np.concatenate([((x[a][:, None] << np.uint32(12)) | x[b][None, :] | np.uint32(p << 24)).ravel() for p, (a, b) in enumerate(PAIRS)]).astype(np.int32)
-                    for x in zip(*distinct)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.view(np.int64)), pa.array(list(own.astype(np.int32)), pa.list_(pa.int32())), pa.array(look, pa.list_(pa.int32()))],
-                    names=["fp", "own", "look"],
-                )
-
-    return fps.select(F.col(fp_col).alias("fp")).mapInArrow(run, "fp long, own array<int>, look array<int>")
-
-
-def links(fps: DataFrame, max_bits: int = MAX_BITS, join: str | None = None) -> DataFrame:
-    """(src, dst) for each two distinct fingerprints within max_bits (at most three), src < dst; join is a hint."""
+                kinds = [[crossed(seg[x][1], seg[y][0], p, first) for p, (x, y) in enumerate(pairs)] for pairs, first in ((PAIRS, True), ([(b, a) for a, b in PAIRS], False))]
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), *(arrays(k, len(part)) for k in kinds)], names=["fp", "filed", "sought"])
+
+    return fps.select(F.col(fp_col).alias("fp")).mapInArrow(run, "fp long, filed array<int>, sought array<int>")
+
+
+def links(fps: DataFrame, work: Workspace, max_bits: int = MAX_BITS) -> DataFrame:
+    """(src, dst) for each two distinct fingerprints within max_bits (at most three), src < dst.
+
+    The keys are written once and read by both sides. Neither side is broadcast: their size follows the input. Of a
+    key with many fingerprints adaptive execution splits the join.
+    """
     if max_bits > MAX_BITS:
         raise ValueError("two segments with at most one wrong bit each are only certain up to three bits")
-    keyed = filed(fps)
-    own = keyed.select(F.col("fp").alias("src"), F.explode("own").alias("key"))
-    look = keyed.select(F.col("fp").alias("dst"), F.explode("look").alias("key"))
-    own = own.hint(join) if join else own
+    keyed = work.table(filed(fps), "keys")
+    own = keyed.select(F.col("fp").alias("src"), F.explode("filed").alias("key"))
+    look = keyed.select(F.col("fp").alias("dst"), F.explode("sought").alias("key"))
     near = (F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_bits)
-    return own.join(look, (own["key"] == look["key"]) & near).select("src", "dst").distinct()
+    return own.join(look.hint("merge"), (own["key"] == look["key"]) & near).select("src", "dst").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
@@ -92,12 +103,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with one fingerprint are one node, so copies never meet pairwise. Null and empty texts share fingerprint
     zero and are linked like any other. Rows that repeat an id keep one output row each; a null id takes part but
-    names no component unless all of its members' ids are null. Other columns are ignored, whatever their names.
+    names no component unless all of its members' ids are null. A very long text is hashed whole, its shingles' hashes
+    held at once (8 bytes a word). Other columns are ignored, whatever their names.
     """
     work = Workspace(docs.sparkSession, "simhash")
     rows = work.table(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = work.table(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    found = work.table(links(distinct, max_bits), "links")
+    found = work.table(links(distinct, work, max_bits), "links")
+    work.drop("keys")
     roots = connected_components(found, work).select(F.col("node").alias("fp"), "root")
     labelled = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component"))
