@@ -66,7 +66,7 @@ def prints(w: Column, window: int, gram: int, short: list[int], last: bool = Fal
     return F.concat(out, F.array(none)) if last else out
 
 
-def contamination(
+def judged(
     docs: DataFrame,
     benchmark: DataFrame,
     id_col: str = "doc_id",
@@ -76,13 +76,7 @@ def contamination(
     window: int = WINDOW,
     gram: int = GRAM,
 ) -> DataFrame:
-    """(id, n_words, n_hit, items): one row for each input row; items holds ids as strings, in their order.
-
-    A window is `window` consecutive words of an item; a shorter item is one window, one without words is none. A
-    word is hit if an occurrence of a window covers it. Null and empty texts have no words. Rows that repeat an id
-    are judged each on their own; items that repeat an id are one item; a null item id hits words but is not
-    listed. Other columns are ignored.
-    """
+    """contamination() with the hash of each row's text; of a very long text a task holds its words and their hashes."""
     if not 0 < gram <= window:
         raise ValueError("a gram must fit into a window")
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w")).where(F.size("w") > 0)
@@ -95,8 +89,8 @@ def contamination(
 
     # a row for each fingerprint, and one without for each input row
     every = let(words(F.col(text_col)), lambda w: prints(w, window, gram, short, last=True))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), every.alias("every"))
-    rows = rows.select("row", "id", F.explode("every").alias("f")).select("row", "id", "f", F.col("f.n").alias("n"), F.col("f.g").alias("g"), F.coalesce("f.h", "row").alias("h"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.monotonically_increasing_id().alias("row"), every.alias("every"))
+    rows = rows.select("row", "id", "hash", F.explode("every").alias("f")).select("row", "id", "hash", "f", F.col("f.n").alias("n"), F.col("f.g").alias("g"), F.coalesce("f.h", "row").alias("h"))
     # a benchmark too large to send everywhere meets the fingerprints in a shuffle
     found = rows.join(F.broadcast(keys) if small else keys, (F.col("g") == F.col("ig")) & (F.col("h") == F.col("ih")), "left")
     found = found.where("ih is not null or g < 0")
@@ -106,10 +100,30 @@ def contamination(
     low, high = F.greatest(F.lit(1), q - (window - gram)), F.least(F.size("iw") - span + 1, q)
     same = lambda s: F.forall(F.sequence(F.lit(0), span - 1), lambda j: F.get("f.c", s - q + j + (window - gram)).eqNullSafe(F.get("iw", s + j - 1)))
     begins = F.when(high >= low, F.filter(F.sequence(low, high), same))
-    found = found.select("row", "id", "n", "item", "ih", span.alias("span"), F.transform(begins, lambda s: s - q - F.col("f.p")).alias("begins"))
+    found = found.select("row", "id", "hash", "n", "item", "ih", span.alias("span"), F.transform(begins, lambda s: s - q - F.col("f.p")).alias("begins"))
     found = found.where("ih is null or size(begins) > 0")
     cover = F.flatten(F.transform("begins", lambda s: F.sequence(s, s + F.col("span") - 1)))
     done = found.groupBy("row").agg(
-        F.first("id").alias("id"), F.first("n").alias("n_words"), F.collect_list(F.array_distinct(cover)).alias("cover"), F.collect_set(F.when(F.col("ih").isNotNull(), F.col("item"))).alias("items")
+        F.first("id").alias("id"), F.first("hash").alias("hash"), F.first("n").alias("n_words"), F.collect_list(F.array_distinct(cover)).alias("cover"), F.collect_set(F.when(F.col("ih").isNotNull(), F.col("item"))).alias("items")
     )
-    return done.select("id", F.col("n_words").cast("long").alias("n_words"), F.size(F.array_distinct(F.flatten("cover"))).cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
+    return done.select("id", "hash", F.col("n_words").cast("long").alias("n_words"), F.size(F.array_distinct(F.flatten("cover"))).cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
+
+
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    gram: int = GRAM,
+) -> DataFrame:
+    """(id, n_words, n_hit, items): one row for each input row; items holds ids as strings, in their order.
+
+    A window is `window` consecutive words of an item; a shorter item is one window, one without words is none. A
+    word is hit if an occurrence of a window covers it. Null and empty texts have no words. Rows that repeat an id
+    are judged each on their own; items that repeat an id are one item; a null item id hits words but is not
+    listed. Other columns are ignored.
+    """
+    return judged(docs, benchmark, id_col, text_col, item_col, item_text_col, window, gram).drop("hash")

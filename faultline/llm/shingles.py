@@ -3,8 +3,10 @@
 Candidates are the members of a bucket: of a fingerprint, of two fingerprints that Golay keys link at three bits, or
 of a band of minimum hashes. Fingerprints at three bits reach only pairs near 1; of pairs at 0.8 the bands miss one in
 4,500 (16 bands of 4). In each bucket all sets are compared with its smallest one, then only those pairs that are not
-in one component already, so a large group of near copies costs one comparison for each. Only components are exact,
-not links.
+in one component already, so a large group of near copies costs one comparison for each. A bucket that stays open
+with more than CROWD members (unlike documents around one common passage, say) isn't paired: its members meet again
+under their rarest shingles. Two sets of similarity t share one of the n - ceil(t * n) + 1 rarest of each, so this
+loses no pair, and a common passage is no key of a set that has much else. Only components are exact, not links.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import simhash
@@ -23,6 +25,7 @@ from faultline.llm.common import Workspace, connected_components
 BANDS, ROWS = 16, 4
 CHUNK = 1 << 14
 PAIRS_A_SALT = 1_000
+CROWD = 16
 MASKS, ODD, MIX = (np.random.default_rng(s).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for s in (21, 22, 23))
 
 
@@ -44,25 +47,29 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return (least * (MIX | np.uint64(1)) ^ MIX).reshape(BANDS, ROWS).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def row_hash(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, node, n, fp, bands, grams) of each row; node names the set of shingles."""
+    """(id, rid, node, n, fp, bands, grams) of each row; rid hashes id and text, node names the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part = batch.slice(lo, 1024)
-                texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(1)]
+                texts = [x.as_buffer().to_pybytes() if x.is_valid and len(x.as_buffer() or b"") else b"" for x in part.column(2)]
                 found = [grams(x, width) for x in texts]
                 node = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in found], dtype=np.uint64).view(np.int64)
                 fp = np.array([simhash.fingerprint(x, width) for x in texts], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(node), pa.array([len(g) for g in found], pa.int32()), pa.array(fp),
+                    [part.column(0), part.column(1), pa.array(node), pa.array([len(g) for g in found], pa.int32()), pa.array(fp),
                      pa.array([bands(g) for g in found], pa.list_(pa.int64())), pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))],
-                    names=["id", "node", "n", "fp", "bands", "grams"],
+                    names=["id", "rid", "node", "n", "fp", "bands", "grams"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, node long, n int, fp long, bands array<long>, grams array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, rid long, node long, n int, fp long, bands array<long>, grams array<long>")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -79,13 +86,61 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     return both.where(common / (F.size("ga") + F.size("gb") - common) >= similarity).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component): one row for each input row; rows link when the Jaccard similarity reaches the given one.
+def alike(x: str, y: str, similarity: float):
+    """Whether sets of two sizes can reach the similarity."""
+    return F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9
+
+
+def starred(keys: DataFrame, order: Column, similarity: float) -> DataFrame:
+    """(a, b): each member of a key with the key's first member by an order."""
+    hubs = keys.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    met = keys.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & alike("n", "hub.n", similarity))
+    return met.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+
+
+def still_open(keys: DataFrame, links: DataFrame, spark: SparkSession) -> DataFrame:
+    """keys (key, node, ...) with root and members, of the keys whose members lie in several components."""
+    roots = connected_components(links, Workspace(spark, "shingles"), "a", "b")
+    named = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    return named.join(parts.select("key", "members"), "key")
+
+
+def paired(members: DataFrame, similarity: float, ranked: bool = False) -> DataFrame:
+    """(a, b): members of one key in different components.
+
+    Where members have the place of the key among their shingles from the rarest on, the first key that two sets
+    share bounds what they can share; keys after it bound it further, so a pair that fails here fails everywhere.
+    """
+    side = lambda s: members.select("key", *(F.col(c).alias(c + s) for c in ("node", "n", "root") + ("place",) * ranked))
+    test = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & alike("n_a", "n_b", similarity)
+    if ranked:
+        most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+        test &= most * F.lit(1 + similarity) >= (F.col("n_a") + F.col("n_b")) * F.lit(similarity) - 1e-9
+    return side("_a").join(side("_b"), "key").where(test).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def rarest(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, n, place): each set under the rarest of its shingles, so many that similar sets share one."""
+    each = sets.select("node", "n", F.explode("grams").alias("key"))
+    df = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    # a shingle of one set alone is a key of no pair, but takes its place among the rarest
+    ranked = each.join(df, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("r"))
+    alone = F.col("n") - F.size("r")
+    most = (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1 - alone).cast("int")
+    ranked = ranked.where(most > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("r", F.lit(1), most)).alias("i", "x"))
+    return ranked.select(F.col("x.key").alias("key"), "node", "n", (F.col("alone") + F.col("i")).alias("place"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """(id, rid, root, component): one row for each input row, rid hashing its id and text; rows link when the Jaccard similarity reaches the given one.
 
     Rows with one set are one node, those without words too. A null id takes part but names no component unless all
-    of its members' ids are null.
+    of its members' ids are null. Of a very long text a task holds the text and 8 bytes for each distinct shingle.
+    Other columns are ignored.
     """
-    work = Workspace(docs.sparkSession, "shingles")
+    spark = docs.sparkSession
+    work = Workspace(spark, "shingles")
     rows = work.table(sets(docs, id_col, text_col, width), "rows")
     nodes = work.table(rows.where("n > 0").select("node", "n", "fp", "bands").dropDuplicates(["node"]), "nodes")
     golay = work.table(simhash.links(nodes.select("fp").distinct(), work), "golay")
@@ -93,22 +148,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = golay.withColumn("key", F.xxhash64("src", "dst"))
     ends = ends.select("key", F.col("src").alias("fp")).union(ends.select("key", F.col("dst").alias("fp")))
     keys = nodes.select("node", "n", F.explode("bands").alias("key")).union(nodes.select("node", "n", F.xxhash64("fp").alias("key")))
-    keys = work.table(keys.union(nodes.join(ends, "fp").select("node", "n", "key")), "filed")
-    size = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9
-    hubs = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    star = keys.join(hubs, "key").where((F.col("node") > F.col("hub.node")) & size("n", F.col("hub.n")))
-    star = work.table(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    first = work.table(verified(star, rows, similarity), "first")
-    roots = connected_components(first, Workspace(docs.sparkSession, "shingles"), "a", "b")
-    named = keys.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_ = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    named = work.table(named.join(open_, "key", "left_semi"), "named")
-    left, right = named.toDF("key", "a", "na", "ra"), named.toDF("key", "b", "nb", "rb")
-    rest = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size("na", "nb"))
-    rest = work.table(rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "rest")
-    links = work.table(first.union(verified(rest, rows, similarity)), "links")
+    keys = work.table(keys.union(nodes.join(ends, "fp").select("node", "n", "key")).select("key", "node", "n"), "filed")
+    seen = work.table(starred(keys, F.col("node"), similarity), "star")
+    links = work.table(verified(seen, rows, similarity), "first")
+    members = work.table(still_open(keys, links, spark), "open")
+    rest = paired(members.where(F.col("members") <= crowd), similarity)
+    dense = work.table(members.where(F.col("members") > crowd).select("node").distinct(), "crowd")
+    if dense.limit(1).count():
+        held = rows.select("node", "n", "grams").join(dense, "node", "left_semi").dropDuplicates(["node"])
+        rare = work.table(rarest(held, similarity), "rare")
+        # other hubs than before, and another one for each key
+        more = work.table(starred(rare, F.xxhash64("key", "node"), similarity).join(seen, ["a", "b"], "left_anti"), "more")
+        links = work.table(links.union(verified(more, rows, similarity)), "second")
+        rest = rest.union(paired(still_open(rare, links, spark), similarity, ranked=True)).distinct()
+        seen = seen.union(more)
+    rest = work.table(rest.join(seen, ["a", "b"], "left_anti"), "rest")
+    links = work.table(links.union(verified(rest, rows, similarity)), "links")
     roots = connected_components(links, work, "a", "b")
-    named = rows.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    named = rows.select("id", "rid", "node").join(roots, "node", "left").select("id", "rid", F.coalesce("root", "node").alias("root"))
     named = work.table(named, "roots")
     least = named.groupBy("root").agg(F.min("id").alias("component"))
-    return named.join(least, "root").select("id", "component")
+    return work.table(named.join(least, "root").select("id", "rid", "root", "component"), "components")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each component: that of the smallest id, nulls last.
+
+    Of different texts under that id in one component the one of smallest hash stays; rows equal in id and text are
+    one document, and one of them stays. Rows of one id in different components all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, similarity)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "rid")).alias("x")).select("x.id", "x.rid")
+    same = found.groupBy(F.col("id").alias("keep_id"), F.col("rid").alias("keep_rid")).agg(F.count("*").alias("keep_rows"))
+    keep = same.join(best, F.col("keep_id").eqNullSafe(F.col("id")) & (F.col("keep_rid") == F.col("rid")), "left_semi")
+    rows = docs.join(keep, (row_hash(id_col, text_col) == F.col("keep_rid")) & F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")))
+    one, many = rows.where("keep_rows = 1"), rows.where("keep_rows > 1").dropDuplicates([id_col, text_col])
+    return one.unionByName(many).select(*docs.columns)

@@ -62,3 +62,31 @@ def test_finds_what_three_bits_miss():
     rows = texts()
     old = brute_components([d for d, _ in rows], [brute_fp(t, 5) for _, t in rows])
     assert len(set(old)) > len({c for _, c in brute(rows)[0]}) + 30
+
+
+def around_a_passage(n=120, seed=5):
+    """Documents that share two thirds of their words, and near copies of a few of them."""
+    rng = random.Random(seed)
+    common = [f"c{rng.randrange(5000)}" for _ in range(120)]
+    rows = [(i, " ".join(common + [f"u{rng.randrange(10**6)}" for _ in range(rng.choice((40, 60)))])) for i in range(n)]
+    return rows + [(1000 + i, rows[i * 5][1].rsplit(" ", 4)[0] + " other end of it") for i in range(15)]
+
+
+def test_crowded_buckets(spark):
+    rows = around_a_passage()
+    want, _ = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.id, r.component) for r in shingles.near_duplicates(df, crowd=4).collect()) == want
+    assert 100 < len({c for _, c in want}) < 130
+    rows = texts(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.id, r.component) for r in shingles.near_duplicates(df, crowd=1).collect()) == brute(rows)[0]
+
+
+def test_representatives_of_repeated_and_null_ids(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta " * 3, "one two three four five six seven", "seven six five four three two one")
+    rows = [(1, a, "x"), (1, a, "y"), (1, b, "x"), (2, b, "x"), (3, c, "z"), (None, c, "z"), (None, "only null here", "z"), (None, "only null here", "z"), (None, "another null one", "z"), (4, None, "n"), (5, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid string")
+    got = sorted(((r.doc_id, r.text) for r in shingles.representatives(df).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (3, c), (None, "only null here"), (None, "another null one"), (4, None)], key=str)
+    assert shingles.representatives(df.limit(0)).collect() == []
