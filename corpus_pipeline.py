@@ -29,21 +29,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of pairs whose five-word shingles have a Jaccard of 0.8 or more.
+    """One document of each component of pairs whose five-word shingles have a Jaccard of 0.8 or more, that of smallest id.
 
-    Documents that lost all their lines have one empty set, so one of them stays. Of rows that repeat an id one
-    stays; a null id stays only where its whole component has none.
+    Documents that lost all their lines have one empty set, so one of them stays. Different texts of one id are
+    different documents.
     """
-    found = shingles.near_duplicates(docs, width=SHINGLE, similarity=SIMILARITY)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc_id"])
+    return shingles.representatives(docs, width=SHINGLE, similarity=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item; rows of one id go together."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("n_hit > 0").select("id").distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    """Documents that hold no window of a benchmark item."""
+    found = decontaminate.judged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.where("n_hit > 0").select(F.col("id").alias("hit_id"), F.col("hash").alias("hit_hash")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash")), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
