@@ -20,6 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df has in no spelling: each name with as many underscores before it as it takes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Workspace:
     """Tables that one operator writes between its jobs.
 

@@ -4,7 +4,7 @@ Lines within `edits` edits of each other: a line is cut into edits + 1 even segm
 segment of the shorter (or equal) one stands unbroken in the longer one, near its own place. Each distinct line
 files its segments under (length, segment number, text), and looks up the substrings of itself that could match
 a segment of a line up to `edits` shorter. Lines that meet and whose letter counts allow it are compared by a
-bit-parallel automaton over the band of 2 * edits + 1 diagonals.
+bit-parallel automaton over the band of 2 * edits + 1 diagonals, between their common start and their common end.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import Workspace
+from faultline.llm.common import Workspace, fresh
 
 EDITS = 2
 LEAST_CHARS = 20
 BROADCAST_IDS = 200_000
 SKETCH = "etaonirshldcum"
+HEAD = 24  # characters after which most unlike lines are told apart
 
 
 def let(value: Column, use) -> Column:
@@ -81,35 +82,67 @@ def apart(a: Column, b: Column) -> Column:
     return reduce(add, (F.least(gap(k), 16 - gap(k)) for k in range(len(SKETCH))))
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two strings are at most `edits` edits apart.
+def shared(a: Column, b: Column, most: Column, from_end: bool) -> Column:
+    """How many characters, at most `most`, two lines in four-byte characters share at their start or end.
 
-    For each number of edits a bit mask holds the diagonals that can be reached; each character of b moves all of
-    them at once. Diagonals beyond the band need more edits than allowed.
+    The number is found bit by bit from the top: of each power of two, whether so many more characters agree.
     """
+    chars = lambda x: F.octet_length(x) / 4
+    tail = lambda x, at, k: F.substring(x, ((chars(x) - at - k) * 4 + 1).cast("int"), (k * 4).cast("int"))
+    head = lambda x, at, k: F.substring(x, (at * 4 + 1).cast("int"), (k * 4).cast("int"))
+    piece = tail if from_end else head
+    powers = F.reverse(F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(most, F.lit(1)))).cast("int")), lambda i: F.call_function("shiftleft", F.lit(1), i)))
+    return F.aggregate(powers, F.lit(0), lambda at, k: F.when((at + k <= most) & (piece(a, at, k) == piece(b, at, k)), at + k).otherwise(at))
+
+
+def automaton(s: Column, t: Column, edits: int, steps: Column) -> Column:
+    """The mask of diagonals reached with at most `edits` edits after so many characters of t; s and t are arrays."""
     band, full = range(-edits, edits + 1), (1 << (2 * edits + 1)) - 1
     start = F.struct(*(F.lit(sum(1 << (d + edits) for d in range(e + 1))).alias(f"r{e}") for e in range(edits + 1)))
 
-    def scan(s: Column, t: Column) -> Column:
-        def step(state: Column, j: Column) -> Column:
-            here = F.get(t, j)
-            match = reduce(add, (F.when(F.get(s, j + d) == here, 1 << (d + edits)).otherwise(0) for d in band))
-            new: list[Column] = []
-            for e in range(edits + 1):
-                r = state[f"r{e}"].bitwiseAND(match)
-                if e:
-                    last = state[f"r{e - 1}"]
-                    r = r.bitwiseOR(last).bitwiseOR(F.shiftright(last, 1)).bitwiseOR(F.shiftleft(new[-1], 1).bitwiseAND(full))
-                new.append(r)
-            return F.struct(*(r.alias(f"r{e}") for e, r in enumerate(new)))
+    def step(state: Column, j: Column) -> Column:
+        here = F.get(t, j)
+        match = reduce(add, (F.when(F.get(s, j + d) == here, 1 << (d + edits)).otherwise(0) for d in band))
+        new: list[Column] = []
+        for e in range(edits + 1):
+            r = state[f"r{e}"].bitwiseAND(match)
+            if e:
+                last = state[f"r{e - 1}"]
+                r = r.bitwiseOR(last).bitwiseOR(F.shiftright(last, 1)).bitwiseOR(F.shiftleft(new[-1], 1).bitwiseAND(full))
+            new.append(r)
+        return F.struct(*(r.alias(f"r{e}") for e, r in enumerate(new)))
+
+    return F.aggregate(F.sequence(F.lit(0), steps - 1), start, step, lambda x: x[f"r{edits}"])
+
+
+def within(a: Column, b: Column, edits: int) -> Column:
+    """Whether two strings are at most `edits` edits apart.
+
+    What the strings share at their starts and ends doesn't count. Over the rest a bit mask holds, for each number of
+    edits, the diagonals that can be reached; each character of b moves all of them at once, and diagonals beyond
+    the band need more edits than allowed. Where no diagonal is left after HEAD characters, the rest isn't read.
+    """
+    small = F.least(F.length(a), F.length(b))
+    wide = lambda x: F.encode(x, "UTF-32")
+
+    def core(cut: Column) -> Column:
+        rest = lambda x: F.substring(x, cut["p"] + 1, F.length(x) - cut["p"] - cut["q"])
+        return let(F.struct(rest(a).alias("a"), rest(b).alias("b")), compared)
+
+    def compared(x: Column) -> Column:
+        n, m = F.length(x["a"]), F.length(x["b"])
+        letters = lambda s, k: F.split(F.substring(s, F.lit(1), k), "")
+        head = let(letters(x["a"], F.lit(HEAD + edits)), lambda s: let(letters(x["b"], F.lit(HEAD)), lambda t: automaton(s, t, edits, F.size(t))))
+        whole = let(F.split(x["a"], ""), lambda s: let(F.split(x["b"], ""), lambda t: automaton(s, t, edits, F.size(t))))
+        reached = F.call_function("shiftright", whole, n - m + edits).bitwiseAND(1) == 1
+        return F.when(F.least(n, m) == 0, F.greatest(n, m) <= edits).when((m > HEAD) & (head == 0), F.lit(False)).otherwise(reached)
 
-        gap = F.size(s) - F.size(t)
-        reached = F.aggregate(F.sequence(F.lit(0), F.size(t) - 1), start, step, lambda x: x[f"r{edits}"])
-        return (F.abs(gap) <= edits) & (F.call_function("shiftright", reached, gap + edits).bitwiseAND(1) == 1)
+    def cuts(w: Column) -> Column:
+        start = let(shared(w["a"], w["b"], small, False), lambda p: F.struct(p.alias("p"), shared(w["a"], w["b"], small - p, True).alias("q")))
+        return let(start, core)
 
-    return F.when((F.length(a) > 0) & (F.length(b) > 0), let(F.split(a, ""), lambda s: let(F.split(b, ""), lambda t: scan(s, t)))).otherwise(
-        F.greatest(F.length(a), F.length(b)) <= edits
-    )
+    close = F.abs(F.length(a) - F.length(b)) <= edits
+    return F.when(close, let(F.struct(wide(a).alias("a"), wide(b).alias("b")), cuts)).otherwise(False)
 
 
 def keyed_lines(lines: DataFrame, edits: int) -> DataFrame:
@@ -131,10 +164,10 @@ def candidates(lines: DataFrame, edits: int) -> DataFrame:
     return met.distinct()
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
-    """(k1, k2, no, line, at): lines of at least least_chars characters; at orders them by id and place."""
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k1, k2, no, line, at): lines that are not blank; at orders them by id and place."""
     rows = keyed(docs, id_col, text_col)
-    lines = rows.select("k1", "k2", "id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.length("line") >= least_chars)
+    lines = rows.select("k1", "k2", "id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.col("line").rlike(r"\S"))
     place = F.coalesce("id", F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("no").cast("decimal(11,0)")
     return lines.select("k1", "k2", "no", "line", place.cast("decimal(38,0)").alias("at"))
 
@@ -168,8 +201,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 0 <= edits <= 15 or least_chars <= edits:
         raise ValueError("edits must be from 0 to 15, and lines longer than that")
     work = Workspace(docs.sparkSession, "lines")
-    lines = numbered(docs, id_col, text_col, least_chars)
-    late = work.table(near_links(lines, work, edits).withColumn("late", F.lit(True)), "late")
+    lines = numbered(docs, id_col, text_col)
+    late = work.table(near_links(lines.where(F.length("line") >= least_chars), work, edits).withColumn("late", F.lit(True)), "late")
     short = hashed(lines).select("k1", "k2", "no", "at", "h1", "h2")
     first = short.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")).join(late, ["h1", "h2"], "left")
     first = work.table(first.where("n > 1 or late").select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late")), "first")
@@ -180,18 +213,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The rows with n_lines, removed (line numbers from 0) and kept (the text without them) added.
 
-    A line of at least least_chars characters goes if an earlier line, by id and then by place, equals it or is
-    within `edits` edits of it; what comes earlier is judged on the input, so the first line of each kind stays.
-    Shorter lines stay. Lines end at line feeds. Null counts as an empty text of one empty line; a null id counts
-    as the smallest. Rows equal in id and text are one document and get one result. Columns named like the
-    added ones are replaced.
+    A line goes if an earlier line, by id and then by place, equals it, or is within `edits` edits of it where both
+    have at least least_chars characters (in a shorter line two edits are another word); what comes earlier is judged
+    on the input, so the first line of each kind stays. Blank lines stay. Lines end at line feeds. Null counts as an
+    empty text of one empty line; a null id counts as the smallest. Rows equal in id and text are one document and
+    get one result. A very long line is hashed and compared whole; a very long text is one array of lines in a task.
+    Columns named like the added ones are replaced, others kept, whatever their names.
     """
-    gone = repeated_lines(docs, id_col, text_col, edits, least_chars).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("gone").alias("_gone"))
+    k1, k2, cut = fresh(docs, "k1", "k2", "cut")
+    gone = repeated_lines(docs, id_col, text_col, edits, least_chars).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("gone").alias(cut))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     the_id = F.col(id_col).cast("long")
-    rows = docs.select("*", F.xxhash64(the_id, text).alias("_k1"), F.xxhash64(F.lit(1), the_id, text).alias("_k2"))
-    rows = rows.join(gone, ["_k1", "_k2"], "left").withColumn("removed", F.array_sort(F.coalesce("_gone", F.array().cast("array<int>"))))
+    rows = docs.select("*", F.xxhash64(the_id, text).alias(k1), F.xxhash64(F.lit(1), the_id, text).alias(k2))
+    rows = rows.join(gone, [k1, k2], "left").withColumn("removed", F.array_sort(F.coalesce(cut, F.array().cast("array<int>"))))
     stay = let(F.split(text, "\n", -1), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: F.get(x, i)), "\n"))
     kept = F.when(F.size("removed") == 0, text).otherwise(stay)
     size = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return rows.withColumns({"n_lines": size.cast("long"), "kept": kept}).drop("_k1", "_k2", "_gone")
+    return rows.withColumns({"n_lines": size.cast("long"), "kept": kept}).drop(k1, k2, cut)

@@ -28,19 +28,19 @@ def brute(rows, edits=2, least=20):
     for d, t in rows:
         for no, x in enumerate((t or "").split("\n")):
             at = (-(2**63) if d is None else d, no)
-            if len(x) >= least:
+            if x.strip():
                 first[x] = min(first.get(x, at), at)
-    late = {x for x in first for y in first if first[y] < first[x] and x != y and near(x, y, edits)}
+    late = {x for x in first for y in first if first[y] < first[x] and x != y and min(len(x), len(y)) >= least and near(x, y, edits)}
     out = []
     for d, t in rows:
         parts = (t or "").split("\n")
-        gone = [no for no, x in enumerate(parts) if len(x) >= least and (x in late or (-(2**63) if d is None else d, no) > first[x])]
+        gone = [no for no, x in enumerate(parts) if x.strip() and (x in late or (-(2**63) if d is None else d, no) > first[x])]
         out.append((d, len(parts), gone, "\n".join(x for no, x in enumerate(parts) if no not in gone)))
     return sorted(out, key=str)
 
 
 def run(spark, rows, **more):
-    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, kept string, line int")
+    df = spark.createDataFrame([(*r, "x", 0, "a", "b", 1) for r in rows], "doc_id long, text string, kept string, line int, k1 string, _K2 string, gone int")
     got = lines.without_repeats(df, **more)
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
     return sorted(((r.doc_id, r.n_lines, r.removed, r.kept) for r in got.collect()), key=str)
@@ -65,7 +65,11 @@ def test_within(spark):
     for _ in range(300):
         a = "".join(rng.choice("abé𝄞") for _ in range(rng.randrange(1, 30)))
         rows.append((a, edited(rng, a, rng.randrange(0, min(5, len(a))), "abé𝄞")))
-    rows += [("", ""), ("", "ab"), ("abc", "")]
+    for n in (40, 70, 300):
+        a = "".join(rng.choice("abé𝄞") for _ in range(n))
+        rows += [(a, edited(rng, a, k, "abé𝄞")) for k in (0, 1, 2, 2, 3, 3, 4) for _ in range(4)]
+        rows += [(a, "b" + a[:-1]), (a, a[1:] + "é"), (a, a[:5] + "zzzzz" + a[10:])]
+    rows += [("", ""), ("", "ab"), ("abc", ""), ("aaaa", "aaaaaa"), ("aaaaa", "aa")]
     df = spark.createDataFrame(rows, "a string, b string")
     for edits in (0, 1, 2, 3):
         got = df.select("a", "b", lines.within(F.col("a"), F.col("b"), edits).alias("w")).collect()
@@ -105,9 +109,9 @@ def test_random_lines(spark):
 def test_edges(spark, monkeypatch):
     monkeypatch.setattr(lines, "BROADCAST_IDS", 0)
     x = "the quick brown fox jumps over it"
-    rows = [(1, None), (2, ""), (3, x), (4, x + "\n" + x), (4, x + "\n" + x), (None, "a\n" + x[:-1]), (5, "short\nshort"), (6, ("y" * 30 + "\n") * 3000), (7, x * 2000), (8, x * 2000 + "!"), (9, "\n\n")]
+    rows = [(1, None), (2, ""), (3, x), (4, x + "\n" + x), (4, x + "\n" + x), (None, "a\n" + x[:-1]), (5, "short\nshort"), (6, ("y" * 30 + "\n") * 3000), (7, x * 2000), (8, x * 2000 + "!"), (9, "\n\n"), (10, " \n short \n short \n\t")]
     got = {(r[0], r[1]): r[2] for r in run(spark, rows)}
-    assert got[(8, 1)] == [0] and got[(7, 1)] == [] and got[(6, 3001)] == list(range(1, 3000)) and got[(3, 1)] == [0] and got[(4, 2)] == [0, 1] and got[(None, 2)] == []
+    assert got[(8, 1)] == [0] and got[(7, 1)] == [] and got[(6, 3001)] == list(range(1, 3000)) and got[(3, 1)] == [0] and got[(4, 2)] == [0, 1] and got[(None, 2)] == [] and got[(10, 4)] == [2] and got[(5, 2)] == [1]
     assert run(spark, []) == []
 
 
