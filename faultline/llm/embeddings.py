@@ -1,12 +1,14 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, reranking.
 
 Labels of few vectors are compared all with all, in blocks. In a larger one each vector gets short codes, one a
-table: first cuts of a rotation learned on a bounded sample (iterative quantisation), then signs of independent
-random directions, so many that a pair at the threshold misses all of those with probability 0.01 at most, whatever
-the data. Codes have about log2(n / BLOCK) bits, n being the label's own size, so a bucket holds about a block, and
-longer codes come with more tables. Vectors that agree in one table of one label meet there, and their cosine is
-computed from the original vectors. A pair counts in the first table where it meets. A bucket with many vectors is
-dealt to block pairs, and a task returns link counts and a spanning forest, never its pairs.
+table: first cuts of a rotation learned on a bounded sample (iterative quantisation), each bit cut at the sample's
+median so that codes are balanced, then signs of independent random directions, so many that a pair at the threshold
+misses all of those with probability 0.01 at most, whatever the data. Codes have about log2(n / BLOCK) bits, n being
+the label's own number of vectors of one length, so a bucket holds about a block, and longer codes come with more
+tables: looking a vector up in more tables costs fewer rows than probing the neighbours of its code in each. Vectors
+that agree in one table of one label meet there, and their cosine is computed from the original vectors. A pair
+counts in the first table where it meets. A bucket with many vectors is dealt to block pairs, and a task returns link
+counts and a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import Workspace, connected_components
+from faultline.llm.common import Workspace, connected_components, drawn
 
 SAMPLE = 20_000
 BLOCK = 256
@@ -58,15 +60,17 @@ def table_counts(width: int, bits: int, cosine: float) -> tuple[int, int]:
     return min(bits // width, random), random
 
 
-def codes(unit: np.ndarray, width: int, fitted: np.ndarray | None, cosine: float) -> np.ndarray:
-    """One code of each table, as int32, for each row; rows without tables share one code."""
-    cuts, random = table_counts(width, 0 if fitted is None else fitted.shape[1], cosine)
+def codes(unit: np.ndarray, width: int, fitted: tuple[np.ndarray, np.ndarray] | None, cosine: float) -> np.ndarray:
+    """One code of each table, as int32, for each row; rows without tables share one code. fitted: rotation, medians."""
+    cuts, random = table_counts(width, 0 if fitted is None else fitted[0].shape[1], cosine)
     if not random:
         return np.zeros((len(unit), 1), dtype="<i4")
     directions = np.random.default_rng((11, unit.shape[1], width)).normal(size=(unit.shape[1], random * width))
+    on = unit @ directions >= 0
     if cuts:
-        directions = np.concatenate([fitted[:, : cuts * width], directions], axis=1)
-    on = (unit @ directions >= 0).reshape(len(unit), cuts + random, width)
+        rotation, middle = fitted
+        on = np.concatenate([unit @ rotation[:, : cuts * width] >= middle[: cuts * width], on], axis=1)
+    on = on.reshape(len(unit), cuts + random, width)
     return (on @ (1 << np.arange(width))).astype("<i4")
 
 
@@ -95,9 +99,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(id, n_links, component): one row for each input row.
 
     Rows link when their labels are equal and not null and their cosine, in double precision, reaches the
-    threshold, as far as the index finds the pair. Vectors that are null, empty, zero, of another length than
-    most, or that hold a null or non-finite component link with nothing. Equal vectors of a label are one node
-    with a count. Rows that repeat an id link with each other like any two rows. Other columns are ignored.
+    threshold, as far as the index finds the pair. Vectors that are null, empty, zero, or that hold a null or
+    non-finite component link with nothing, vectors of different lengths not with each other. Equal vectors of a
+    label are one node with a count. Rows that repeat an id link with each other like any two rows. The rotation is
+    fitted on at most about `sample` vectors of the most frequent length. Other columns are ignored.
     """
     work = Workspace(vectors.sparkSession, "embeddings")
     label = F.col(label_col).cast("string") if label_col else F.lit("")
@@ -109,59 +114,61 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = rows.where("v is not null").groupBy("label", "v").agg(F.count("*").alias("k"), F.min("id").alias("least"))
     nodes = nodes.select(F.xxhash64("label", "v").alias("node"), F.xxhash64(F.lit(1), "label", "v").alias("salt"), "*")
     nodes = work.table(nodes.withColumn("size", F.size("v")), "nodes")
-    sizes = nodes.groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).collect()
-    if not sizes:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    width = sizes[0]["size"]
-    nodes = nodes.where(F.col("size") == width).drop("size")
-    spaces = nodes.groupBy("label").count().select("label", code_width(F.col("count")).alias("w")).where("w > 0")
+    spaces = nodes.groupBy("label", "size").count().select(F.col("label").alias("l"), F.col("size").alias("z"), code_width(F.col("count")).alias("w"), "count").where("w > 0")
     spaces = work.table(spaces, "spaces")  # at most one in EXACT of the vectors has a row here
-    fitted = None
-    if spaces.limit(1).count():
-        drawn = np.array([r.v for r in nodes.orderBy("node", "salt").limit(sample).select("v").collect()])
-        drawn /= np.abs(drawn).max(1, keepdims=True)
-        drawn /= np.linalg.norm(drawn, axis=1, keepdims=True)
-        fitted = quantiser(drawn, min(64, width))
+    common = spaces.groupBy("z").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "z").limit(1).collect()
+    fitted, length = None, common[0]["z"] if common else 0
+    if length:
+        rows_of = drawn(nodes.where(F.col("size") == length), sample, "node", "salt").select("node", "salt", "v").collect()
+        rows_of.sort(key=lambda r: (r.node, r.salt))
+        chosen = np.array([r.v for r in rows_of])
+        chosen /= np.abs(chosen).max(1, keepdims=True)
+        chosen /= np.linalg.norm(chosen, axis=1, keepdims=True)
+        rotation = quantiser(chosen, min(64, length))
+        fitted = rotation, np.median(chosen @ rotation, axis=0)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x = batch.column(1).flatten().to_numpy().reshape(-1, width)
-            x = x / np.abs(x).max(1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            bits, code = batch.column(3).to_numpy(), [b""] * len(x)
-            for w in np.unique(bits):
-                at = np.flatnonzero(bits == w)
-                for i, c in zip(at, codes(x[at], int(w), fitted, cosine)):
-                    code[i] = c.tobytes()
+            sizes, bits = batch.column(5).to_numpy(), batch.column(3).to_numpy()
+            ends, values = np.cumsum(sizes), batch.column(1).flatten().to_numpy()
+            code, unit = [b""] * len(sizes), [b""] * len(sizes)
+            for z, w in {*zip(sizes.tolist(), bits.tolist())}:
+                at = np.flatnonzero((sizes == z) & (bits == w))
+                x = values[(ends[at] - z)[:, None] + np.arange(z)]
+                x = x / np.abs(x).max(1, keepdims=True)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                for i, c, u in zip(at, codes(x, w, fitted if z == length else None, cosine), x.astype("<f8")):
+                    code[i], unit[i] = c.tobytes(), u.tobytes()
             parts = pa.array([np.frombuffer(c, "<i4") for c in code], pa.list_(pa.int32()))
-            unit = [r.tobytes() for r in x.astype("<f8")]
+            space = [batch.column(2), batch.column(5)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), parts, pa.array(code, pa.binary()), pa.array(unit, pa.binary()), batch.column(4)], names=["node", "label", "parts", "code", "unit", "k"]
+                [batch.column(0), *space, parts, pa.array(code, pa.binary()), pa.array(unit, pa.binary()), batch.column(4)], names=["node", "label", "size", "parts", "code", "unit", "k"]
             )
 
-    coding = nodes.join(F.broadcast(spaces), "label", "left").select("node", "v", "label", F.coalesce("w", F.lit(0)).alias("w"), "k")
-    coding = work.table(coding.mapInArrow(coded, "node long, label string, parts array<int>, code binary, unit binary, k long"), "codes")
-    spread = coding.select("node", "label", F.posexplode("parts").alias("t", "part"))
+    coding = nodes.join(F.broadcast(spaces), (F.col("label") == F.col("l")) & (F.col("size") == F.col("z")), "left").select("node", "v", "label", F.coalesce("w", F.lit(0)).alias("w"), "k", "size")
+    coding = work.table(coding.mapInArrow(coded, "node long, label string, size int, parts array<int>, code binary, unit binary, k long"), "codes")
+    spread = coding.select("node", "label", "size", F.posexplode("parts").alias("t", "part"))
     # how many blocks a bucket needs; only buckets of two or more go on
-    counts = spread.groupBy("label", "t", "part").count().where("count > 1")
+    counts = spread.groupBy("label", "size", "t", "part").count().where("count > 1")
     counts = counts.withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
-    met = spread.join(counts, ["label", "t", "part"])
+    met = spread.join(counts, ["label", "size", "t", "part"])
     mine = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumn("bucket", F.xxhash64("label", "t", "part", F.least("mine", "other"), F.greatest("mine", "other")))
+    met = met.withColumn("bucket", F.xxhash64("label", "size", "t", "part", F.least("mine", "other"), F.greatest("mine", "other")))
     met = work.table(met.select("bucket", "t", "mine", "other", "node"), "met")
     total = max(1, met.count() // GROUP_ROWS)
-    met = met.join(coding.select("node", "code", "unit", "k"), "node")
-    met = met.select(F.pmod("bucket", F.lit(total)).alias("deal"), "bucket", "t", "mine", "other", "node", "code", "unit", "k")
+    met = met.join(coding.select("node", "label", "code", "unit", "k"), "node")
+    met = met.select(F.pmod("bucket", F.lit(total)).alias("deal"), "bucket", "t", "mine", "other", "node", "label", "code", "unit", "k")
     out = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def rerank(table: pa.Table) -> pa.Table:
         bucket, t, mine, other, node, k = (table[c].to_numpy() for c in ("bucket", "t", "mine", "other", "node", "k"))
         units, parts = table["unit"].to_pylist(), table["code"].to_pylist()
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.diff(bucket[order])) + 1
+        # the label, the length and the table stand beside the bucket's hash, so no two buckets are taken for one
+        _, label = np.unique(np.array(table["label"].to_pylist(), dtype=object), return_inverse=True)
+        keys = np.stack([bucket, label, np.array([len(u) for u in units], dtype=np.int64), t])
+        order = np.lexsort(keys)
+        edges = np.flatnonzero((np.diff(keys[:, order]) != 0).any(0)) + 1
         found: list[list[np.ndarray]] = [[], [], []]
         for at in np.split(order, edges):
             if len(at) < 2:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import Workspace
+from faultline.llm.common import Workspace, drawn
 
 SAMPLE = 20_000
 FEATURES = (
@@ -162,6 +162,19 @@ def held_out(id_column):
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def learnable(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, y) of the labels that may be learned from."""
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
+    return known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
+
+
+def fitted(rows: DataFrame, known: DataFrame) -> Model | None:
+    """The model of the known labels; known is a bounded sample, so it is broadcast and its statistics collected."""
+    train = rows.join(F.broadcast(known), "id").groupBy("id").agg(F.min(F.struct("x", "y")).alias("r")).select("id", "r.x", "r.y").collect()
+    train.sort(key=lambda r: r.id)
+    return fit(np.array([r.x for r in train]), np.array([r.y for r in train])) if train else None
+
+
 def scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -172,17 +185,15 @@ def scores(
 ) -> DataFrame:
     """(id, held_out, score): score is the fitted probability of label 1.
 
-    Labels are learned only from rows that are not held out, at most `sample` of them, those whose ids hash
-    lowest. A label that is null is left out; an id with several labels takes the larger one; rows that repeat an
-    id are scored each, and one of them is learned from. With too few labels of either class every score is 0.5.
-    Null and empty texts are scored by their statistics like any other. Other columns are ignored.
+    Labels are learned only from rows that are not held out, at most about `sample` of them, chosen by a hash of the
+    id. A label that is null is left out; an id with several labels takes the larger one; rows that repeat an id are
+    scored each, and the one of smallest statistics is learned from. With too few labels of either class every score
+    is 0.5. Null and empty texts are scored by their statistics like any other. A very long text is counted whole; a
+    task holds its words. Other columns are ignored.
     """
     work = Workspace(docs.sparkSession, "quality")
     rows = work.table(features(docs, id_col, text_col), "features")
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
-    known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
-    train = rows.join(known, "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    model = fit(np.array([r.x for r in train]), np.array([r.y for r in train])) if train else None
+    model = fitted(rows, drawn(learnable(labels, id_col, label_col), sample, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,14 +208,12 @@ def scores(
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """The rows of docs whose score is 0.5 or more, in one pass over their texts.
 
-    The model is fitted on at most `sample` labelled ids that are not held out, those that hash lowest. With too
-    few labels of either class every row stays.
+    The model is fitted on at most about `sample` labelled ids that are not held out, chosen by a hash of the id. With
+    too few labels of either class every row stays.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
-    known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    known = drawn(learnable(labels, id_col, label_col), sample, "id")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("id")), "id", "left_semi")
-    train = features(rows, "id", "text").join(F.broadcast(known), "id").dropDuplicates(["id"]).orderBy("id").collect()
-    model = fit(np.array([r.x for r in train]), np.array([r.y for r in train])) if train else None
+    model = fitted(features(rows, "id", "text"), known)
     if model is None:
         return docs
     place = docs.columns.index(text_col)

@@ -62,6 +62,7 @@ def test_edges(spark):
         (1, a, 1), (2, a, 1), (2, a, 1), (3, a, 2), (4, a, None), (5, None, 1), (6, [], 1), (7, [0.0] * 4, 1),
         (8, [1.0, None, 2.0, 3.0], 1), (9, [1.0, float("nan"), 2.0, 3.0], 1), (10, [1.0, float("inf"), 2.0, 3.0], 1), (11, b, 1), (12, [-0.0 + x for x in b], 1), (13, [2 * x for x in a], 1),
     ]
+    rows += [(14, [1.0, 2.0], 1), (15, [2.0, 4.0], 1), (16, [1.0, 2.0], 2), (17, [3.0], 1), (18, [5.0], 1)]
     assert run(spark, rows) == brute(rows)
     assert run(spark, rows[4:8]) == brute(rows[4:8])
     assert run(spark, [r for r in rows if r[0] == 99]) == []
@@ -92,3 +93,30 @@ def test_recall_in_a_large_label(spark):
     assert sum(r[1] for r in got if r[0] >= 50_000) == 200
     assert all(r[1] in (0, 1) for r in got)
     assert all(r[2] == r[0] - 20_000 for r in got if r[1] and 20_000 <= r[0] < 50_000)
+
+
+def test_two_lengths_in_one_large_label(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "EXACT", 200)
+    rows = planted(8, 100, 4, 0.05)
+    rows = [(i, v, 1) for i, v, _ in rows] + [(1000 + i, v[:12], 1) for i, v, _ in rows]
+    got, want = run(spark, rows), brute(rows)
+    assert sum(r[1] for r in got) >= 0.97 * sum(r[1] for r in want) > 1000
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+
+
+def test_recall_by_band_and_size(spark):
+    """Planted pairs in each band of cosine, in labels of three sizes: nearly all are found in each, none that is not one."""
+    rng, rows, bands = np.random.default_rng(6), [], ((0.931, 0.95), (0.95, 0.97), (0.97, 0.99))
+    for label, n in enumerate((1_000, 10_000, 30_000)):
+        base = rng.normal(size=(n, 64))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        side = rng.normal(size=(600, 64))
+        side -= (side * base[:600]).sum(1, keepdims=True) * base[:600]
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        cosine = np.concatenate([rng.uniform(*b, size=(200, 1)) for b in bands])
+        near = cosine * base[:600] + np.sqrt(1 - cosine**2) * side
+        rows += [(label * 100_000 + i, v.tolist(), label) for i, v in enumerate(np.concatenate([near, base]).astype(np.float32))]
+    got = {r[0]: r[1] for r in run(spark, rows)}
+    for label in range(3):
+        for b in range(3):
+            assert sum(got[label * 100_000 + i] for i in range(b * 200, b * 200 + 200)) >= 0.95 * 200
