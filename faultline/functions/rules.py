@@ -37,6 +37,7 @@ SIGNALS = (
     Signal("permission", r"(?i)\b(Permission denied|EACCES|Forbidden|unauthorized|authentication failed)\b", without=("grep", "audit")),
     Signal("ansible", r"\b(fatal:|UNREACHABLE|MODULE FAILURE)\b"),
 )
+# what stands after ".stderr:" in a noise line; one search for that prefix serves all of them
 _ON_STDERR = (
     r"\d+\.\d+\.\d+\.\d+:\d+/\d+\s*>>", r"conn\(0x[0-9a-f]+", r"s=STATE_", r"s=READY", r"s=BANNER", r"s=AUTH_", r"s=NONE", r"s=CLOSED", r"\.mark_down", r"\.stop$",
     r"\.ready entity", r"shutdown_connections", r"wait complete", r"Processor -- start", r"start start$", r"\.connect$", r"mon_subscribe", r"mon_getmap", r"mon_command",
@@ -119,6 +120,25 @@ FINGERPRINT_STEPS = (
     (r"\b\d{5,}\b", "<ID>"),
     (r"\s+", " "),
 )
+# The condensed text of a job.
+HEADINGS = {
+    "reason": "=== FAILURE REASON (from teuthology summary) ===",
+    "stderr": "=== COMMAND STDERR (%d failed, %d unique) ===",
+    "context": "=== FAILURE CONTEXT (%d window(s)) ===",
+    "traces": "=== TRACEBACKS (%d unique, %d duplicates removed) ===",
+    "signals": "=== OTHER FAILURE SIGNALS (%d detected) ===",
+    "summary": "=== LOG SUMMARY ===",
+    "blocks": "=== ERROR BLOCKS (%d of %d unique) ===",
+    "tail": "=== LOG TAIL (no specific errors extracted) ===",
+}
+STDERR_ITEM, STDERR_REPEATS, STDERR_COMMAND, STDERR_LINES = "--- Failed command #%d on %s (exit %d)%s ---", " [repeated %dx]", "Command: ", "Stderr output:"
+CONTEXT_ITEM, TRACE_ITEM, SIGNAL_ITEM, BLOCK_ITEM = "--- Context window #%d ---", "--- Traceback #%d ---", "  [%s] %s", "--- Block #%d (lines %d-%d) ---"
+CLIP_MARK = "\n\n... [middle truncated to fit model context] ...\n\n"
+TRUNCATED = "\n\n... [truncated for HTML report size] ...\n(showing first %s of %s chars)"
+# Addresses of a job's log.
+LOG_URL = "https://qa-proxy.ceph.com/teuthology/%s/%s/teuthology.log"
+LOG_URL_RUN = r"https?://qa-proxy\.ceph\.com/teuthology/([^/]+)/"
+LOG_NAMES = ("teuthology.log", "ansible.log")
 # End of fixed values.
 
 ACTIONS = {

@@ -11,7 +11,6 @@ from faultline.functions import rules
 
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-CLIP_MARK = "\n\n... [middle left out] ...\n\n"
 
 
 def java(pattern: str) -> str:
@@ -64,12 +63,12 @@ def clip_middle(column: Column, most: int) -> Column:
     end = F.substring(column, F.length(column) - tail + 1, F.lit(tail))
     ahead = F.instr(end, "\n")
     rest = F.when(ahead > 0, F.substring(end, ahead, F.length(end))).otherwise(end)
-    return F.when(F.length(column) <= most, column).otherwise(F.concat(kept, F.lit(CLIP_MARK), rest))
+    return F.when(F.length(column) <= most, column).otherwise(F.concat(kept, F.lit(rules.CLIP_MARK), rest))
 
 
 def truncated(column: Column, most: int) -> Column:
-    """The text, or its start with a note of the full length."""
-    note = F.concat(F.lit("\n... ["), F.format_number(F.length(column), 0), F.lit(" characters in all]"))
+    """The text, or its start with a note of both lengths."""
+    note = F.format_string(rules.TRUNCATED, F.lit(f"{most:,}"), F.format_number(F.length(column), 0))
     return F.when(F.length(column) <= most, column).otherwise(F.concat(F.substring(column, 1, most), note))
 
 

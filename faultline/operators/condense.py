@@ -7,69 +7,108 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.functions import rules
+from faultline.functions.text import LINE_BREAK, clip_middle, fingerprint, split_lines
 from faultline.operators import extract
-from faultline.functions.text import clip_middle, split_lines
 
 BUDGET = 24_000
+ORDER = ("reason", "stderr", "context", "traces", "signals", "summary", "blocks")
 
 
-def _numbered(rows: DataFrame, order: str, most: int) -> DataFrame:
-    rows = rows.withColumn("item", F.row_number().over(Window.partitionBy("job_id").orderBy(order)))
-    return rows.where(F.col("item") <= most)
+def _job() -> Window:
+    return Window.partitionBy("job_id")
 
 
-def _distinct(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
-    """The first row of each key, with how often it occurs."""
-    same = Window.partitionBy("job_id", *keys)
-    return rows.withColumn("times", F.count("*").over(same)).withColumn("rn", F.row_number().over(same.orderBy(order))).where("rn = 1").drop("rn")
+def _unique(rows: DataFrame, text: str, order: str) -> DataFrame:
+    """The first row of each fingerprint of a job: times it occurs, place from 1, rows (all) and kinds of the job."""
+    same = Window.partitionBy("job_id", "fp")
+    rows = rows.withColumn("fp", fingerprint(F.col(text)))
+    rows = rows.withColumns({"times": F.count("*").over(same), "first": F.row_number().over(same.orderBy(order)), "rows": F.count("*").over(_job())}).where("first = 1")
+    return _placed(rows, order)
 
 
-def _times() -> Column:
-    return F.when(F.col("times") > 1, F.concat(F.lit(" (seen "), F.col("times").cast("string"), F.lit("x)"))).otherwise("")
+def _placed(rows: DataFrame, order: str) -> DataFrame:
+    return rows.withColumns({"place": F.row_number().over(_job().orderBy(order)), "kinds": F.count("*").over(_job())})
+
+
+def _section(name: str, rows: DataFrame, item: Column, most: int, *counts: Column) -> DataFrame:
+    """(job_id, section, text): heading, the first items by place, and an empty line at the end."""
+    rows = rows.where(F.col("place") <= most).select("job_id", F.struct("place", item.alias("text")).alias("x"), *(c.alias(f"n{i}") for i, c in enumerate(counts)))
+    head = F.lit(rules.HEADINGS[name]) if not counts else F.format_string(rules.HEADINGS[name], *(F.col(f"n{i}") for i in range(len(counts))))
+    rows = rows.groupBy("job_id", *(f"n{i}" for i in range(len(counts)))).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return rows.select("job_id", F.lit(ORDER.index(name)).alias("section"), F.concat_ws("\n", head, F.array_join("xs.text", "\n"), F.lit("")).alias("text"))
 
 
 def sections(lines: DataFrame) -> DataFrame:
-    """(job_id, section, item, text): what goes into the condensed text, in order of section and item."""
+    """(job_id, section, text): the sections that a job has, numbered in their order."""
+    ends = F.lit("")
     reason = extract.failure_reason(lines)
-    stderr = _numbered(_distinct(extract.command_stderr(lines), "fail_line", ["host", "stderr"]), "fail_line", 5)
-    last = F.array_join(F.slice(F.split("stderr", "\n"), -F.least(F.lit(20), F.col("n_stderr")).cast("int"), 20), "\n")
-    head = F.concat(F.lit("[host "), "host", F.lit(", status "), F.col("status").cast("string"), F.lit("]"), _times(), F.when(F.col("command") != "", F.concat(F.lit("\n$ "), "command")).otherwise(""), F.lit("\n"))
-    windows = extract.context_windows(lines).where("window_no <= 3")
-    traces = _numbered(_distinct(extract.tracebacks(lines), "trace_no", ["text"]), "trace_no", 5)
-    signals = extract.first_signals(lines)
-    blocks = _numbered(extract.deduplicated(extract.error_blocks(lines)), "start_line", 10)
-    summary = extract.tail_summary(lines).join(reason.select("job_id"), "job_id", "left_anti")
-    item = lambda rows, section, text, item="item": rows.select("job_id", F.lit(section).alias("section"), F.col(item).cast("int").alias("item"), text.alias("text"))
-    title = {0: "FAILURE REASON", 1: "COMMAND STDERR", 2: "FAILURE CONTEXT", 3: "TRACEBACKS", 4: "FAILURE SIGNALS", 5: "SUMMARY", 6: "ERROR BLOCKS"}
+    stderr = _unique(extract.command_stderr(lines), "stderr", "fail_line")
+    shown = F.slice(F.split("stderr", "\n"), -F.least(F.lit(20), F.col("n_stderr")).cast("int"), 20)
+    note = F.when(F.col("times") > 1, F.format_string(rules.STDERR_REPEATS, "times")).otherwise("")
+    failed = F.concat_ws(
+        "\n", F.format_string(rules.STDERR_ITEM, "place", "host", "status", note), F.when(F.col("command") != "", F.concat(F.lit(rules.STDERR_COMMAND), "command")), F.lit(rules.STDERR_LINES),
+        F.array_join(F.transform(shown, lambda x: F.concat(F.lit("  "), x)), "\n"), ends,
+    )
+    windows = _placed(extract.context_windows(lines).where("text <> ''"), "window_no")
+    traces = _unique(extract.tracebacks(lines), "text", "trace_no")
+    blocks = _placed(extract.deduplicated(extract.error_blocks(lines)), "start_line")
+    signals = extract.first_signals(lines).withColumn("place", F.col("type_no") * 100 + F.col("item_no"))
+    signals = signals.join(extract.signals(lines).groupBy("job_id").agg(F.count("*").alias("rows")), "job_id")
+    summary = extract.tail_summary(lines).where("text <> ''").join(reason.select("job_id"), "job_id", "left_anti")
+    one = lambda rows: rows.withColumn("place", F.lit(1))
+    titled = lambda form: F.concat_ws("\n", F.format_string(form, "place"), F.col("text"), ends)
+    block = F.concat_ws("\n", F.format_string(rules.BLOCK_ITEM, "place", "start_line", "end_line"), F.col("text"), ends)
+    # lists end with the empty line of their last item, so theirs are cut to it
     parts = [
-        item(reason.withColumn("item", F.lit(1)), 0, F.col("reason")),
-        item(stderr, 1, F.concat(head, last)),
-        item(windows, 2, F.col("text"), "window_no"),
-        item(traces, 3, F.concat("text", _times())),
-        item(signals.withColumn("item", F.col("type_no") * 100 + F.col("item_no")), 4, F.concat(F.lit("["), "signal_type", F.lit("] "), "line")),
-        item(summary.withColumn("item", F.lit(1)), 5, F.col("text")),
-        item(blocks, 6, F.col("text")),
+        _section("reason", one(reason), F.col("reason"), 1),
+        _listed("stderr", stderr, failed, 5, F.col("rows"), F.col("kinds")),
+        _listed("context", windows, titled(rules.CONTEXT_ITEM), 3, F.col("kinds")),
+        _listed("traces", traces, titled(rules.TRACE_ITEM), 5, F.col("kinds"), F.col("rows") - F.col("kinds")),
+        _section("signals", signals, F.format_string(rules.SIGNAL_ITEM, "signal_type", "line"), 10**6, F.col("rows")),
+        _section("summary", one(summary), F.col("text"), 1),
+        _listed("blocks", blocks, block, 10, F.least(F.lit(10), "kinds"), F.col("kinds")),
     ]
-    rows = reduce(DataFrame.unionByName, parts)
-    heads = rows.select("job_id", "section").distinct().select("job_id", "section", F.lit(0).alias("item"), F.concat(F.lit("=== "), F.element_at(F.array(*(F.lit(title[i]) for i in range(7))), F.col("section") + 1), F.lit(" ===")).alias("text"))
-    return rows.unionByName(heads)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _listed(name: str, rows: DataFrame, item: Column, most: int, *counts: Column) -> DataFrame:
+    """A section whose items bring their own empty line."""
+    return _section(name, rows, item, most, *counts).withColumn("text", F.expr("substring(text, 1, length(text) - 1)"))
 
 
 def condensed(lines: DataFrame, most: int = BUDGET) -> DataFrame:
-    """(job_id, condensed_text): one row for each job that has a line."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("section", "item", "text"))), lambda x: x["text"])
-    rows = sections(lines).groupBy("job_id").agg(F.array_join(listed, "\n").alias("text"))
-    return rows.select("job_id", clip_middle(F.col("text"), most).alias("condensed_text"))
+    """(job_id, condensed_text): one row for each job that has a line.
+
+    The lines are laid out by job once and kept while the extractors read them. Tokens of the headings and labels are part of the text that verdicts and signatures read.
+    """
+    lines = extract.prepared(lines)
+    rows = sections(lines).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("section", "text"))).alias("xs"))
+    rows = rows.select("job_id", F.array_join("xs.text", "\n").alias("text"))
+    # only a job of one empty line has no section
+    tails = lines.select("job_id").distinct().join(rows.select("job_id"), "job_id", "left_anti").select("job_id", F.lit(rules.HEADINGS["tail"] + "\n").alias("text"))
+    return rows.unionByName(tails).select("job_id", clip_middle(F.col("text"), most).alias("condensed_text"))
 
 
 def parsed(raw: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """raw (job_id, job_ord, raw_log) with condensed_text, tracebacks, error_blocks, total_lines and total_chars."""
+    log = F.coalesce("raw_log", F.lit(""))
     if lines is None:
-        lines = raw.select("job_id", F.posexplode(split_lines(F.coalesce("raw_log", F.lit("")))).alias("n", "line")).select("job_id", F.col("n").cast("long").alias("line_no"), "line")
+        lines = raw.select("job_id", F.posexplode(split_lines(log)).alias("n", "line")).select("job_id", F.col("n").cast("long").alias("line_no"), "line")
+    lines = extract.prepared(lines)
     traces = extract.tracebacks(lines).groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("trace_no", "text"))), lambda x: x["text"]).alias("tracebacks"))
     blocks = extract.deduplicated(extract.error_blocks(lines)).groupBy("job_id")
     blocks = blocks.agg(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "text"))), lambda x: x["text"]).alias("error_blocks"))
-    rows = raw.select("job_id", "job_ord", F.size(split_lines(F.coalesce("raw_log", F.lit("")))).cast("long").alias("total_lines"), F.length(F.coalesce("raw_log", F.lit(""))).cast("long").alias("total_chars"))
+    rows = raw.select("job_id", "job_ord", F.size(split_lines(log)).cast("long").alias("total_lines"), F.length(log).cast("long").alias("total_chars"), log.alias("raw"))
     rows = rows.join(condensed(lines), "job_id", "left").join(traces, "job_id", "left").join(blocks, "job_id", "left")
     none = F.array().cast("array<string>")
-    return rows.withColumns({"condensed_text": F.coalesce("condensed_text", F.lit("(empty log)")), "tracebacks": F.coalesce("tracebacks", none), "error_blocks": F.coalesce("error_blocks", none)})
+    # a log without a line, or of one line break, has no section; it is its own text
+    bare = (F.col("total_lines") <= 1) & (F.regexp_replace("raw", LINE_BREAK, "") == "")
+    text = F.when(bare, F.concat(F.lit(rules.HEADINGS["tail"] + "\n"), "raw")).otherwise(F.col("condensed_text"))
+    return rows.withColumns({"condensed_text": text, "tracebacks": F.coalesce("tracebacks", none), "error_blocks": F.coalesce("error_blocks", none)}).drop("raw")
+
+
+def parse_stats(parsed_jobs: DataFrame) -> DataFrame:
+    """(job_id, total_lines, total_chars, tracebacks, error_blocks, condensed_chars): the size of what a log gave."""
+    n = lambda c: F.size(c).cast("long").alias(c)
+    return parsed_jobs.select("job_id", "total_lines", "total_chars", n("tracebacks"), n("error_blocks"), F.length("condensed_text").cast("long").alias("condensed_chars"))

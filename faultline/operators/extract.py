@@ -1,20 +1,19 @@
 """Extractors over `lines` (job_id, line_no, line): every result is computed for all jobs at once.
 
-All windows share the partitioning by job and the order by line, so one exchange and one sort serve them.
+All windows share the partitioning by job and the order by line, so one exchange and one sort serve them; no frame
+reaches to the end of a job, so each costs a constant a line. `prepared` lays lines out that way once for many extractors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from faultline.functions import rules
 from faultline.functions.text import fingerprint, has, java, strip
 
-
-
 def in_order() -> WindowSpec:
     return Window.partitionBy("job_id").orderBy("line_no")
 
@@ -23,6 +22,11 @@ def whole() -> WindowSpec:
     return Window.partitionBy("job_id")
 
 
+def prepared(lines: DataFrame) -> DataFrame:
+    """lines dealt and sorted by job, kept in memory or on disk: extractors over it need no further exchange."""
+    return lines.select("job_id", "line_no", "line").repartition("job_id").sortWithinPartitions("job_id", "line_no").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def signal_type(line: Column) -> Column:
     """The first signal that a line has, else null; noise has none."""
     chain = F.when(has(line, rules.NOISE), F.lit(None).cast("string"))
@@ -41,8 +45,8 @@ def signals(lines: DataFrame) -> DataFrame:
 
 
 def first_signals(lines: DataFrame, each: int = 5, most: int = 15) -> DataFrame:
-    """(job_id, signal_type, type_no, item_no, line): distinct lines of each type, types in order of appearance."""
-    rows = signals(lines).groupBy("job_id", "signal_type", "line").agg(F.min("line_no").alias("at"))
+    """(job_id, signal_type, type_no, item_no, line): distinct stripped lines of each type, types in order of appearance."""
+    rows = signals(lines).withColumn("line", strip(F.col("line"))).groupBy("job_id", "signal_type", "line").agg(F.min("line_no").alias("at"))
     rows = rows.withColumn("started", F.min("at").over(Window.partitionBy("job_id", "signal_type")))
     rows = rows.withColumn("item_no", F.row_number().over(Window.partitionBy("job_id", "signal_type").orderBy("at"))).where(F.col("item_no") <= each)
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("job_id").orderBy("started", "item_no"))).where(F.col("n") <= most)
@@ -54,19 +58,27 @@ def error_hits(lines: DataFrame) -> DataFrame:
     return lines.where(has(F.col("line"), rules.ERROR_WORD) & ~has(F.col("line"), rules.NOISE))
 
 
-def islands(hits: DataFrame, lines: DataFrame, before: int, after: int, join: int) -> DataFrame:
-    """(job_id, island, start_line, end_line): spans of hits with context; spans up to `join` lines apart are one."""
-    gap = F.col("line_no") - F.lag("line_no").over(in_order()) > before + after + join
-    rows = hits.select("job_id", "line_no").withColumn("new", F.coalesce(gap, F.lit(True)).cast("int"))
-    rows = rows.withColumn("island", F.sum("new").over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
-    spans = rows.groupBy("job_id", "island").agg(F.min("line_no").alias("lo"), F.max("line_no").alias("hi"))
-    ends = lines.groupBy("job_id").agg(F.max("line_no").alias("last"))
-    return spans.join(ends, "job_id").select("job_id", "island", F.greatest(F.col("lo") - before, F.lit(0)).alias("start_line"), F.least(F.col("hi") + after, "last").alias("end_line"))
+def in_islands(lines: DataFrame, hit: Column, before: int, after: int, join: int) -> DataFrame:
+    """Lines near a hit, with the number of their island: spans of hits with context, those up to `join` lines apart being one.
+
+    The last hit up to a line and the next one within reach say whether the line belongs, and to which island.
+    """
+    reach, at = before + after + join, F.col("line_no")
+    rows = lines.withColumn("hit", F.when(hit, at))
+    past = in_order().rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"prior": F.max("hit").over(past), "next": F.min("hit").over(in_order().rowsBetween(0, reach))})
+    first = F.col("hit").isNotNull() & (F.col("prior").isNull() | (at - F.col("prior") > reach))
+    rows = rows.withColumn("begun", F.sum(first.cast("long")).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.coalesce("hit", "prior")
+    held = last.isNotNull() & ((at - last <= after) | F.coalesce(F.col("next") - last <= reach, F.lit(False)))
+    ahead = F.coalesce(F.col("next") - at <= before, F.lit(False))
+    rows = rows.where(held | ahead).withColumn("island", F.when(held, F.col("begun")).otherwise(F.col("begun") + 1))
+    return rows.drop("hit", "prior", "next", "begun")
 
 
-def members(spans: DataFrame, lines: DataFrame) -> DataFrame:
-    """spans with their lines: an equi-join by job with the range as its residue."""
-    return spans.join(lines, "job_id").where("line_no between start_line and end_line")
+def spans_of(rows: DataFrame) -> dict[str, Column]:
+    over = Window.partitionBy("job_id", "island")
+    return {"start_line": F.min("line_no").over(over), "end_line": F.max("line_no").over(over)}
 
 
 def joined_text() -> Column:
@@ -75,17 +87,19 @@ def joined_text() -> Column:
 
 def error_blocks(lines: DataFrame, context: int = 5) -> DataFrame:
     """(job_id, start_line, end_line, text): error lines with their surroundings, touching spans merged."""
-    spans = islands(error_hits(lines), lines, context, context, 1)
-    return members(spans, lines).groupBy("job_id", "start_line", "end_line").agg(joined_text())
+    hit = has(F.col("line"), rules.ERROR_WORD) & ~has(F.col("line"), rules.NOISE)
+    rows = in_islands(lines, hit, context, context, 1)
+    blocks = rows.groupBy("job_id", "island").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), joined_text())
+    return blocks.select("job_id", "start_line", "end_line", "text")
 
 
 def deduplicated(blocks: DataFrame) -> DataFrame:
-    """(job_id, start_line, repeats, fp, text): the first block of each fingerprint, marked with its count."""
+    """(job_id, start_line, end_line, repeats, fp, text): the first block of each fingerprint, marked with its count."""
     same = Window.partitionBy("job_id", "fp")
     rows = blocks.withColumn("fp", fingerprint(F.col("text"))).withColumn("repeats", F.count("*").over(same))
     rows = rows.withColumn("rn", F.row_number().over(same.orderBy("start_line"))).where("rn = 1")
     text = F.when(F.col("repeats") > 1, F.concat(F.lit("[Repeated "), F.col("repeats").cast("string"), F.lit("x] "), F.col("text"))).otherwise(F.col("text"))
-    return rows.select("job_id", "start_line", "repeats", "fp", text.alias("text"))
+    return rows.select("job_id", "start_line", "end_line", "repeats", "fp", text.alias("text"))
 
 
 def context_windows(lines: DataFrame, most: int = 5) -> DataFrame:
@@ -93,9 +107,8 @@ def context_windows(lines: DataFrame, most: int = 5) -> DataFrame:
     line = F.col("line")
     strong = has(line, rules.COMMAND_FAILED) | (line.contains("ERROR:teuthology") & line.contains("Saw exception"))
     strong = strong | (has(line, rules.TASK_WARNING) & (F.lower(line).contains("failed") | F.lower(line).contains("error")))
-    spans = islands(lines.where(strong), lines, 30, 10, 5)
-    spans = spans.where(F.col("island") <= most)
-    rows = members(spans, lines).where(~has(line, rules.NOISE))
+    rows = in_islands(lines, strong, 30, 10, 5).where(F.col("island") <= most)
+    rows = rows.withColumns(spans_of(rows)).where(~has(line, rules.NOISE))
     return rows.groupBy("job_id", F.col("island").alias("window_no"), "start_line", "end_line").agg(joined_text())
 
 
@@ -123,7 +136,11 @@ def command_stderr(lines: DataFrame, back: int = 50) -> DataFrame:
     """
     line = F.col("line")
     fails = failures(lines)
-    near = fails.join(lines, "job_id").where((F.col("line_no") < F.col("fail_line")) & (F.col("line_no") >= F.col("fail_line") - back))
+    # a failure looks into the one or two stretches of `back` lines that its look-back touches, not into its whole job
+    part = lambda at: F.floor(at / back).cast("long")
+    looks = F.array_distinct(F.array(part(F.col("fail_line") - 1), part(F.greatest(F.col("fail_line") - back, F.lit(0)))))
+    near = fails.withColumn("part", F.explode(looks)).join(lines.withColumn("part", part(F.col("line_no"))), ["job_id", "part"])
+    near = near.where((F.col("line_no") < F.col("fail_line")) & (F.col("line_no") >= F.col("fail_line") - back)).drop("part")
     own = (F.regexp_extract(line, java(rules.REMOTE_STDERR), 1) == F.col("host")) & (F.col("host") != "")
     content = strip(F.regexp_extract(line, java(rules.REMOTE_STDERR), 2))
     taken = own & (content != "") & ~has(line, rules.NOISE)
@@ -187,60 +204,70 @@ def tail_summary(lines: DataFrame) -> DataFrame:
     return rows.groupBy("job_id", "kind", "start_line", (F.col("stop") - 1).alias("end_line")).agg(joined_text())
 
 
-TRACEBACK_SCHEMA = "job_id string, trace_no long, start_line long, text string"
+SPANS = "job_id string, trace_no long, start_line long, lo long, hi long"
 
 
-def tracebacks(lines: DataFrame, tail: str = "parity") -> DataFrame:
-    """(job_id, trace_no, start_line, text): exception traces, found by a scan that must read lines in turn.
+def trace_marks(lines: DataFrame) -> DataFrame:
+    """(job_id, line_no, start, kind, follow): lines that start a trace or may end one, from a job's first start on.
 
-    Only lines of jobs that hold a trace go to the scan. tail="parity" ends a trace before a flush-left line that
-    follows a source line; "complete" takes that line along, which usually names the exception.
+    Whether a line ends a trace depends on itself and on the next line that isn't blank: `end` after an exception's
+    line, `jump` where a chained trace follows at `follow`, `stop` before a flush-left line.
     """
-    if tail not in ("parity", "complete"):
-        raise ValueError("tail is parity or complete")
-    line, text = F.col("line"), strip(F.col("line"))
-    starts = has(line, rules.TRACEBACK_START)
-    marked = lines.select(
-        "job_id", "line_no", "line", starts.alias("start"), has(text, rules.TRACEBACK_END).alias("final"), has(text, rules.TRACEBACK_CHAIN).alias("chain"), text.alias("bare")
-    ).withColumn("any", F.max("start").over(whole()))
+    text = strip(F.col("line"))
+    rows = lines.select("job_id", "line_no", "line", text.alias("bare")).where("bare <> ''").select(
+        "job_id", "line_no", has(F.col("line"), rules.TRACEBACK_START).alias("start"), has(F.col("bare"), rules.TRACEBACK_END).alias("final"),
+        has(F.col("bare"), rules.TRACEBACK_CHAIN).alias("chain"), F.substring("line", 1, 1).isin(" ", "\t").alias("indented"), F.col("bare").rlike(r"^(File |\.\.\.)").alias("inner"),
+    )
+    ahead = lambda c: F.lead(c).over(in_order())
+    rows = rows.withColumns({"follow": ahead("line_no"), "linked": F.coalesce(ahead(F.col("start") | F.col("chain")), F.lit(False)), "flush": ~ahead("indented")})
+    kind = F.when(F.col("inner"), None).when(F.col("final"), F.when(F.col("linked"), "jump").otherwise("end"))
+    kind = kind.when((F.col("follow") == F.col("line_no") + 1) & F.col("flush") & ~F.col("linked"), "stop")
+    seen = F.max("start").over(in_order().rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumns({"kind": kind, "seen": seen}).where("seen and (start or kind is not null)").select("job_id", "line_no", "start", "kind", "follow")
+
+
+def trace_spans(marks, extra: int) -> list[tuple[int, int, int, int | None]]:
+    """(trace, its first line, from, to) of the stretches that make up each trace; to is None at the end of the log."""
+    out, trace, first, lo, skip = [], -1, None, None, -1
+    starts = [int(m.line_no) for m in marks if m.start]
+    for m in marks:
+        at = int(m.line_no)
+        if at < skip:
+            continue
+        if first is None:
+            if m.start:
+                trace, first, lo = trace + 1, at, at
+            continue
+        if m.kind not in ("end", "stop", "jump"):
+            continue
+        out.append((trace, first, lo, at + 1 + (extra if m.kind == "stop" else 0)))
+        if m.kind == "jump":
+            # what follows belongs to this trace up to the next start, unread, and on from there
+            lo, skip = int(m.follow), next((x for x in starts if x >= m.follow), None)
+            if skip is None:
+                return [*out, (trace, first, lo, None)]
+        else:
+            first, skip = None, at + 1 + (extra if m.kind == "stop" else 0)
+    return out if first is None else [*out, (trace, first, lo, None)]
 
-    def scan(key: tuple, rows):
-        import pandas as pd
 
-        rows = rows.sort_values("line_no")[["line", "bare", "start", "final", "chain"]]
-        found = list(traces([tuple(r) for r in rows.itertuples(index=False)], tail == "complete"))
-        return pd.DataFrame({"job_id": [key[0]] * len(found), "trace_no": range(len(found)), "start_line": [a for a, _ in found], "text": [t for _, t in found]})
+def tracebacks(lines: DataFrame, tail: str = "parity") -> DataFrame:
+    """(job_id, trace_no, start_line, text): exception traces.
 
-    return marked.where("any").drop("any").groupBy("job_id").applyInPandas(scan, TRACEBACK_SCHEMA)
+    Marks are found by windows; only a job's marks, a few bytes each, are read in turn, and what they span is cut out
+    of the lines by a window again. tail="parity" ends a trace before a flush-left line that follows a source line;
+    "complete" takes that line along, which usually names the exception.
+    """
+    if tail not in ("parity", "complete"):
+        raise ValueError("tail is parity or complete")
 
+    def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = trace_spans(list(rows.sort_values("line_no").itertuples()), int(tail == "complete"))
+        return pd.DataFrame([(key[0], *x) for x in found], columns=["job_id", "trace_no", "start_line", "lo", "hi"])
 
-def traces(rows: list[tuple[str, str, bool, bool, bool]], complete: bool) -> Iterator[tuple[int, str]]:
-    """(start, text) of each trace; rows hold the line, its stripped form, and whether it starts, ends or chains one."""
-    n, at = len(rows), 0
-    while at < n:
-        if not rows[at][2]:
-            at += 1
-            continue
-        first, taken, at = at, [rows[at][0]], at + 1
-        while at < n:
-            line, bare, _, final, _ = rows[at]
-            taken.append(line)
-            at += 1
-            if not bare or bare.startswith(("File ", "...")):
-                continue
-            if final:
-                follow = next((k for k in range(at, n) if rows[k][1]), n)
-                if follow == n or not (rows[follow][4] or rows[follow][2]):
-                    break
-                # a chained trace: all up to its start belongs to this one; without a start the text runs to the end
-                again = next((k for k in range(follow, n) if rows[k][2]), n)
-                taken += [r[0] for r in rows[follow:again]]
-                if again == n:
-                    break
-                at = again
-            elif at < n and rows[at][1] and rows[at][0][:1] not in (" ", "\t") and not rows[at][2] and not rows[at][4]:
-                if complete:
-                    taken.append(rows[at][0])
-                    at += 1
-                break
-        yield first, "\n".join(taken)
+    spans = trace_marks(lines).groupBy("job_id").applyInPandas(scan, SPANS)
+    spans = spans.select("job_id", F.col("lo").alias("line_no"), F.struct("trace_no", "start_line", "hi").alias("span"))
+    rows = lines.join(spans, ["job_id", "line_no"], "left")
+    rows = rows.withColumn("span", F.last("span", ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where("span is not null and (span.hi is null or line_no < span.hi)")
+    return rows.groupBy("job_id", "span.trace_no", "span.start_line").agg(joined_text())

@@ -24,6 +24,13 @@ def run_health(runs: DataFrame) -> DataFrame:
     return out.withColumns({"pct": half_even(F.col("failure_ratio")), "classification": kind})
 
 
+def effective_totals(runs: DataFrame, logs: DataFrame) -> DataFrame:
+    """runs (run_id, total_jobs, ...) whose total is at least the number of the run's logs."""
+    n = logs.groupBy(F.col("run_id").alias("of_run")).agg(F.count("*").alias("logs"))
+    rows = runs.join(n, F.col("run_id") == F.col("of_run"), "left").drop("of_run")
+    return rows.withColumn("total_jobs", F.greatest(F.col("total_jobs"), F.coalesce("logs", F.lit(0)))).drop("logs")
+
+
 def half_even(ratio: Column) -> Column:
     return F.concat(F.bround(ratio * 100, 0).cast("int").cast("string"), F.lit("%"))
 
@@ -62,6 +69,50 @@ def top_by_severity(verdicts: DataFrame, group: str, most: int, order: str = "jo
     return verdicts.withColumn("place", place).where(F.col("place") <= most)
 
 
+def by_confidence(verdicts: DataFrame, order: str = "job_ord") -> DataFrame:
+    """Surest first; no confidence counts as none."""
+    return verdicts.orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), order)
+
+
+def by_job_id(verdicts: DataFrame) -> DataFrame:
+    """In order of job id, runs of digits by their value: job9 before job10."""
+    digits = F.regexp_extract_all("job_id", F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    padded = F.transform(digits, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(F.lower(x)))
+    return verdicts.orderBy(padded, "job_id")
+
+
+def by_user(verdicts: DataFrame, order: str = "job_ord") -> DataFrame:
+    """In order of user, gravest first."""
+    return verdicts.orderBy(F.coalesce("user", F.lit("")), rank(F.col("severity")), order)
+
+
+def limited(verdicts: DataFrame, most: int = 30, order: str = "job_ord") -> DataFrame:
+    """The gravest rows; `left_out` says how many there are besides."""
+    return by_severity(verdicts, order).limit(most)
+
+
+def left_out(verdicts: DataFrame, most: int = 30) -> DataFrame:
+    """(more): "+N more" for what a limit of `most` leaves out, or ""."""
+    rest = F.count("*") - most
+    return verdicts.agg(F.when(rest > 0, F.concat(F.lit("+"), rest.cast("string"), F.lit(" more"))).otherwise("").alias("more"))
+
+
+def run_facets(verdicts: DataFrame) -> DataFrame:
+    """One row: failure_types and users that occur, sorted and joined by commas, and whether more than one user or run does."""
+    of = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))
+    kind = F.coalesce(F.nullif(F.col("failure_type"), F.lit("")), F.lit("unknown"))
+    rows = verdicts.agg(F.array_sort(F.collect_set(kind)).alias("t"), of("user").alias("u"), F.countDistinct("run").alias("r"))
+    return rows.select(F.array_join("t", ",").alias("failure_types"), F.array_join("u", ",").alias("users"), ((F.col("r") > 1) | (F.size("u") > 1)).alias("multi_run"))
+
+
+def status_pill(verdicts: DataFrame) -> DataFrame:
+    """verdicts with status (fallback before success) and band (confidence of 75 percent or more, of 50, less)."""
+    category, percent = F.lower(F.coalesce("error_category", F.lit(""))), (F.col("confidence") * 100).cast("int")
+    fallback = category.contains("artifact availability") | category.contains("log fetch failure")
+    status = F.when(fallback, "fallback analysis").when(F.col("success"), "analysis available").otherwise("log unavailable")
+    return verdicts.withColumns({"status": status, "band": F.when(percent >= 75, "high").when(percent >= 50, "medium").otherwise("low")})
+
+
 def needs_attention(verdicts: DataFrame) -> DataFrame:
     return verdicts.where(~F.col("success") | F.col("fallback") | (F.col("confidence") < 0.6) | (F.col("failure_type") == "unknown"))
 
@@ -141,11 +192,21 @@ def write_csv(verdicts: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
-def write_index(logs: DataFrame, path: str) -> None:
-    """An index of fetched logs: bytes are those of the UTF-8 text, none for failures."""
-    ok = F.col("status") == "ok"
-    rows = logs.select(
-        "job_id", "status", F.when(ok, F.concat("job_id", F.lit(".log"))).otherwise("").alias("log_path"), F.col("source_url").alias("fetched_from"), "log_name",
-        F.when(ok, F.octet_length("log_text")).otherwise(0).alias("bytes"), F.format_string("%.3f", "elapsed_s").alias("elapsed_s"), "error_message",
+def index_rows(logs: DataFrame) -> DataFrame:
+    """The index of fetched logs: bytes are those of the UTF-8 text; a log without text is a failed fetch of none."""
+    ok = (F.col("status") == "ok") & F.col("log_text").isNotNull()
+    return logs.select(
+        "job_id", F.when(ok, "ok").otherwise("fetch_failed").alias("status"), F.when(ok, F.concat("job_id", F.lit(".log"))).otherwise("").alias("log_path"),
+        F.col("source_url").alias("fetched_from"), "log_name", F.when(ok, F.octet_length("log_text")).otherwise(0).cast("long").alias("bytes"),
+        F.format_string("%.3f", "elapsed_s").alias("elapsed_s"), "error_message",
     )
-    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_logs(logs: DataFrame, path: str) -> None:
+    """The texts of fetched logs under path/logs, and their index under path/index.csv.
+
+    The file of log_path `X.log` is the folder logs/log_path=X.log, one text file each, so that all are written in one job.
+    """
+    index_rows(logs).write.mode("overwrite").option("header", True).csv(f"{path}/index.csv")
+    texts = logs.where("status = 'ok' and log_text is not null").select(F.concat("job_id", F.lit(".log")).alias("log_path"), F.col("log_text").alias("value"))
+    texts.repartition("log_path").write.mode("overwrite").partitionBy("log_path").option("lineSep", "\n").text(f"{path}/logs")

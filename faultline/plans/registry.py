@@ -85,7 +85,7 @@ LINES = f"""tm(et, km, seq, tmpl) AS (VALUES {TEMPLATE_SQL}),
 ev AS (SELECT *, regexp_extract(props, '([0-9]+)', 1) AS kk FROM events),
 lines AS (SELECT CAST(user_id AS VARCHAR) AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, seq) - 1 AS line_no,
   replace(replace(replace(tmpl, '{{ts}}', substr(CAST(ts AS VARCHAR), 1, 19)), '{{k}}', kk), '{{h}}', CAST(user_id % 3 AS VARCHAR)) AS line
-  FROM ev JOIN tm ON event_type = et AND km = CASE WHEN event_type = 'error' THEN CAST(kk AS INT) % 12 ELSE 0 END)"""
+  FROM ev JOIN tm ON event_type = et AND km = CASE WHEN event_type = 'error' THEN CAST(kk AS INT) % 18 ELSE 0 END)"""
 SIGNALS = f"{LINES}, sg AS (SELECT * FROM (SELECT *, {signal_sql()} AS signal_type FROM lines) WHERE signal_type IS NOT NULL)"
 ERRORS = f"{LINES}, hits AS (SELECT * FROM lines WHERE {matches('line', rules.ERROR_WORD)} AND NOT {matches('line', rules.NOISE)})"
 ENDS = "ends AS (SELECT job_id, max(line_no) AS last FROM lines GROUP BY 1)"
@@ -140,8 +140,27 @@ SIGNATURE_SQL = STRIP(
   nullif(regexp_extract(text, {quoted(rules.SIGNATURE_FATAL)}, 1), ''))), ''), substr(text, 1, 200))"""
     )
 )
+TRACES = f"""{LINES}, nb AS (SELECT job_id, line_no, {STRIP("line")} AS bare, {matches("line", rules.TRACEBACK_START)} AS start, {matches(STRIP("line"), rules.TRACEBACK_CHAIN)} AS chain,
+  substr(line, 1, 1) IN (' ', chr(9)) AS indented FROM lines WHERE {STRIP("line")} <> ''),
+nx AS (SELECT *, lead(line_no) OVER o AS follow, coalesce(lead(start OR chain) OVER o, false) AS linked, NOT lead(indented) OVER o AS flush FROM nb WINDOW o AS (PARTITION BY job_id ORDER BY line_no)),
+ek AS (SELECT *, CASE WHEN starts_with(bare, 'File ') OR starts_with(bare, '...') THEN '' WHEN {matches("bare", rules.TRACEBACK_END)} THEN CASE WHEN linked THEN 'jump' ELSE 'end' END
+  WHEN follow = line_no + 1 AND flush AND NOT linked THEN 'stop' ELSE '' END AS kind FROM nx),
+ln AS (SELECT l.job_id, l.line_no, l.line, coalesce(start, false) AS start, coalesce(kind, '') AS kind, follow,
+  CASE WHEN kind = 'jump' THEN coalesce((SELECT min(x.line_no) FROM ek x WHERE x.job_id = l.job_id AND x.start AND x.line_no >= ek.follow), 1000000000) END AS again FROM lines l LEFT JOIN ek USING (job_id, line_no)),
+wk AS (SELECT job_id, -1::BIGINT AS line_no, NULL::BIGINT AS tr, 0::BIGINT AS cnt, 0::BIGINT AS skip, 0::BIGINT AS fol, NULL::BIGINT AS inc FROM (SELECT DISTINCT job_id FROM lines)
+  UNION ALL SELECT w.job_id, n.line_no,
+    CASE WHEN w.tr IS NULL THEN CASE WHEN n.start THEN w.cnt END WHEN n.line_no >= w.skip AND n.kind IN ('end', 'stop') THEN NULL ELSE w.tr END,
+    CASE WHEN w.tr IS NULL AND n.start THEN w.cnt + 1 ELSE w.cnt END,
+    CASE WHEN w.tr IS NOT NULL AND n.line_no >= w.skip AND n.kind = 'jump' THEN n.again ELSE w.skip END,
+    CASE WHEN w.tr IS NOT NULL AND n.line_no >= w.skip AND n.kind = 'jump' THEN n.follow ELSE w.fol END,
+    CASE WHEN w.tr IS NULL THEN CASE WHEN n.start THEN w.cnt END WHEN n.line_no >= w.skip OR n.line_no >= w.fol THEN w.tr END
+  FROM wk w JOIN ln n ON n.job_id = w.job_id AND n.line_no = w.line_no + 1),
+tb AS (SELECT wk.job_id, wk.line_no, inc AS tr, line FROM wk JOIN lines USING (job_id, line_no) WHERE inc IS NOT NULL)"""
 CLUSTERED = f"{JOBS}, cl AS (SELECT *, substr(sha256(sig), 1, 16) AS cluster_id FROM (SELECT *, {SIGNATURE_SQL} AS sig FROM jb))"
+LINE_CLUSTERS = f"{FAILING}, lc AS (SELECT *, CAST(CAST(split_part(job_id, ':', 1) AS BIGINT) % 4 AS VARCHAR) AS run_id, substr(sha256(sig), 1, 16) AS cluster_id FROM (SELECT *, {SIGNATURE_SQL} AS sig FROM fl))"
 DOC_LINES = "dl AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS line_no, unnest(p) AS line FROM (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\v\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS p FROM documents)))"
+TOKEN_SETS = """ts AS (SELECT text, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]{2,}'), lambda x: lower(x)))) AS t FROM (SELECT DISTINCT text FROM fl)),
+hd AS (SELECT t, min(text) AS head FROM ts WHERE len(t) > 0 GROUP BY 1)"""
 RUNS = f"{SIGNALS}, rn AS (SELECT CAST(CAST(job_id AS BIGINT) % 40 AS VARCHAR) AS run_id, count(DISTINCT job_id) AS total_jobs, count(DISTINCT CASE WHEN signal_type = 'crash' THEN job_id END) AS failed_jobs FROM (SELECT lines.job_id, signal_type FROM lines LEFT JOIN sg USING (job_id, line_no)) GROUP BY 1)"
 HEALTH_SQL = """SELECT run_id, total_jobs, failed_jobs, greatest(total_jobs - failed_jobs, 0) AS passed_jobs, failed_jobs / total_jobs AS failure_ratio,
  CAST(round_even(failed_jobs / total_jobs * 100, 0)::INT AS VARCHAR) || '%' AS pct,
@@ -159,23 +178,67 @@ def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).withColumn("signature", clusters.signature(F.col("text")))
 
 
-def listed(column: str):
-    return F.array_join(column, ",").alias(column)
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs with the cluster of their signature, all as one run."""
+    return clusters.assigned(signed(spark, sf_dir).withColumn("run_id", F.lit("all")))
 
 
-def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.exact_clusters(signed(spark, sf_dir))
+def line_members(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
+    """Single failing lines, whose signatures are short enough to be similar, in four runs, or a run for each signal type."""
+    rows = failing_lines(spark, sf_dir).withColumn("signature", clusters.signature(F.col("text")))
+    return clusters.assigned(rows.withColumn("run_id", F.col("signal_type") if by_type else (F.split("job_id", ":")[0].cast("long") % 4).cast("string")))
 
 
-def run_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of each run of single failing lines, where signatures are short enough to be similar."""
-    rows = failing_lines(spark, sf_dir).withColumn("signature", clusters.signature(F.col("text")))
-    rows = rows.withColumn("run_id", (F.split("job_id", ":")[0].cast("long") % 4).cast("string")).withColumn("cluster_id", text.short_hash(F.col("signature")))
-    best = F.max(F.struct(F.length("text").alias("n"), (-F.col("job_ord")).alias("o"), "job_id"))
-    return rows.groupBy("run_id", "cluster_id").agg(
-        F.min("signature").alias("signature"), F.count("*").alias("size"), best["job_id"].alias("representative_job_id"), best["n"].alias("text_length"), F.min("job_ord").alias("first_ord"),
-        F.transform(F.array_sort(F.collect_list(F.struct("job_ord", "job_id"))), lambda x: x["job_id"]).alias("job_ids"),
-    )
+def line_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.exact_clusters(line_members(spark, sf_dir))
+
+
+def merged_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each failing line with its merged cluster's name, number and size."""
+    mapped = clusters.merge_map(line_heads(spark, sf_dir))
+    rows = line_members(spark, sf_dir).select("run_id", "cluster_id", "job_id").join(mapped, ["run_id", "cluster_id"])
+    return rows.select("run_id", "job_id", F.col("head").alias("cluster_id"), "cluster_no", "size")
+
+
+def run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, html): a run page for each user, with a row for each of their events; its status is the event's type."""
+    row = F.format_string("<tr><td><a href='/j'>%d</a></td><td>%s</td></tr>", F.col("event_id") + 10_000, F.col("event_type"))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("html"))
+    return rows.select(F.format_string("https://runs.example/run-%d/", "user_id").alias("url"), "html")
+
+
+def page_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = run_pages(spark, sf_dir)
+    failed = logs.failed_jobs(pages).groupBy("url").agg(F.count("*").alias("failed_jobs"))
+    return logs.job_counts(pages).join(failed, "url", "left").select("url", "total_jobs", F.coalesce("failed_jobs", F.lit(0)).alias("failed_jobs"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies in four forms, as they are, fenced, with a comma too many, and none, judged beside one text."""
+    plain = F.format_string('{"root_cause": "disk %d", "severity": "SEV2", "failure_type": "oom", "confidence": 0.7, "fix_suggestions": "a, b"}', "event_id")
+    form = F.col("event_id") % 4
+    reply = F.when(form == 0, plain).when(form == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```"))).when(form == 2, F.replace(plain, F.lit('b"}'), F.lit('b",}'))).otherwise("no reply")
+    rows = table(spark, sf_dir, "events").select("event_id", reply.alias("raw_reply"), F.lit("write: No space left on device").alias("text"))
+    return verdicts.from_replies(rows).select("event_id", "json_valid", "root_cause", "severity", "failure_type", "confidence", (F.size("fix_suggestions").cast("long")).alias("suggestions"))
+
+
+def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """logs_of_docs with the columns of a fetch."""
+    text_or_error = F.when(F.col("status") == "ok", "").otherwise("gone")
+    return logs_of_docs(spark, sf_dir).withColumns({"source_url": F.lit("u"), "log_name": F.lit("a.log"), "elapsed_s": F.lit(1.25), "error_message": text_or_error})
+
+
+def renewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of the documents of even id, renewed with results for those of ids divisible by 3, which fail where 5 divides them."""
+    cache = doc_cache(spark, sf_dir)
+    results = cache.where("answer % 3 = 0").withColumns({"answer": -F.col("answer"), "success": F.col("answer") % 5 != 0})
+    return report.updated_cache(cache.where("answer % 2 = 0"), results)
+
+
+def whole_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job_id, job_ord, raw_log): the generated logs as texts."""
+    rows = lines(spark, sf_dir).groupBy("job_id").agg(extract.joined_text())
+    return rows.select("job_id", F.col("job_id").cast("long").alias("job_ord"), F.col("text").alias("raw_log"))
 
 
 def doc_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +274,7 @@ Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     ),
     "signal_top5_per_type": (
         lambda s, d: extract.first_signals(lines(s, d)).select("job_id", "signal_type", F.col("type_no").cast("long").alias("type_no"), F.col("item_no").cast("long").alias("item_no"), "line"),
-        f"""WITH {SIGNALS}, u AS (SELECT job_id, signal_type, line, min(line_no) AS pos FROM sg GROUP BY 1, 2, 3),
+        f"""WITH {SIGNALS}, u AS (SELECT job_id, signal_type, {STRIP("line")} AS line, min(line_no) AS pos FROM sg GROUP BY 1, 2, 3),
 a AS (SELECT *, min(pos) OVER (PARTITION BY job_id, signal_type) AS started, row_number() OVER (PARTITION BY job_id, signal_type ORDER BY pos) AS item_no FROM u),
 b AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY started, item_no) AS n FROM a WHERE item_no <= 5)
 SELECT job_id, signal_type, dense_rank() OVER (PARTITION BY job_id ORDER BY started) AS type_no, item_no, line FROM b WHERE n <= 15""",
@@ -221,7 +284,7 @@ SELECT job_id, signal_type, dense_rank() OVER (PARTITION BY job_id ORDER BY star
         lambda s, d: extract.deduplicated(extract.error_blocks(lines(s, d))),
         f"""WITH {BLOCKS}, f AS (SELECT *, {fingerprint_sql("text")} AS fp FROM bl),
 g AS (SELECT *, count(*) OVER (PARTITION BY job_id, fp) AS repeats, row_number() OVER (PARTITION BY job_id, fp ORDER BY start_line) AS rn FROM f)
-SELECT job_id, start_line, repeats, fp, CASE WHEN repeats > 1 THEN '[Repeated ' || repeats || 'x] ' ELSE '' END || text AS text FROM g WHERE rn = 1""",
+SELECT job_id, start_line, end_line, repeats, fp, CASE WHEN repeats > 1 THEN '[Repeated ' || repeats || 'x] ' ELSE '' END || text AS text FROM g WHERE rn = 1""",
     ),
     "context_windows": (
         lambda s, d: extract.context_windows(lines(s, d)),
@@ -239,28 +302,34 @@ g AS (SELECT * FROM f WHERE cf OR (status > 0 AND host IS NOT NULL)),
 b AS (SELECT g.job_id, fail_line, host, status, line_no, line, regexp_extract(line, {quoted(rules.REMOTE_STDERR)}, 1) = host AS own, {STRIP(f"regexp_extract(line, {quoted(rules.REMOTE_STDERR)}, 2)")} AS content
   FROM g JOIN lines ON g.job_id = lines.job_id AND line_no < fail_line AND line_no >= fail_line - 50),
 c AS (SELECT *, NOT own AND contains(line, 'run.' || host || ':>') AS cmd FROM b),
-e AS (SELECT *, max(CASE WHEN cmd THEN line_no END) OVER (PARTITION BY job_id, fail_line) AS stop FROM c)
-SELECT job_id, fail_line, host, status, coalesce(max(CASE WHEN cmd AND line_no = stop THEN {STRIP(f"regexp_extract(line, {quoted(rules.COMMAND_TEXT)}, 1)")} END), '') AS command,
-  count(*) FILTER (own AND content <> '' AND line_no > coalesce(stop, -1)) AS n_stderr, string_agg(content, chr(10) ORDER BY line_no) FILTER (own AND content <> '' AND line_no > coalesce(stop, -1)) AS stderr
-FROM e GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (own AND content <> '' AND line_no > coalesce(stop, -1)) > 0""",
+e AS (SELECT *, max(CASE WHEN cmd THEN line_no END) OVER (PARTITION BY job_id, fail_line) AS stop, own AND content <> '' AND NOT {matches("line", rules.NOISE)} AS taken,
+  NOT own AND NOT cmd AND {matches("line", rules.REMOTE_COMMAND)} AND NOT contains(line, host) AS other FROM c),
+h AS (SELECT *, max(CASE WHEN taken AND line_no > coalesce(stop, -1) THEN line_no END) OVER (PARTITION BY job_id, fail_line) AS nearest FROM e),
+i AS (SELECT *, greatest(coalesce(stop, -1), coalesce(max(CASE WHEN other AND line_no < nearest THEN line_no END) OVER (PARTITION BY job_id, fail_line), -1)) AS cut FROM h)
+SELECT job_id, fail_line, host, status, coalesce(max(CASE WHEN cmd AND line_no = stop AND stop = cut THEN {STRIP(f"regexp_extract(line, {quoted(rules.COMMAND_TEXT)}, 1)")} END), '') AS command,
+  count(*) FILTER (taken AND line_no > cut) AS n_stderr, string_agg(content, chr(10) ORDER BY line_no) FILTER (taken AND line_no > cut) AS stderr
+FROM i GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (taken AND line_no > cut) > 0""",
     ),
     "failure_reason_last": (
         lambda s, d: extract.failure_reason(lines(s, d)),
-        f"""WITH {LINES}, r AS (SELECT *, max(line_no) FILTER (starts_with(trim(line), 'failure_reason:')) OVER (PARTITION BY job_id) AS pos FROM lines),
+        f"""WITH {LINES}, q AS (SELECT *, max(line_no) OVER (PARTITION BY job_id) + 1 AS n FROM lines),
+r AS (SELECT *, max(line_no) FILTER (starts_with(trim(line), 'failure_reason:') AND (n < 500 OR line_no >= n - 499)) OVER (PARTITION BY job_id) AS pos FROM q),
 s AS (SELECT *, min(line_no) FILTER (line_no > pos AND NOT starts_with(line, '  ')) OVER (PARTITION BY job_id) AS stop FROM r WHERE line_no >= pos)
 SELECT job_id, string_agg(trim(line), ' ' ORDER BY line_no) AS reason FROM s WHERE stop IS NULL OR line_no < stop GROUP BY 1""",
     ),
     "tail_summary": (
         lambda s, d: extract.tail_summary(lines(s, d)),
         f"""WITH {LINES}, a AS (SELECT *, max(line_no) OVER (PARTITION BY job_id) + 1 AS n, {matches("trim(line)", rules.SUMMARY_DATA)} AS data FROM lines),
-b AS (SELECT *, max(line_no) FILTER (data) OVER (PARTITION BY job_id) AS last FROM a),
+b AS (SELECT *, max(line_no) FILTER (data AND (n < 500 OR line_no > n - 500)) OVER (PARTITION BY job_id) AS last,
+  max(line_no) FILTER ({matches("line", rules.SUMMARY_HEADER)} AND (n < 2000 OR line_no > n - 2000)) OVER (PARTITION BY job_id) AS head FROM a),
 c AS (SELECT *, max(line_no) FILTER (NOT data AND line_no < last) OVER (PARTITION BY job_id) AS above,
   min(line_no) FILTER (NOT data AND trim(line) <> '' AND NOT starts_with(trim(line), '-') AND line_no > last) OVER (PARTITION BY job_id) AS below FROM b),
-e AS (SELECT job_id, line_no, line, CASE WHEN last IS NULL THEN 'tail' ELSE 'data' END AS kind, CASE WHEN last IS NULL THEN greatest(n - 150, 0) ELSE coalesce(above + 1, 0) END AS start_line,
-  CASE WHEN last IS NULL THEN n ELSE least(coalesce(below, n), last + 300, n) END AS stop FROM c)
+e AS (SELECT job_id, line_no, line, CASE WHEN last IS NOT NULL THEN 'data' WHEN head IS NOT NULL THEN 'header' ELSE 'tail' END AS kind,
+  CASE WHEN last IS NOT NULL THEN coalesce(above + 1, 0) WHEN head IS NOT NULL THEN head ELSE greatest(n - 150, 0) END AS start_line,
+  CASE WHEN last IS NOT NULL THEN least(coalesce(below, n), last + 300, n) WHEN head IS NOT NULL THEN least(head + 300, n) ELSE n END AS stop FROM c)
 SELECT job_id, kind, start_line, stop - 1 AS end_line, string_agg(line, chr(10) ORDER BY line_no) AS text FROM e WHERE line_no >= start_line AND line_no < stop GROUP BY 1, 2, 3, 4""",
     ),
-    "tracebacks": (lambda s, d: extract.tracebacks(lines(s, d)), None),
+    "tracebacks": (lambda s, d: extract.tracebacks(lines(s, d)), f"WITH RECURSIVE {TRACES} SELECT job_id, tr AS trace_no, min(line_no) AS start_line, string_agg(line, chr(10) ORDER BY line_no) AS text FROM tb GROUP BY 1, 2"),
     "condensed_logs": (lambda s, d: condense.condensed(lines(s, d)), None),
     "fingerprint_docs": (
         lambda s, d: docs(s, d).select("doc_id", text.fingerprint(F.coalesce("text", F.lit(""))).alias("fp")),
@@ -271,21 +340,24 @@ SELECT job_id, kind, start_line, stop - 1 AS end_line, string_agg(line, chr(10)
         f"WITH {DOC_LINES} SELECT line, count(*) AS n, min(doc_id) AS first_doc FROM dl GROUP BY 1 HAVING count(*) > 1",
     ),
     "signature_hash_groups": (
-        lambda s, d: clustered(s, d).select("cluster_id", "size", "first_ord", listed("job_ids")),
-        f"WITH {CLUSTERED} SELECT cluster_id, count(*) AS size, min(job_ord) AS first_ord, string_agg(job_id, ',' ORDER BY job_ord) AS job_ids FROM cl GROUP BY 1",
+        lambda s, d: members(s, d).select("run_id", "cluster_id", "job_id").join(clusters.exact_clusters(members(s, d)).select("run_id", "cluster_id", "size", "first_ord"), ["run_id", "cluster_id"]).drop("run_id"),
+        f"WITH {CLUSTERED} SELECT cluster_id, job_id, count(*) OVER (PARTITION BY cluster_id) AS size, min(job_ord) OVER (PARTITION BY cluster_id) AS first_ord FROM cl",
     ),
     "cluster_representative": (
-        lambda s, d: clustered(s, d).select("cluster_id", "representative_job_id", F.col("text_length").cast("long").alias("text_length")),
+        lambda s, d: clusters.exact_clusters(members(s, d)).select("cluster_id", "representative_job_id", "text_length"),
         f"""WITH {CLUSTERED} SELECT cluster_id, job_id AS representative_job_id, length(text) AS text_length
 FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY length(text) DESC, job_ord) AS rn FROM cl) WHERE rn = 1""",
     ),
     "jaccard_pairs": (
-        lambda s, d: clusters.similar_pairs(failing_lines(s, d).select("text").distinct(), "text", "text"),
-        f"""WITH {FAILING}, t AS (SELECT DISTINCT text, list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]{{2,}}'), lambda x: lower(x))) AS t FROM fl)
-SELECT x.text AS a, y.text AS b, len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) AS similarity FROM t x JOIN t y ON x.text < y.text
-WHERE len(x.t) > 0 AND len(y.t) > 0 AND len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) >= 0.7""",
+        lambda s, d: clusters.similar_pairs(failing_lines(s, d), "text"),
+        f"""WITH {FAILING}, {TOKEN_SETS} SELECT x.head AS a, y.head AS b, len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) AS similarity FROM hd x JOIN hd y ON x.head < y.head
+WHERE len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) >= 0.7""",
     ),
-    "cluster_merge": (lambda s, d: clusters.merged_clusters(run_clusters(s, d)).withColumn("job_ids", F.array_join("job_ids", ",")), None),
+    "jaccard_members": (
+        lambda s, d: clusters.token_sets(failing_lines(s, d), "text"),
+        f"WITH {FAILING}, {TOKEN_SETS} SELECT text, head FROM ts JOIN hd USING (t)",
+    ),
+    "cluster_merge": (merged_members, None),
     "run_health": (lambda s, d: report.run_health(runs(s, d)), f"WITH {RUNS} {HEALTH_SQL}"),
     "run_health_by_type": (
         lambda s, d: report.run_health(runs(s, d)).groupBy("classification").agg(F.count("*").alias("runs"), F.sum("failed_jobs").alias("failed_jobs")),
@@ -297,9 +369,9 @@ WHERE len(x.t) > 0 AND len(y.t) > 0 AND len(list_intersect(x.t, y.t)) / len(list
     ),
     "verdict_fanout": (
         lambda s, d: clusters.fan_out(
-            clustered(s, d).withColumn("run_id", F.lit("all")),
-            verdicts.verdicts(signed(s, d).withColumn("cluster_id", text.short_hash(F.col("signature"))).join(clustered(s, d).select("cluster_id", F.col("representative_job_id").alias("job_id")), ["cluster_id", "job_id"])).select(
-                F.lit("all").alias("run_id"), "cluster_id", "failure_type", "severity"
+            members(s, d),
+            verdicts.verdicts(members(s, d).join(clusters.exact_clusters(members(s, d)).select("run_id", "cluster_id", F.col("representative_job_id").alias("job_id")), ["run_id", "cluster_id", "job_id"])).select(
+                "run_id", "cluster_id", "failure_type", "severity"
             ),
         ),
         f"""WITH {CLUSTERED}, rp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY length(text) DESC, job_ord) AS rn FROM cl) WHERE rn = 1),
@@ -353,12 +425,12 @@ FROM (SELECT *, regexp_replace(regexp_extract(url, '^[^:/]+://[^/?#]*([^?#]*)',
     "page_links": (links, """SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages) GROUP BY 1, 2"""),
     "clip_middle_docs": (
         lambda s, d: docs(s, d).select("doc_id", text.clip_middle(F.coalesce("text", F.lit("")), 300).alias("clipped")),
-        f"""SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE CASE WHEN strpos(reverse(h), chr(10)) > 0 THEN substr(h, 1, 200 - strpos(reverse(h), chr(10))) ELSE h END || replace({quoted(text.CLIP_MARK.replace(chr(10), "~"))}, '~', chr(10)) ||
+        f"""SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE CASE WHEN strpos(reverse(h), chr(10)) > 0 THEN substr(h, 1, 200 - strpos(reverse(h), chr(10))) ELSE h END || replace({quoted(rules.CLIP_MARK.replace(chr(10), "~"))}, '~', chr(10)) ||
 CASE WHEN strpos(e, chr(10)) > 0 THEN substr(e, strpos(e, chr(10))) ELSE e END END AS clipped FROM (SELECT doc_id, coalesce(text, '') AS t, substr(coalesce(text, ''), 1, 200) AS h, right(coalesce(text, ''), 100) AS e FROM documents)""",
     ),
     "truncate_docs": (
         lambda s, d: docs(s, d).select("doc_id", text.truncated(F.coalesce("text", F.lit("")), 500).alias("text")),
-        "SELECT doc_id, CASE WHEN length(coalesce(text, '')) <= 500 THEN coalesce(text, '') ELSE substr(text, 1, 500) || chr(10) || '... [' || format('{:,}', length(text)) || ' characters in all]' END AS text FROM documents",
+        "SELECT doc_id, CASE WHEN length(coalesce(text, '')) <= 500 THEN coalesce(text, '') ELSE substr(text, 1, 500) || replace('~~... [truncated for HTML report size] ...~(showing first 500 of ', '~', chr(10)) || format('{:,}', length(text)) || ' chars)' END AS text FROM documents",
     ),
     "cache_key": (
         lambda s, d: docs(s, d).select("doc_id", report.cache_key(F.coalesce("text", F.lit("")), MODEL, VERSION).alias("text_hash")),
@@ -374,6 +446,92 @@ SELECT doc_id, CASE WHEN hit THEN answer END AS answer, coalesce(hit, false) AS
         f"""WITH {JUDGED} SELECT job_id, severity, 'User' || CAST(job_ord % 11 AS VARCHAR) AS user FROM jd
 WHERE contains(lower(concat_ws(' ', job_id, root_cause, error_category)), 'failure') AND severity = 'high' AND (contains('user' || CAST(job_ord % 11 AS VARCHAR), 'user1') OR contains('user' || CAST(job_ord % 11 AS VARCHAR), 'user5'))""",
     ),
+    "run_page_jobs": (
+        page_jobs,
+        "SELECT 'https://runs.example/run-' || user_id || '/' AS url, count(DISTINCT event_id) AS total_jobs, count(DISTINCT event_id) FILTER (event_type = 'error') AS failed_jobs FROM events GROUP BY user_id",
+    ),
+    "log_urls": (
+        lambda s, d: logs.log_urls(table(s, d, "events").select(F.lit("run").alias("run_name"), F.col("user_id").cast("string").alias("job_id")).distinct()),
+        """SELECT 'run' AS run_name, job_id, place, 'https://qa-proxy.ceph.com/teuthology/run/' || job_id || '/' || log_name AS url, log_name
+FROM (SELECT DISTINCT user_id::VARCHAR AS job_id FROM events), (VALUES (0::BIGINT, 'teuthology.log'), (1, 'ansible.log')) v(place, log_name)""",
+    ),
+    "run_names": (
+        lambda s, d: logs.run_names(table(s, d, "pages").select("page_id", "url", "html")).select("page_id", "run_name"),
+        r"SELECT page_id, nullif(regexp_extract(regexp_replace(regexp_extract(url, '^[^:/]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '/([^/]+)$', 1), '') AS run_name FROM pages",
+    ),
+    "reply_verdicts": (
+        replies,
+        """SELECT event_id, f < 3 AS json_valid, CASE WHEN f < 3 THEN 'disk ' || event_id ELSE 'Likely resource failure (heuristic)' END AS root_cause, 'high' AS severity, 'resource' AS failure_type,
+CASE WHEN f < 3 THEN 0.7 ELSE 0.65 END::DOUBLE AS confidence, CASE WHEN f < 3 THEN 2 ELSE 1 END::BIGINT AS suggestions FROM (SELECT event_id, event_id % 4 AS f FROM events)""",
+    ),
+    "ungrounded_causes": (
+        lambda s, d: table(s, d, "events").select("event_id", verdicts.ungrounded(F.element_at(F.array(F.lit("boto3 broke"), F.lit("the 'missing thing' broke"), F.concat(F.lit("a '"), "event_type", F.lit("' came"))), (F.col("event_id") % 3 + 1).cast("int")), F.concat(F.lit("an "), "event_type", F.lit(" event"))).alias("ungrounded")),
+        "SELECT event_id, event_id % 3 < 2 AS ungrounded FROM events",
+    ),
+    "parse_stats": (
+        lambda s, d: condense.parse_stats(condense.parsed(whole_logs(s, d))).drop("condensed_chars"),
+        f"""WITH RECURSIVE {TRACES}, hits AS (SELECT * FROM lines WHERE {matches('line', rules.ERROR_WORD)} AND NOT {matches('line', rules.NOISE)}), {islands_sql("hits", 5, 5, 1)},
+bl AS (SELECT sp.job_id, start_line, string_agg(line, chr(10) ORDER BY line_no) AS text FROM sp JOIN lines ON sp.job_id = lines.job_id AND line_no BETWEEN start_line AND end_line GROUP BY 1, 2),
+bn AS (SELECT job_id, count(DISTINCT {fingerprint_sql("text")}) AS error_blocks FROM bl GROUP BY 1), tn AS (SELECT job_id, count(DISTINCT tr) AS tracebacks FROM tb GROUP BY 1),
+ln2 AS (SELECT job_id, count(*) AS total_lines, length(string_agg(line, chr(10))) AS total_chars FROM lines GROUP BY 1)
+SELECT job_id, total_lines, total_chars, coalesce(tracebacks, 0) AS tracebacks, coalesce(error_blocks, 0) AS error_blocks FROM ln2 LEFT JOIN tn USING (job_id) LEFT JOIN bn USING (job_id)""",
+    ),
+    "systemic_warnings": (
+        lambda s, d: report.systemic_warning(clusters.exact_clusters(line_members(s, d, by_type=True))),
+        f"""WITH {LINE_CLUSTERS}, g AS (SELECT signal_type, cluster_id, count(*) AS size FROM lc GROUP BY 1, 2), r AS (SELECT signal_type AS run_id, count(*) AS c, sum(size) AS j, max(size) AS m FROM g GROUP BY 1)
+SELECT run_id, CASE WHEN c = 1 AND m > 5 THEN 'single cause' ELSE 'few causes' END AS warning FROM r WHERE (c = 1 AND m > 5) OR (c <= 3 AND j > 20)""",
+    ),
+    "cluster_numbers": (
+        lambda s, d: clusters.number(line_heads(s, d)).select("run_id", "cluster_id", F.col("cluster_no").cast("long").alias("cluster_no"), "size"),
+        f"""WITH {LINE_CLUSTERS}, g AS (SELECT run_id, cluster_id, count(*) AS size, min(job_ord) AS o FROM lc GROUP BY 1, 2)
+SELECT run_id, cluster_id, row_number() OVER (PARTITION BY run_id ORDER BY size DESC, o) AS cluster_no, size FROM g""",
+    ),
+    "cluster_job_links": (
+        lambda s, d: clusters.job_links(line_members(s, d)).select("run_id", "cluster_id", "links", "more"),
+        f"""WITH {LINE_CLUSTERS}, g AS (SELECT *, row_number() OVER o AS p, count(*) OVER (PARTITION BY run_id, cluster_id) AS n FROM lc WINDOW o AS (PARTITION BY run_id, cluster_id ORDER BY job_ord))
+SELECT run_id, cluster_id, string_agg(job_id, ', ' ORDER BY p) FILTER (p <= 10) AS links, CASE WHEN any_value(n) > 10 THEN '+' || any_value(n) - 10 || ' more' ELSE '' END AS more FROM g GROUP BY 1, 2""",
+    ),
+    "calls_saved": (
+        lambda s, d: clusters.calls_saved(line_heads(s, d)),
+        f"WITH {LINE_CLUSTERS} SELECT run_id, count(*) AS jobs, count(DISTINCT cluster_id) AS clusters, count(*) - count(DISTINCT cluster_id) AS saved FROM lc GROUP BY 1",
+    ),
+    "cluster_results": (
+        lambda s, d: clusters.with_results(line_heads(s, d), line_heads(s, d).where("size > 1").select("run_id", "cluster_id", (F.col("size") > 2).alias("success"), F.lit("high").alias("severity"), F.lit("crash").alias("failure_type"), F.lit("it").alias("root_cause"))).select(
+            "run_id", "cluster_id", "severity", "failure_type", "root_cause"
+        ),
+        f"""WITH {LINE_CLUSTERS} SELECT run_id, cluster_id, CASE WHEN count(*) > 2 THEN 'high' ELSE '?' END AS severity, CASE WHEN count(*) > 2 THEN 'crash' ELSE chr(8212) END AS failure_type,
+CASE WHEN count(*) > 2 THEN 'it' ELSE substr(any_value(sig), 1, 120) END AS root_cause FROM lc GROUP BY 1, 2""",
+    ),
+    "effective_totals": (
+        lambda s, d: report.effective_totals(runs(s, d).withColumn("total_jobs", F.lit(3).cast("long")), lines(s, d).select((F.col("job_id").cast("long") % 40).cast("string").alias("run_id"), "job_id").distinct()),
+        f"WITH {RUNS} SELECT run_id, greatest(3, total_jobs) AS total_jobs, failed_jobs FROM rn",
+    ),
+    "status_bands": (
+        lambda s, d: report.status_pill(judged(s, d)).select("job_id", "status", "band"),
+        f"""WITH {JUDGED} SELECT job_id, CASE WHEN fallback THEN 'fallback analysis' ELSE 'analysis available' END AS status,
+CASE WHEN trunc(confidence * 100) >= 75 THEN 'high' WHEN trunc(confidence * 100) >= 50 THEN 'medium' ELSE 'low' END AS band FROM jd""",
+    ),
+    "run_facets": (
+        lambda s, d: report.run_facets(judged(s, d).withColumns({"user": F.when(F.col("job_ord") % 3 > 0, F.concat(F.lit("u"), (F.col("job_ord") % 3).cast("string"))), "run": F.lit("r")})),
+        f"WITH {JUDGED} SELECT string_agg(DISTINCT failure_type, ',' ORDER BY failure_type) AS failure_types, 'u1,u2' AS users, true AS multi_run FROM jd",
+    ),
+    "attention_limit": (lambda s, d: report.left_out(report.needs_attention(judged(s, d)), 5), f"WITH {JUDGED} SELECT '+' || count(*) - 5 || ' more' AS more FROM jd WHERE NOT success OR fallback OR confidence < 0.6 OR failure_type = 'unknown'"),
+    "log_index": (
+        lambda s, d: report.index_rows(fetched(s, d)),
+        """SELECT doc_id AS job_id, CASE WHEN k THEN 'ok' ELSE 'fetch_failed' END AS status, CASE WHEN k THEN doc_id || '.log' ELSE '' END AS log_path, 'u' AS fetched_from, 'a.log' AS log_name,
+CASE WHEN k THEN octet_length(encode(text)) ELSE 0 END AS bytes, '1.250' AS elapsed_s, CASE WHEN l THEN '' ELSE 'gone' END AS error_message
+FROM (SELECT doc_id, text, lb IS NOT NULL AS l, lb IS NOT NULL AND text IS NOT NULL AS k FROM documents LEFT JOIN (SELECT DISTINCT doc_id, 1 AS lb FROM labels) USING (doc_id))""",
+    ),
+    "renewed_cache": (
+        renewed,
+        """WITH c AS (SELECT substr(sha256('rules' || chr(10) || 'v1' || chr(10) || coalesce(text, '')), 1, 32) AS text_hash, max(doc_id) AS answer FROM documents GROUP BY 1),
+n AS (SELECT text_hash, answer * 1000.0::DOUBLE AS cached_at, -answer AS answer FROM c WHERE answer % 3 = 0 AND answer % 5 <> 0)
+SELECT * FROM n UNION ALL SELECT text_hash, answer * 1000.0::DOUBLE, answer FROM c WHERE answer % 2 = 0 AND text_hash NOT IN (SELECT text_hash FROM n)""",
+    ),
+    "export_json": (
+        lambda s, d: report.export_rows(judged(s, d).drop("root_cause")),
+        f"WITH {JUDGED} SELECT json_object('job_id', job_id, 'severity', severity, 'failure_type', failure_type, 'confidence', confidence, 'error_category', error_category)::VARCHAR AS json FROM jd",
+    ),
 }
 
 

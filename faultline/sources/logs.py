@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultline.functions import text
+from faultline.functions import rules, text
 
 TEMPLATES = (
     ("error", 0, 1, "{ts} ERROR:teuthology.run_tasks:Saw exception from tasks."),
@@ -23,6 +23,16 @@ TEMPLATES = (
     ("error", 9, 1, "{ts} write: No space left on device"),
     ("error", 10, 1, "failure_reason: valgrind error: SyscallParam"),
     ("error", 11, 1, "{ts} WARNING:tasks.cephadm: step failed"),
+    ("error", 12, 1, "{ts} MODULE FAILURE in step {k}"),
+    ("error", 13, 1, "{ts} journalctl@ceph.mon.a.b.stdout: ERROR out of memory dispatch"),
+    ("error", 14, 1, "{ts} DEBUG:teuthology.orchestra.run.trial{k}:> sudo other"),
+    ("error", 15, 1, "Traceback (most recent call last):"),
+    ("error", 15, 2, '  File "tasks/y.py", line {k}, in go'),
+    ("error", 15, 3, "    raise Broken({k})"),
+    ("error", 15, 4, "RuntimeError: broken {k}"),
+    ("error", 16, 1, "write: No space left on device"),
+    ("error", 16, 2, "   write: No space left on device"),
+    ("error", 17, 1, "=== SUMMARY ==="),
     ("click", 0, 1, "{ts} DEBUG:teuthology.orchestra.run.smithi{h}:> sudo ceph step {k}"),
     ("purchase", 0, 1, "{ts} INFO:teuthology.orchestra.run.smithi{h}.stderr:line {k}"),
     ("view", 0, 1, "{ts} INFO:tasks.workunit: ok {k}"),
@@ -34,7 +44,7 @@ def generated_lines(events: DataFrame) -> DataFrame:
     """(job_id, line_no, line): a log for each user of the events table, by a join with line templates."""
     templates = events.sparkSession.createDataFrame(TEMPLATES, "et string, km int, seq int, tmpl string")
     keyed = events.withColumn("kk", F.regexp_extract("props", "([0-9]+)", 1))
-    keyed = keyed.withColumn("mod", F.when(F.col("event_type") == "error", F.col("kk").cast("int") % 12).otherwise(0))
+    keyed = keyed.withColumn("mod", F.when(F.col("event_type") == "error", F.col("kk").cast("int") % 18).otherwise(0))
     joined = keyed.join(F.broadcast(templates), (F.col("event_type") == F.col("et")) & (F.col("mod") == F.col("km")))
     line = F.replace("tmpl", F.lit("{ts}"), F.substring(F.col("ts").cast("string"), 1, 19))
     line = F.replace(F.replace(line, F.lit("{k}"), F.col("kk")), F.lit("{h}"), (F.col("user_id") % 3).cast("string"))
@@ -96,6 +106,21 @@ def suite_runs(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
+def log_urls(jobs: DataFrame, run_col: str = "run_name", id_col: str = "job_id") -> DataFrame:
+    """jobs with place, url and log_name: where a job's log may be, the first to try at place 0."""
+    first = F.format_string(rules.LOG_URL, run_col, id_col)
+    names = F.array(*(F.struct(F.regexp_replace(first, rules.LOG_NAMES[0] + "$", n).alias("url"), F.lit(n).alias("log_name")) for n in rules.LOG_NAMES))
+    return jobs.select("*", F.posexplode(names).alias("place", "x")).select(*jobs.columns, F.col("place").cast("long").alias("place"), "x.url", "x.log_name")
+
+
+def run_names(pages: DataFrame, url_col: str = "url", html_col: str = "html", forced: str | None = None) -> DataFrame:
+    """pages with run_name: a forced one, else that of a log's address in the page, else the last part of its path; null without one."""
+    path = F.regexp_replace(F.regexp_extract(url_col, r"^[^:/]+://[^/?#]*([^?#]*)", 1), "/+$", "")
+    given = F.nullif(F.lit(forced or ""), F.lit(""))
+    found = F.nullif(F.regexp_extract(html_col, rules.LOG_URL_RUN, 1), F.lit(""))
+    return pages.withColumn("run_name", F.coalesce(given, found, F.nullif(F.regexp_extract(path, r"/([^/]+)$", 1), F.lit(""))))
+
+
 def url_parts(rows: DataFrame, url_col: str = "url") -> DataFrame:
     """rows with valid, suite_page and slug: an http address with a host; a listing page; a name of 80 characters."""
     url = F.col(url_col)

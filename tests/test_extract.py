@@ -123,11 +123,116 @@ def test_reason_and_summary(spark):
     assert got["head"] == ("header", logs["head"][1:]) and got["tail"] == ("tail", logs["tail"][-150:])
 
 
-def test_condensed_text(spark):
+def plain_islands(lines, hits, before, after, join):
+    out = []
+    for i in hits:
+        lo, hi = max(0, i - before), min(len(lines) - 1, i + after)
+        if out and lo <= out[-1][1] + join:
+            out[-1][1] = hi
+        else:
+            out.append([lo, hi])
+    return out
+
+
+def plain_fingerprint(x):
+    x = x.strip()
+    for pattern, by in rules.FINGERPRINT_STEPS:
+        x = re.sub(pattern, by, x)
+    return x[:200]
+
+
+def plain_signal(x):
+    if re.search(rules.NOISE, x):
+        return None
+    fits = (s.name for s in rules.SIGNALS if re.search(s.pattern, x) and s.needs in x.upper() and not any(w in x for w in s.without))
+    return next(fits, None)
+
+
+def plain_condensed(raw):
+    """The whole condensed text of a short log (under 500 lines), written from the description of its sections."""
+    lines = raw.splitlines()
+    noise = [bool(re.search(rules.NOISE, x)) for x in lines]
+    out, counted = [], lambda texts: list(dict.fromkeys(map(plain_fingerprint, texts)))
+    starts = [i for i, x in enumerate(lines) if x.strip().startswith("failure_reason:")]
+    if starts:
+        more = [lines[starts[-1]].strip()]
+        for x in lines[starts[-1] + 1 :]:
+            if not x.startswith(("  ", "\t")):
+                break
+            more.append(x.strip())
+        out += ["=== FAILURE REASON (from teuthology summary) ===", " ".join(more), ""]
+    errs = plain_stderr(lines)
+    prints = [plain_fingerprint(e[4]) for e in errs]
+    if errs:
+        kinds = counted(e[4] for e in errs)
+        out.append(f"=== COMMAND STDERR ({len(errs)} failed, {len(kinds)} unique) ===")
+        for n, fp in enumerate(kinds[:5], 1):
+            _, host, status, command, text = errs[prints.index(fp)]
+            times = prints.count(fp)
+            out.append(f"--- Failed command #{n} on {host} (exit {status}){f' [repeated {times}x]' if times > 1 else ''} ---")
+            out += [f"Command: {command}"] * bool(command) + ["Stderr output:"] + ["  " + x for x in text.split("\n")[-20:]] + [""]
+    strong = [i for i, x in enumerate(lines) if re.search(rules.COMMAND_FAILED, x) or "ERROR:teuthology" in x and "Saw exception" in x or re.search(rules.TASK_WARNING, x) and re.search("failed|error", x.lower())]
+    windows = ["\n".join(lines[i] for i in range(lo, hi + 1) if not noise[i]) for lo, hi in plain_islands(lines, strong, 30, 10, 5)[:5]]
+    windows = [w for w in windows if w]
+    if windows:
+        out.append(f"=== FAILURE CONTEXT ({len(windows)} window(s)) ===")
+        for n, w in enumerate(windows[:3], 1):
+            out += [f"--- Context window #{n} ---", w, ""]
+    traces = plain_traces(lines)
+    if traces:
+        kinds = counted(traces)
+        out.append(f"=== TRACEBACKS ({len(kinds)} unique, {len(traces) - len(kinds)} duplicates removed) ===")
+        for n, fp in enumerate(kinds[:5], 1):
+            out += [f"--- Traceback #{n} ---", next(t for t in traces if plain_fingerprint(t) == fp), ""]
+    marks = [(plain_signal(x), x.strip()) for x in lines if plain_signal(x)]
+    if marks:
+        items = [f"  [{k}] {x}" for k in dict.fromkeys(k for k, _ in marks) for x in list(dict.fromkeys(x for t, x in marks if t == k))[:5]]
+        out += [f"=== OTHER FAILURE SIGNALS ({len(marks)} detected) ===", *items[:15], ""]
+    if not starts and lines:
+        data = [bool(re.match(rules.SUMMARY_DATA, x.strip())) for x in lines]
+        heads = [i for i, x in enumerate(lines) if re.search(rules.SUMMARY_HEADER, x)]
+        if any(data):
+            hi = lo = max(i for i, d in enumerate(data) if d)
+            while lo > 0 and data[lo - 1]:
+                lo -= 1
+            while hi + 1 < len(lines) and (data[hi + 1] or not lines[hi + 1].strip() or lines[hi + 1].strip().startswith("-")):
+                hi += 1
+            text = lines[lo : hi + 1]
+        else:
+            text = lines[heads[-1] :][:300] if heads else lines[-150:]
+        if "\n".join(text):
+            out += ["=== LOG SUMMARY ===", "\n".join(text), ""]
+    hits = [i for i, x in enumerate(lines) if re.search(rules.ERROR_WORD, x) and not noise[i]]
+    blocks = [(lo, hi, "\n".join(lines[lo : hi + 1])) for lo, hi in plain_islands(lines, hits, 5, 5, 1)]
+    prints = [plain_fingerprint(b[2]) for b in blocks]
+    if blocks:
+        kinds = list(dict.fromkeys(prints))
+        out.append(f"=== ERROR BLOCKS ({min(10, len(kinds))} of {len(kinds)} unique) ===")
+        for n, fp in enumerate(kinds[:10], 1):
+            lo, hi, text = blocks[prints.index(fp)]
+            times = prints.count(fp)
+            out += [f"--- Block #{n} (lines {lo}-{hi}) ---", (f"[Repeated {times}x] " if times > 1 else "") + text, ""]
+    text = "\n".join(out)
+    return text if text.strip() else "=== LOG TAIL (no specific errors extracted) ===\n" + raw
+
+
+def test_condensed_text_against_plain_python(spark):
+    rng = random.Random(6)
     p = "INFO:teuthology.orchestra.run."
-    log = ["start", "DEBUG:teuthology.orchestra.run.h1:> sudo a", f"{p}h1.stderr:disk full", "Command failed on h1 with status 3: x", "failure_reason: it broke"]
-    raw = spark.createDataFrame([("1", 0, "\n".join(log)), ("2", 1, ""), ("3", 2, None)], "job_id string, job_ord int, raw_log string")
-    got = {r.job_id: r for r in condense.parsed(raw).collect()}
-    text = got["1"].condensed_text
-    assert [text.index(x) for x in ("=== FAILURE REASON ===", "=== COMMAND STDERR ===", "$ sudo a", "=== FAILURE CONTEXT ===", "[resource]")] == sorted(text.index(x) for x in ("=== FAILURE REASON ===", "=== COMMAND STDERR ===", "$ sudo a", "=== FAILURE CONTEXT ===", "[resource]"))
-    assert "SUMMARY" not in text and got["1"].total_lines == 5 and got["2"].condensed_text and got["3"].total_lines == 0
+    pieces = [
+        f"{p}h1.stderr:one 12345", f"{p}h1.stderr:one 67890", f"{p}h2.stderr: two ", "DEBUG:teuthology.orchestra.run.h1:> sudo a", "DEBUG:teuthology.orchestra.run.h2:> b", "Command failed on h1 with status 3: x",
+        "Traceback (most recent call last):", '  File "a.py", line 1', "    raise E(0x12)", "ValueError: bad pid=12", "ValueError: bad pid=13", "", "plain", "  plain", "During handling of the above exception, another",
+        "2024-01-01 10:00:00 write: No space left on device", "   write: No space left on device", "write: No space left on device", "ERROR timed out", "  ERROR timed out", f"{p}h1.stderr:s=READY ERROR",
+        "ERROR:teuthology.x Saw exception", "WARNING:tasks.a: failed", "=== SUMMARY ===", "MODULE FAILURE",
+    ]
+    ends = [[], [], ["description: d", "duration: 5", "", "- item", "tail"], ["failure_reason: it broke", "  more", "end"]]
+    raw = {str(j): "\n".join(rng.choice(pieces) for _ in range(rng.randrange(1, 160))) + "\n" + "\n".join(rng.choice(ends)) for j in range(70)}
+    raw |= {"e1": "", "e2": "\n", "e3": "\n\n", "e4": " ", "e5": "plain\n" * 300, "e6": "\r\n"}
+    df = spark.createDataFrame([(j, i, x) for i, (j, x) in enumerate(raw.items())] + [("null", 99, None)], "job_id string, job_ord int, raw_log string")
+    got = {r.job_id: r for r in condense.parsed(df).collect()}
+    want = {j: plain_condensed(x) for j, x in raw.items()} | {"null": plain_condensed("")}
+    short = [j for j, x in want.items() if len(x) <= condense.BUDGET]
+    assert {j: got[j].condensed_text for j in short} == {j: want[j] for j in short} and len(short) > 60
+    assert set(got) == set(want) and got["e5"].total_lines == 300 and got["null"].total_lines == 0
+    stats = {r.job_id: r for r in condense.parse_stats(condense.parsed(df)).collect()}
+    assert all(stats[j].tracebacks == len(plain_traces(raw[j].splitlines())) for j in raw)

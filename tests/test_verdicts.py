@@ -65,51 +65,74 @@ def test_jaccard_and_volatile_parts(spark):
     assert one.split() == ["boom"]
 
 
-def test_merge_is_greedy_and_keeps_every_job(spark):
-    rows = [("r", "c1", "alpha beta gamma delta", 2, "j1", 10, 0, ["j1", "j2"]), ("r", "c2", "alpha beta gamma delta eps", 1, "j3", 99, 2, ["j3"]), ("r", "c3", "nothing alike here", 1, "j4", 5, 3, ["j4"])]
-    df = spark.createDataFrame(rows, "run_id string, cluster_id string, signature string, size long, representative_job_id string, text_length int, first_ord long, job_ids array<string>")
-    got = [(r.cluster_id, r.size, r.representative_job_id, r.job_ids) for r in clusters.merged_clusters(df).orderBy("cluster_no").collect()]
-    assert got == [("c2", 3, "j3", ["j1", "j2", "j3"]), ("c3", 1, "j4", ["j4"])]
+HEADS = "run_id string, cluster_id string, signature string, size long, representative_job_id string, text_length long, first_ord long"
 
 
-def test_merge_against_comparing_all_heads(spark, monkeypatch):
-    """Random signatures in two runs; the grouped step must see neither jobs nor texts."""
+def test_merge_is_greedy(spark):
+    rows = [("r", "c1", "alpha beta gamma delta", 2, "j1", 10, 0), ("r", "c2", "alpha beta gamma delta eps", 1, "j3", 99, 2), ("r", "c3", "nothing alike here", 1, "j4", 5, 3)]
+    df = spark.createDataFrame(rows, HEADS)
+    got = [(r.cluster_id, r.size, r.representative_job_id) for r in clusters.merged_clusters(df).orderBy("cluster_no").collect()]
+    assert got == [("c2", 3, "j3"), ("c3", 1, "j4")]
+    assert {r.cluster_id: r.head for r in clusters.merge_map(df).collect()} == {"c1": "c2", "c2": "c2", "c3": "c3"}
+    assert clusters.merge_map(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_merge_against_comparing_all_heads(spark, seed):
+    """Random signatures in two runs, some with one set of tokens, some with none."""
     import random
     import re
 
-    rng, schema = random.Random(4), "run_id string, cluster_id string, signature string, size long, representative_job_id string, text_length int, first_ord long, job_ids array<string>"
-    rows = []
+    rng, rows = random.Random(seed), []
     for i in range(150):
-        words = " ".join(rng.sample(["alpha", "beta", "gamma", "delta", "eps", "zeta"], rng.randrange(3, 7))) if i % 15 else f"{i} {i}"
-        jobs = [f"j{i}_{k}" for k in range(rng.randrange(1, 6))]
-        rows.append((f"r{i % 2}", f"c{i}", f"{words} {rng.choice(['one', 'two', '9'])}" if i % 15 else words, len(jobs), jobs[0], rng.randrange(1000), i, jobs))
-    want = []
+        words = " ".join(rng.sample(["alpha", "beta", "gamma", "delta", "eps", "zeta"], rng.randrange(3, 7))) + f" {rng.choice(['one', 'two', '9'])} {i}" if i % 15 else f"{i} {i}"
+        rows.append((f"r{i % 2}", f"c{i * 37 % 1000}", words, rng.randrange(1, 6), f"j{i}", rng.randrange(40), i))
+    want = {}
     for run in ("r0", "r1"):
-        heads = sorted(([*r[1:7], list(r[7])] for r in rows if r[0] == run), key=lambda h: (-h[2], h[5]))
-        again = True
-        while again:
-            again, sets, taken, out = False, [set(re.findall(r"[a-z_][a-z0-9_]{2,}", h[1])) for h in heads], set(), []
-            for i, h in enumerate(heads):
-                if i in taken:
-                    continue
-                for j in range(i + 1, len(heads)):
-                    union = len(sets[i] | sets[j])
-                    if j not in taken and not (union and len(sets[i] & sets[j]) / union < 0.7):
-                        again, o = True, heads[j]
-                        taken.add(j)
-                        h[6], h[2] = h[6] + o[6], h[2] + o[2]
-                        if o[4] > h[4]:
-                            h[0], h[1], h[3], h[4] = o[0], o[1], o[3], o[4]
-                out.append(h)
-            heads = sorted(out, key=lambda h: -h[2])
-        want += [(run, h[0], h[1], h[2], h[3], n, h[6]) for n, h in enumerate(heads, 1)]
-    df = spark.createDataFrame(rows, schema)
-    seen = []
-    kind = type(df.groupBy("run_id"))
-    real = kind.applyInPandas
-    monkeypatch.setattr(kind, "applyInPandas", lambda self, *a: (seen.append(self._df.columns), real(self, *a))[1])
-    assert sorted(tuple(r) for r in clusters.merged_clusters(df).collect()) == sorted(want)
-    assert len(want) < 120 and seen and not {"job_ids", "signature"} & set(seen[0])
+        # (cluster, words, size, representative, text, members)
+        heads = [(r[1], frozenset(re.findall(r"[a-z_][a-z0-9_]{2,}", r[2])), r[3], r[4], r[5], [r[1]]) for r in sorted(rows, key=lambda r: (-r[3], r[6])) if r[0] == run]
+        while True:
+            out, pool = [], list(heads)
+            while pool:
+                lead, rest = pool[0], pool[1:]
+                close = [o for o in rest if not (lead[1] | o[1]) or len(lead[1] & o[1]) / len(lead[1] | o[1]) >= 0.7]
+                best = max([lead, *close], key=lambda o: o[4])  # max takes the first of equals
+                out.append((best[0], best[1], sum(o[2] for o in [lead, *close]), best[3], best[4], [c for o in [lead, *close] for c in o[5]]))
+                pool = [o for o in rest if o not in close]
+            out.sort(key=lambda o: -o[2])
+            if len(out) == len(heads):
+                break
+            heads = out
+        want |= {(run, c): (h[0], n, h[2]) for n, h in enumerate(heads, 1) for c in h[5]}
+    got = {(r.run_id, r.cluster_id): (r.head, r.cluster_no, r["size"]) for r in clusters.merge_map(spark.createDataFrame(rows, HEADS)).collect()}
+    assert got == want and len({v for v in want.values()}) < 120
+
+
+def test_orders_and_limits(spark):
+    rows = [("job9", "low", 0.9, "b", 0), ("job10", "critical", 0.2, "a", 1), ("Job2", "high", None, None, 2), ("x", "odd", 0.9, "a", 3)]
+    df = spark.createDataFrame(rows, "job_id string, severity string, confidence double, user string, job_ord int")
+    ids = lambda rows: [r.job_id for r in rows.collect()]
+    assert ids(report.by_confidence(df)) == ["job9", "x", "job10", "Job2"]
+    assert ids(report.by_job_id(df)) == ["Job2", "job9", "job10", "x"]
+    assert ids(report.by_user(df)) == ["Job2", "job10", "x", "job9"]
+    assert ids(report.limited(df, 2)) == ["job10", "Job2"] and report.left_out(df, 2).first().more == "+2 more" and report.left_out(df, 4).first().more == ""
+
+
+def test_percents(spark):
+    df = spark.createDataFrame([(0.125,), (0.135,), (0.999,)], "x double")
+    got = [tuple(r) for r in df.select(report.half_even(F.col("x")), report.cut_percent(F.col("x")), report.half_up(F.col("x"))).collect()]
+    assert got == [("12%", "12%", "13%"), ("14%", "13%", "14%"), ("100%", "99%", "100%")]
+
+
+def test_written_logs(spark, tmp_path):
+    rows = [("1", "ok", "a\nb", "u", "n", 1.0, ""), ("2", "fetch_failed", None, "u", "n", 2.0, "gone"), ("3", "ok", None, "u", "n", 2.0, "")]
+    df = spark.createDataFrame(rows, "job_id string, status string, log_text string, source_url string, log_name string, elapsed_s double, error_message string")
+    report.write_logs(df, str(tmp_path))
+    index = {r.job_id: r for r in spark.read.option("header", True).csv(f"{tmp_path}/index.csv").collect()}
+    assert [(index[k].status, index[k].bytes, index[k].log_path) for k in "123"] == [("ok", "3", "1.log"), ("fetch_failed", "0", None), ("fetch_failed", "0", None)]
+    assert "".join(p.read_text() for p in (tmp_path / "logs/log_path=1.log").glob("*.txt")) == "a\nb\n"
+    report.write_csv(df.select("job_id", "error_message"), f"{tmp_path}/v.csv")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/v.csv").count() == 3
 
 
 def test_cache(spark):
@@ -121,5 +144,5 @@ def test_cache(spark):
 def test_clip_and_escape(spark):
     df = spark.createDataFrame([("a\n" * 10000,), ("<b>&'",)], "t string")
     a, b = (r[0] for r in df.select(text.clip_middle(F.col("t"), 200)).collect())
-    assert len(a) < 300 and "left out" in a and b == "<b>&'"
+    assert len(a) < 300 and "truncated" in a and b == "<b>&'"
     assert df.select(text.html_escape(F.col("t"))).collect()[1][0] == "&lt;b&gt;&amp;&#x27;"
