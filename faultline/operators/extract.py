@@ -6,7 +6,9 @@ reaches to the end of a job, so each costs a constant a line. `prepared` lays li
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -207,6 +209,12 @@ def tail_summary(lines: DataFrame) -> DataFrame:
 SPANS = "job_id string, trace_no long, start_line long, lo long, hi long"
 
 
+def spans_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), *[pa.int64()] * 4)
+    columns = zip(*rows) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["job_id", "trace_no", "start_line", "lo", "hi"])
+
+
 def trace_marks(lines: DataFrame) -> DataFrame:
     """(job_id, line_no, start, kind, follow): lines that start a trace or may end one, from a job's first start on.
 
@@ -226,29 +234,33 @@ def trace_marks(lines: DataFrame) -> DataFrame:
     return rows.withColumns({"kind": kind, "seen": seen}).where("seen and (start or kind is not null)").select("job_id", "line_no", "start", "kind", "follow")
 
 
-def trace_spans(marks, extra: int) -> list[tuple[int, int, int, int | None]]:
-    """(trace, its first line, from, to) of the stretches that make up each trace; to is None at the end of the log."""
-    out, trace, first, lo, skip = [], -1, None, None, -1
-    starts = [int(m.line_no) for m in marks if m.start]
-    for m in marks:
-        at = int(m.line_no)
-        if at < skip:
-            continue
-        if first is None:
-            if m.start:
-                trace, first, lo = trace + 1, at, at
-            continue
-        if m.kind not in ("end", "stop", "jump"):
-            continue
-        out.append((trace, first, lo, at + 1 + (extra if m.kind == "stop" else 0)))
-        if m.kind == "jump":
-            # what follows belongs to this trace up to the next start, unread, and on from there
-            lo, skip = int(m.follow), next((x for x in starts if x >= m.follow), None)
-            if skip is None:
-                return [*out, (trace, first, lo, None)]
+class TraceWalk:
+    """Reads a job's marks in turn and says which stretches (trace, first line, from, to) are over; a few numbers of state."""
+
+    def __init__(self, extra: int):
+        self.extra, self.trace, self.first, self.lo, self.free, self.waits = extra, -1, None, None, -1, False
+
+    def read(self, at: int, start: bool, kind: str | None, follow: int | None) -> tuple[int, int, int, int] | None:
+        if at < self.free or self.waits and not start:
+            return None
+        self.waits = False
+        if self.first is None:
+            if start:
+                self.trace, self.first, self.lo = self.trace + 1, at, at
+            return None
+        if kind is None:
+            return None
+        over = (self.trace, self.first, self.lo, at + 1 + (self.extra if kind == "stop" else 0))
+        if kind == "jump":
+            # what follows belongs to this trace, unread up to the next start, and on from there
+            self.lo = self.free = follow
+            self.waits = True
         else:
-            first, skip = None, at + 1 + (extra if m.kind == "stop" else 0)
-    return out if first is None else [*out, (trace, first, lo, None)]
+            self.first, self.free = None, over[3]
+        return over
+
+    def rest(self) -> tuple[int, int, int, None] | None:
+        return None if self.first is None else (self.trace, self.first, self.lo, None)
 
 
 def tracebacks(lines: DataFrame, tail: str = "parity") -> DataFrame:
@@ -261,11 +273,24 @@ def tracebacks(lines: DataFrame, tail: str = "parity") -> DataFrame:
     if tail not in ("parity", "complete"):
         raise ValueError("tail is parity or complete")
 
-    def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = trace_spans(list(rows.sort_values("line_no").itertuples()), int(tail == "complete"))
-        return pd.DataFrame([(key[0], *x) for x in found], columns=["job_id", "trace_no", "start_line", "lo", "hi"])
-
-    spans = trace_marks(lines).groupBy("job_id").applyInPandas(scan, SPANS)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, walk, rows = None, None, []
+        for batch in batches:
+            for key, at, start, kind, follow in zip(*(c.to_pylist() for c in batch.columns)):
+                if walk is None or key != job:
+                    if walk and (last := walk.rest()):
+                        rows.append((job, *last))
+                    job, walk = key, TraceWalk(int(tail == "complete"))
+                if over := walk.read(at, start, kind, follow):
+                    rows.append((job, *over))
+            yield spans_batch(rows)
+            rows = []
+        if walk and (last := walk.rest()):
+            yield spans_batch([(job, *last)])
+
+    # a partition's marks come sorted, so a task holds one batch of them, whatever the size of a job
+    marks = trace_marks(lines).repartition("job_id").sortWithinPartitions("job_id", "line_no")
+    spans = marks.mapInArrow(scan, SPANS)
     spans = spans.select("job_id", F.col("lo").alias("line_no"), F.struct("trace_no", "start_line", "hi").alias("span"))
     rows = lines.join(spans, ["job_id", "line_no"], "left")
     rows = rows.withColumn("span", F.last("span", ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
