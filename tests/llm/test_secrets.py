@@ -48,9 +48,13 @@ def test_rules_on_random_pieces(spark):
 def test_sliding_entropy_equals_a_count_of_every_window(spark):
     from pyspark.sql import functions as F
 
+    for kind in secrets.CLASSES:
+        every_window(spark, F, kind)
+
+
+def every_window(spark, F, kind):
     rng = random.Random(5)
-    kind = secrets.CLASSES[1]
-    strings = ["".join(rng.choice(kind.alphabet[: rng.choice((2, 6, 12, 20, 66))]) for _ in range(rng.randrange(0, 60))) for _ in range(300)]
+    strings = ["".join(rng.choice(kind.alphabet[: rng.choice((2, 6, 9, 12, 20, 66))]) for _ in range(rng.randrange(0, 140))) for _ in range(300)]
     df = spark.createDataFrame([(s,) for s in strings], "s string").select("s", secrets.entropic(F.col("s"), kind).alias("hit"))
     got = [(r.s, r.hit) for r in df.collect()]
     assert all(h == entropy_hit(s, kind.window, kind.bits) for s, h in got) and len({h for _, h in got}) == 2
@@ -77,3 +81,21 @@ def test_query(spark):
     assert len(got) == len(texts) and sum(r.n_assign for r in got) > 10
     for r in got:
         assert r.base_sha256 == hashlib.sha256(flat(brute(texts[r.doc_id])).encode()).hexdigest()
+
+
+def test_candidates_of_each_class(spark):
+    rng = random.Random(8)
+    letters = [secrets.DIGITS + "ABCDEF", secrets.DIGITS + secrets.UPPER, secrets.DIGITS + secrets.LOWER, secrets.UPPER + secrets.LOWER, secrets.UPPER + secrets.LOWER + secrets.DIGITS + "+/_-"]
+    keys = ["".join(rng.sample(alphabet, min(16, len(alphabet)))) + "".join(rng.sample(alphabet, 16)) for alphabet in letters]
+    got = scan(spark, [f"é {k}." for k in keys] + ["1234567890123456789012", "supercalifragilisticexpialidocious", "GetUserAccountByIdentifierFromStore", f"{keys[4]}-0123456789abcdef-x", "A1" * 50])
+    assert [got[i].spans for i in range(5)] == [f"entropy:2:{2 + len(k)}" for k in keys]
+    assert [got[i].spans for i in (5, 6, 7, 9)] == ["hex:0:22", "", "", ""]
+    # a base span inside a longer string leaves the rest to be judged
+    assert got[8].base == f"hex:{len(keys[4]) + 1}:{len(keys[4]) + 17}" and f"entropy:0:{len(keys[4]) + 1}" in got[8].spans
+
+
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(9)
+    text = "".join(f"{rng.randrange(1 << 70):018x}{rng.choice((' ', ' token: abcdefghijkl12 ', ' é '))}" for _ in range(9000))
+    got = scan(spark, [text])[0]
+    assert got.base == flat(brute(text)) and got.n_hex > 8000 and got.n_assign > 1000
