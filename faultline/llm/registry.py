@@ -93,6 +93,19 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS g FROM d, unnest(range(1, len(w) - 18)) t(s) WHERE len(w) >= 20),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1 AS late FROM x),
+r AS (SELECT DISTINCT doc_id, p FROM f, unnest(range(s, s + 20)) u(p) WHERE late),
+n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY 1),
+e AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) v(p)),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM e ANTI JOIN r USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.spans(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -122,4 +135,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_warc": OP6_SQL,
         "op7_decontamination": OP7_SQL,
+        "op8_substring_dedup": OP8_SQL,
     }

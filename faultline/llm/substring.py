@@ -30,6 +30,7 @@ from faultline.llm.common import Workspace
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 BATCH_BYTES = 4 << 20
+BUCKET_BYTES = 64 << 20  # of texts, whose hashes a bucket takes
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -110,7 +111,7 @@ def unpack(row: dict) -> tuple[np.ndarray, bytes]:
 
 
 def batched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(batch, ids, sizes, body): documents in batches of about BATCH_BYTES, their texts compressed together."""
+    """(batch, bytes, ids, sizes, body): documents in batches of about BATCH_BYTES, their texts compressed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -124,14 +125,14 @@ def batched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     size += len(texts[stop])
                     stop += 1
                 sizes = np.array([len(t) for t in texts[at:stop]], "<i8").tobytes()
-                row = [[serial], [ids[at:stop]], [sizes], [pack.compress(b"".join(texts[at:stop]))]]
+                row = [[serial], [size], [ids[at:stop]], [sizes], [pack.compress(b"".join(texts[at:stop]))]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()))], names=["batch", "ids", "sizes", "body"]
+                    [pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()))], names=["batch", "bytes", "ids", "sizes", "body"]
                 )
                 at, serial = stop, serial + 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "batch long, ids array<long>, sizes binary, body binary")
+    return rows.mapInArrow(run, "batch long, bytes long, ids array<long>, sizes binary, body binary")
 
 
 def split_by(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
@@ -162,7 +163,7 @@ def repeated_anchors(parked: DataFrame, window: int, buckets: int) -> DataFrame:
         for rows in batches:
             for row in rows.to_pylist():
                 h = np.unique(Words(*unpack(row)).anchors(window)[1])
-                out = [(b, row["batch"], blob) for b, (blob,) in split_by((h >> np.uint64(48)).astype(np.int64) * buckets >> 16, low48(h))]
+                out = [(b, row["batch"], blob) for b, (blob,) in split_by((h >> np.uint64(40)).astype(np.int64) * buckets >> 24, low48(h))]
                 yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "batch", "h"), x)) for x in out], schema=sent)
 
     sent = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("h", pa.binary())])
@@ -209,7 +210,7 @@ def repeated_windows(parked: DataFrame, shared: DataFrame, window: int, buckets:
             cols = [x[new] for x in (h1, h2, ids, place, begin.astype("<u4"))]
             keep = np.lexsort((cols[3], cols[2]))
             cols = [x[keep] for x in cols]
-            bucket = (cols[0] >> np.uint64(48)).astype(np.int64) * buckets >> 16
+            bucket = (cols[0] >> np.uint64(40)).astype(np.int64) * buckets >> 24
             out += [dict(zip(sent.names, (b, row["batch"], *blobs))) for b, blobs in split_by(bucket, *cols)]
         return pa.Table.from_pylist(out, schema=sent)
 
@@ -244,14 +245,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A word goes if a window over it also starts earlier, in a row of smaller id or before in the same row. Windows
     are judged on the input. A null id counts as the smallest; of rows that repeat an id, one comes first. Null and
-    empty texts have no words. A row shorter than the window keeps all. Other columns are ignored.
+    empty texts have no words. A row shorter than the window keeps all. A very long text is a batch of its own, held
+    whole by a task with about 40 bytes a word. Other columns are ignored.
     """
     if not PERIOD < window <= WINDOW * 8:
         raise ValueError(f"window must be over {PERIOD} and at most {WINDOW * 8}")
     spark = docs.sparkSession
     work = Workspace(spark, "substring")
-    buckets = min(1 << 16, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     parked = work.table(batched(docs, id_col, text_col), "batches")
+    # a bucket takes the hashes of so many bytes of text, however many there are in all
+    total = parked.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first().n
+    buckets = min(1 << 24, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES))
     shared = work.table(repeated_anchors(parked, window, buckets), "anchors")
     late = work.table(repeated_windows(parked, shared, window, buckets), "windows")
     work.drop("anchors")
