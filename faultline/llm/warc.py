@@ -1,24 +1,30 @@
 """WARC archives without repeated payloads: revisit resolution by payload digest.
 
-Headers alone (digest, size, page) are grouped by digest to find each payload's first page; pages then join that
-table, and each becomes a response with its payload or a revisit that refers to the first. Archives are written as
-text files whose line end is CRLF, so any file system that Spark writes to will do, and read back record by record.
+Headers alone (page, digest, size) are shuffled by digest to find each payload's first page. Pages then meet the
+headers of revisits only, by page and digest, and each becomes a response with its payload or a revisit that refers to
+the first; where the revisits are few they are sent to the pages, so no payload moves. Archives are written as text
+files whose line end is CRLF, so any file system that Spark writes to will do: one gzip stream a file of bounded size,
+read back as a stream, record by record.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 from base64 import b32encode
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.common import Workspace
 
-RECORDS_PER_FILE = 4_000
+# Pages are written by classes of size, so that a file holds at most FILE_BYTES of payload, or one record.
+FILE_BYTES = 64 << 20
+LEAST_CLASS = 16 << 10
+BROADCAST_REVISITS = 1_000_000  # of about 60 bytes
+BATCH_BYTES = 16 << 20
 EPOCH = "1970-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -30,16 +36,27 @@ def base32_sha1(payload):
     return F.translate(F.upper(F.concat(*(part(i) for i in range(4)))), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def resolved(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int) -> DataFrame:
-    """(id, url, payload, bytes, digest, first): first is the page whose response holds the payload."""
+def hashed(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """(id, url, payload, bytes, digest) of each page."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
     )
-    rows = rows.select("*", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload").cast("binary")).alias("digest"))
-    heads = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"))
-    return rows.join(heads, "digest", "left")
+    return rows.select("*", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload").cast("binary")).alias("digest"))
+
+
+def size_class(size: Column) -> Column:
+    """0 up to LEAST_CLASS bytes, and one more for each four times as many."""
+    return F.when(size <= LEAST_CLASS, 0).otherwise(F.ceil(F.log2(size / F.lit(float(LEAST_CLASS))) / 2).cast("int"))
+
+
+def revisits(heads: DataFrame, least_bytes: int) -> DataFrame:
+    """(rid, rdigest, first): pages whose payload an earlier page holds; heads are (id, digest, bytes)."""
+    large = heads.where((F.col("bytes") >= least_bytes) & F.col("id").isNotNull())
+    firsts = large.groupBy("digest").agg(F.min("id").alias("first"))
+    found = large.select("id", "digest").distinct().join(firsts, "digest").where("first < id")
+    return found.select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "first")
 
 
 def records(rows: DataFrame) -> DataFrame:
@@ -65,27 +82,74 @@ def records(rows: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> None:
-    """Write deduplicated gzip archives into the folder path, at most RECORDS_PER_FILE records a file.
+    """Write deduplicated gzip archives into folders under path, one for each class of sizes.
 
     Of rows with equal payloads of at least least_bytes bytes, that with the smallest id is the response and the
     others revisit it; a null payload is empty. Rows that repeat an id are one page: with equal payloads each is
-    written as that page's response. A null id is never a revisit. Other columns are ignored.
+    written as that page's response. A null id is never a revisit. A page is held whole by the task that writes it, and
+    a file must stay below the 2 GB that Spark reads as one binary. Other columns are ignored.
     """
-    rows = records(resolved(pages, id_col, url_col, payload_col, least_bytes))
-    rows.write.option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
-
-def parsed(data: bytes) -> Iterator[dict]:
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8").split("\r\n")
-        if lines[0] != "WARC/1.1":
-            raise ValueError(f"no record at byte {at}")
+    work = Workspace(pages.sparkSession, "revisits")
+    rows = hashed(pages, id_col, url_col, payload_col)
+    heads = work.table(rows.select("id", "digest", "bytes"), "heads")
+    table = work.table(revisits(heads, least_bytes), "revisits")
+    kinds = [r.c for r in heads.select(size_class(F.col("bytes")).alias("c")).distinct().orderBy("c").collect()] or [0]  # a few numbers
+    few = table.count() <= BROADCAST_REVISITS
+    for kind in kinds:
+        some = rows.where(size_class(F.col("bytes")) == kind)
+        some = some.join(F.broadcast(table) if few else table, (F.col("id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
+        most = max(1, FILE_BYTES // (LEAST_CLASS * 4**kind))
+        out = records(some.withColumn("first", F.coalesce("first", "id")))
+        out.write.option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", most).text(f"{path}/size_class={kind}")
+    work.drop()
+
+
+def parsed(pieces: Iterator[bytes]) -> Iterator[dict]:
+    """The records of a stream; holds one record and one piece."""
+    held, at, ended = b"", 0, False
+
+    def more() -> None:
+        nonlocal held, at, ended
+        piece = next(pieces, None)
+        ended = piece is None
+        held, at = held[at:] + (piece or b""), 0
+
+    while True:
+        while (stop := held.find(b"\r\n\r\n", at)) < 0 and not ended:
+            more()
+        if at == len(held):
+            return
+        lines = held[at:stop].decode("utf-8").split("\r\n")
+        if stop < 0 or lines[0] != "WARC/1.1":
+            raise ValueError("no record where one should start")
         head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        size = int(head["content-length"])
-        yield head | {"block": data[stop + 4 : stop + 4 + size]}
-        at = stop + 4 + size + 4
+        start, size = stop + 4 - at, int(head["content-length"])
+        while len(held) - at < start + size + 4:
+            if ended:
+                raise ValueError(f"{head['warc-record-id']} is cut off")
+            more()
+        yield head | {"block": held[at + start : at + start + size]}
+        at += start + size + 4
+
+
+def unzipped(data: pa.Buffer, piece: int = 1 << 20) -> Iterator[bytes]:
+    """The content of gzip members, a piece at a time."""
+    view, at, member = memoryview(data), 0, zlib.decompressobj(31)
+    while at < len(view) or member.unconsumed_tail:
+        if not member.unconsumed_tail:
+            given = view[at : at + (1 << 16)]
+            at += len(given)
+        else:
+            given = member.unconsumed_tail
+        out = member.decompress(given, piece)
+        if member.eof:
+            left = member.unused_data
+            at -= len(left)
+            member = zlib.decompressobj(31)
+        if out:
+            yield out
+    if out := member.flush():
+        yield out
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -102,10 +166,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         return int(digits) if urn and (digits := urn[10:-1]) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for r in parsed(gzip.decompress(content.as_buffer())):
+                for r in parsed(unzipped(content.as_buffer())):
                     full, digest = r["warc-type"] == "response", r["warc-payload-digest"].removeprefix("sha1:")
                     if full and b32encode(hashlib.sha1(r["block"]).digest()).decode() != digest:
                         raise ValueError(f"payload of {r['warc-record-id']} doesn't match its digest")
@@ -120,9 +184,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                             "payload": r["block"] if full else None,
                         }
                     )
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    size += 200 + len(r["block"])
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, "id long, type string, digest string, refers_to long, bytes long, url string, payload binary")
 
 

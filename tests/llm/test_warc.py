@@ -42,3 +42,30 @@ def test_query(spark):
     rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{root}/pages.parquet").collect()]
     got = [tuple(r) for r in registry.op6_warc(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
     assert sorted(got, key=str) == brute(rows)
+
+
+def test_large_pages_cross_pieces_and_batches(spark, monkeypatch):
+    """Pages of several classes of size, in files and batches of many records; reading holds a piece and a record."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    rows = [(i, chr(97 + i % 23) * (i * 137 % 90_000) + str(i % 150)) for i in range(300)] + [(900, "z" * 3_000_000), (901, "z" * 3_000_000)]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    for most in (1, 1_000_000):
+        monkeypatch.setattr(warc, "BROADCAST_REVISITS", most)
+        got = sorted(((r.id, r.bytes, r.digest, r.type, r.refers_to) for r in warc.round_trip(df).collect()), key=str)
+        assert got == brute(rows)
+    work = Workspace(spark, "warc-test")
+    warc.write(df, f"{work.root}/b")
+    files = [r.length for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{work.root}/b").select("length").collect()]
+    assert len(files) > 20
+
+
+def test_stream_of_members():
+    import gzip
+
+    import pyarrow as pa
+
+    text = b"".join(b"WARC/1.1\r\nWARC-Record-ID: x\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (n, b"q" * n) for n in (0, 5, 3_000_000, 70_000))
+    whole, split = gzip.compress(text), b"".join(gzip.compress(text[i : i + 400_001]) for i in range(0, len(text), 400_001))
+    for data in (whole, split, b""):
+        got = [len(r["block"]) for r in warc.parsed(warc.unzipped(pa.py_buffer(data)))]
+        assert got == ([0, 5, 3_000_000, 70_000] if data else [])
