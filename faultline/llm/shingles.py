@@ -11,6 +11,7 @@ loses no pair, and a common passage is no key of a set that has much else. Only
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ BANDS, ROWS = 16, 4
 CHUNK = 1 << 14
 PAIRS_A_SALT = 1_000
 CROWD = 16
+CELLS = 1 << 16
 MASKS, ODD, MIX = (np.random.default_rng(s).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for s in (21, 22, 23))
 
 
@@ -121,15 +123,29 @@ def paired(members: DataFrame, similarity: float, ranked: bool = False) -> DataF
 
 
 def rarest(sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, n, place): each set under the rarest of its shingles, so many that similar sets share one."""
-    each = sets.select("node", "n", F.explode("grams").alias("key"))
-    df = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    # a shingle of one set alone is a key of no pair, but takes its place among the rarest
-    ranked = each.join(df, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("r"))
-    alone = F.col("n") - F.size("r")
-    most = (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1 - alone).cast("int")
-    ranked = ranked.where(most > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("r", F.lit(1), most)).alias("i", "x"))
-    return ranked.select(F.col("x.key").alias("key"), "node", "n", (F.col("alone") + F.col("i")).alias("place"))
+    """(key, node, n, place): each set under the rarest of its shingles, so many that similar sets share one.
+
+    Any one order of all shingles loses no pair. Ours counts shingles in CELLS cells by hash, a table of fixed size, and
+    goes by a shingle's cell, then by its value: what many sets share comes late.
+    """
+    cells = sets.select(F.explode("grams").alias("g")).groupBy(F.pmod("g", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("n"))
+    counts = np.zeros(CELLS, dtype=np.int64)
+    for r in cells.collect():  # CELLS rows at most
+        counts[r.cell] = r.n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(4)]
+            for node, g in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = g.values.to_numpy()
+                n = len(x)
+                most = n - math.ceil(n * similarity - 1e-9) + 1
+                key = x[np.lexsort((x, counts[x % CELLS]))[:most]]
+                for column, value in zip(columns, (key, np.full(most, node), np.full(most, n), np.arange(most))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["key", "node", "n", "place"])
+
+    return sets.select("node", "grams").mapInArrow(run, "key long, node long, n long, place long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
