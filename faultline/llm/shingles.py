@@ -6,13 +6,16 @@ of a band of minimum hashes. Fingerprints at three bits reach only pairs near 1;
 in one component already, so a large group of near copies costs one comparison for each. A bucket that stays open
 with more than CROWD members (unlike documents around one common passage, say) isn't paired: its members meet again
 under their rarest shingles. Two sets of similarity t share one of the n - ceil(t * n) + 1 rarest of each, so this
-loses no pair, and a common passage is no key of a set that has much else. Only components are exact, not links.
+loses no pair, and a common passage is no key of a set that has much else. There the join also compares parity bits
+of the sets, which bound their difference from below. Only components are exact, not links.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ CHUNK = 1 << 14
 PAIRS_A_SALT = 1_000
 CROWD = 16
 CELLS = 1 << 16
+PARITIES = tuple(f"p{i}" for i in range(8))
 MASKS, ODD, MIX = (np.random.default_rng(s).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for s in (21, 22, 23))
 
 
@@ -49,6 +53,12 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return (least * (MIX | np.uint64(1)) ^ MIX).reshape(BANDS, ROWS).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 512 classes of hashes, whether the set holds an odd number of them; a shingle that two sets don't share turns one bit."""
+    odd = np.bincount((hashes.view(np.uint64) >> np.uint64(55)).astype(np.int64), minlength=64 * len(PARITIES)).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def row_hash(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
@@ -112,18 +122,21 @@ def paired(members: DataFrame, similarity: float, ranked: bool = False) -> DataF
     """(a, b): members of one key in different components.
 
     Where members have the place of the key among their shingles from the rarest on, the first key that two sets
-    share bounds what they can share; keys after it bound it further, so a pair that fails here fails everywhere.
+    share bounds what they can share; keys after it bound it further, so a pair that fails here fails everywhere. Sets
+    of similarity t differ in (n_a + n_b) * (1 - t) / (1 + t) shingles at most, so in no more parities.
     """
-    side = lambda s: members.select("key", *(F.col(c).alias(c + s) for c in ("node", "n", "root") + ("place",) * ranked))
+    side = lambda s: members.select("key", *(F.col(c).alias(c + s) for c in ("node", "n", "root") + ("place", *PARITIES) * ranked))
     test = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & alike("n_a", "n_b", similarity)
     if ranked:
         most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
         test &= most * F.lit(1 + similarity) >= (F.col("n_a") + F.col("n_b")) * F.lit(similarity) - 1e-9
+        apart = reduce(add, (F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES))
+        test &= apart * F.lit(1 + similarity) <= (F.col("n_a") + F.col("n_b")) * F.lit(1 - similarity) + 1e-9
     return side("_a").join(side("_b"), "key").where(test).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def rarest(sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, n, place): each set under the rarest of its shingles, so many that similar sets share one.
+    """(key, node, n, place, parities): each set under the rarest of its shingles, so many that similar sets share one.
 
     Any one order of all shingles loses no pair. Ours counts shingles in CELLS cells by hash, a table of fixed size, and
     goes by a shingle's cell, then by its value: what many sets share comes late.
@@ -135,17 +148,18 @@ def rarest(sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(4)]
+            columns: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(4 + len(PARITIES))]
             for node, g in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = g.values.to_numpy()
                 n = len(x)
                 most = n - math.ceil(n * similarity - 1e-9) + 1
                 key = x[np.lexsort((x, counts[x % CELLS]))[:most]]
-                for column, value in zip(columns, (key, np.full(most, node), np.full(most, n), np.arange(most))):
+                same = (np.full(most, v) for v in parities(x))
+                for column, value in zip(columns, (key, np.full(most, node), np.full(most, n), np.arange(most), *same)):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["key", "node", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["key", "node", "n", "place", *PARITIES])
 
-    return sets.select("node", "grams").mapInArrow(run, "key long, node long, n long, place long")
+    return sets.select("node", "grams").mapInArrow(run, "key long, node long, n long, place long" + "".join(f", {p} long" for p in PARITIES))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:

@@ -2,7 +2,7 @@ import corpus_pipeline
 from test_decontaminate import brute as brute_hits
 from test_lines import brute as brute_lines
 from test_packing import verify
-from test_simhash import brute_components, brute_fp
+from test_shingles import brute as brute_near
 
 from faultline.llm import packing
 
@@ -37,9 +37,8 @@ def test_stages_against_plain_python(spark, tmp_path):
         elif name == "line_dedup":
             assert after == sorted((d, kept) for d, _, _, kept in brute_lines(before))
         elif name == "simhash_near_dedup":
-            ids = [d for d, _ in before]
-            component = brute_components(ids, [brute_fp(t, 5) for _, t in before])
-            assert after == [r for r, c in zip(before, component) if r[0] == c]
+            component = dict(brute_near(before)[0])
+            assert after == [r for r in before if component[r[0]] == r[0]]
         else:
             clean = {d for d, _, hit, _ in brute_hits(before, items) if not hit}
             assert after == [r for r in before if r[0] in clean]

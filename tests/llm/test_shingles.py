@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from test_simhash import brute_components
 
 from faultline.llm import shingles
@@ -83,6 +84,14 @@ def test_crowded_buckets(spark):
     assert sorted((r.id, r.component) for r in shingles.near_duplicates(df, crowd=1).collect()) == brute(rows)[0]
 
 
+def test_parities_never_exceed_the_difference():
+    rng = random.Random(8)
+    for _ in range(300):
+        both, a, b = ({rng.getrandbits(64) for _ in range(rng.choice((0, 5, 80, 900)))} for _ in range(3))
+        bits = [shingles.parities(np.array(sorted(x), dtype=np.uint64)) for x in (both | a, both | b)]
+        assert sum(int(x).bit_count() for x in (bits[0] ^ bits[1]).view(np.uint64)) <= len(a ^ b)
+
+
 def test_representatives_of_repeated_and_null_ids(spark):
     a, b, c = ("alpha beta gamma delta epsilon zeta " * 3, "one two three four five six seven", "seven six five four three two one")
     rows = [(1, a, "x"), (1, a, "y"), (1, b, "x"), (2, b, "x"), (3, c, "z"), (None, c, "z"), (None, "only null here", "z"), (None, "only null here", "z"), (None, "another null one", "z"), (4, None, "n"), (5, "", "n")]
