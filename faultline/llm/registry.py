@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, embeddings, lines, packing, pii, quality, secrets, simhash, substring, warc
+from faultline.llm import decontaminate, embeddings, lines, merkle, packing, pii, quality, secrets, simhash, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +116,51 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a string: the bits of each byte in turn, by the reversed polynomial."""
+    bits = "list_reduce(list_concat([xor({0}, {1})], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 1 + 2 * i, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: {bits.format('c', 'b')}), 4294967295)"
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = merkle.manifest(docs, given=merkle.without_line_feeds(docs))
+    return rows.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified")
+    )
+
+
+def fields_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+# nodes of all levels; leaves of groups at level 0, then the groups' roots as leaves of the last tree; each level's runs of three
+OP13_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {fields_sql("text")} AS leaf,
+  {fields_sql("CASE WHEN " + crc32_sql("doc_id::VARCHAR") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS given FROM documents),
+e AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+lv AS (SELECT source, 0 AS lvl, n, pos, leaf AS h FROM e
+  UNION ALL SELECT source, lvl + 1, (n + 2) // 3, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY source, lvl, n, pos // 3),
+sr AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, lvl AS high FROM lv WHERE n = 1),
+tv AS (SELECT 0 AS lvl, n, pos, subroot AS h FROM sr
+  UNION ALL SELECT lvl + 1, (n + 2) // 3, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tv WHERE n > 1 GROUP BY lvl, n, pos // 3),
+nodes AS (SELECT source, lvl, pos, h FROM lv WHERE n > 1 UNION ALL SELECT s.source, s.high + t.lvl, t.pos, t.h FROM tv t, (SELECT DISTINCT source, high FROM sr) s WHERE t.n > 1),
+way AS (SELECT e.doc_id, e.leaf, e.source, e.pos AS start, l.i AS lvl, e.pos // power(3, l.i)::BIGINT AS at FROM e JOIN sr ON e.source IS NOT DISTINCT FROM sr.source, unnest(range(sr.high)) l(i)
+  UNION ALL SELECT e.doc_id, e.leaf, e.source, e.pos, sr.high + l.i, sr.pos // power(3, l.i)::BIGINT FROM e JOIN sr ON e.source IS NOT DISTINCT FROM sr.source, unnest(range((SELECT max(lvl) FROM tv))) l(i)),
+sib AS (SELECT w.source, w.start, w.lvl, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos < w.at), '') AS lft, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos > w.at), '') AS rgt
+  FROM way w JOIN nodes n ON w.source IS NOT DISTINCT FROM n.source AND w.lvl = n.lvl AND w.at // 3 = n.pos // 3 GROUP BY 1, 2, 3),
+prf AS (SELECT source, start, sha256(string_agg(lft || rgt, '' ORDER BY lvl)) AS proof FROM sib GROUP BY 1, 2),
+fold AS (SELECT source, pos AS start, 0 AS lvl, given AS h FROM e
+  UNION ALL SELECT f.source, f.start, f.lvl + 1, sha256(s.lft || f.h || s.rgt) FROM fold f JOIN sib s ON f.source IS NOT DISTINCT FROM s.source AND f.start = s.start AND f.lvl = s.lvl),
+ends AS (SELECT source, start, arg_max(h, lvl) AS folded FROM fold GROUP BY 1, 2),
+rt AS (SELECT h AS root FROM tv WHERE n = 1)
+SELECT e.doc_id, e.leaf, sr.subroot, rt.root, coalesce(p.proof, sha256('')) AS proof_sha256, x.folded AS folded_root, x.folded = rt.root AS verified
+FROM e JOIN sr ON e.source IS NOT DISTINCT FROM sr.source, rt, ends x LEFT JOIN prf p ON x.source IS NOT DISTINCT FROM p.source AND x.start = p.start
+WHERE e.source IS NOT DISTINCT FROM x.source AND e.pos = x.start
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -128,6 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_pii": op9_pii,
         "op10_quality": op10_quality,
+        "op13_manifest": op13_manifest,
     }
 
 
@@ -136,4 +182,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": OP6_SQL,
         "op7_decontamination": OP7_SQL,
         "op8_substring_dedup": OP8_SQL,
+        "op13_manifest": OP13_SQL,
     }
