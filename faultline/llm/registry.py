@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, embeddings, lines, merkle, packing, pii, quality, secrets, simhash, substring, warc
+from faultline.llm import decontaminate, embeddings, lines, merkle, packing, pii, quality, secrets, simhash, substring, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,6 +123,28 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: {bits.format('c', 'b')}), 4294967295)"
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# near words share what one of them leaves when a letter goes: the same letter's place in both, or the other word itself
+OP12_SQL = f"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY 1, 2),
+h AS (SELECT run, n, {crc32_sql("doc_id || ':' || run")} AS h FROM r),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM s GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5),
+x AS (SELECT word, n, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS less FROM w, unnest(range(1, length(word) + 1)) t(i)),
+p AS (SELECT a.word, b.word AS near, b.n AS m FROM x a JOIN x b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.less = w.word UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.less = w.word),
+q AS (SELECT word, count(*) AS n_near, max(m) AS m FROM p GROUP BY 1),
+f AS (SELECT q.word, min(near) AS form, any_value(q.m) AS form_n FROM q JOIN p ON q.word = p.word AND q.m = p.m JOIN w ON q.word = w.word WHERE q.m >= 2 * w.n GROUP BY 1),
+c AS (SELECT word, word AS root, 0 AS k FROM w UNION ALL SELECT c.word, f.form, k + 1 FROM c JOIN f ON c.root = f.word)
+SELECT w.word, f.form, e.root, w.n, coalesce(q.n_near, 0) AS n_near, f.form_n
+FROM w JOIN (SELECT word, arg_max(root, k) AS root FROM c GROUP BY 1) e USING (word) LEFT JOIN q USING (word) LEFT JOIN f USING (word)
+"""
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = merkle.manifest(docs, given=merkle.without_line_feeds(docs))
@@ -173,6 +195,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_pii": op9_pii,
         "op10_quality": op10_quality,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_manifest": op13_manifest,
     }
 
@@ -182,5 +205,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": OP6_SQL,
         "op7_decontamination": OP7_SQL,
         "op8_substring_dedup": OP8_SQL,
+        "op12_spelling_variants": OP12_SQL,
         "op13_manifest": OP13_SQL,
     }
