@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, embeddings, lines, merkle, packing, pii, quality, secrets, simhash, substring, variants, warc
+from faultline.llm import bpe, decontaminate, embeddings, lines, merkle, packing, pii, quality, secrets, simhash, substring, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,6 +123,11 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: {bits.format('c', 'b')}), 4294967295)"
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encoded(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
@@ -195,6 +200,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_pii": op9_pii,
         "op10_quality": op10_quality,
+        "op11_bpe": op11_bpe,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_manifest": op13_manifest,
     }
