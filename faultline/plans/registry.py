@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import rules, text
 from faultline.operators import clusters, condense, extract, report, verdicts
+from faultline.operators.tables import Tables
 from faultline.sources import logs
 
 MODEL, VERSION = "rules", "v1"
@@ -161,6 +162,32 @@ LINE_CLUSTERS = f"{FAILING}, lc AS (SELECT *, CAST(CAST(split_part(job_id, ':',
 DOC_LINES = "dl AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS line_no, unnest(p) AS line FROM (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\v\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS p FROM documents)))"
 TOKEN_SETS = """ts AS (SELECT text, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]{2,}'), lambda x: lower(x)))) AS t FROM (SELECT DISTINCT text FROM fl)),
 hd AS (SELECT t, min(text) AS head FROM ts WHERE len(t) > 0 GROUP BY 1)"""
+
+
+def merge_sql(members: str, passes: int = 4) -> str:
+    """Members (run_id, cluster_id, job_id, job_ord, sig, text) merged greedily, one pass after the other; a pass that takes nothing changes nothing.
+
+    Each pass numbers a run's clusters, walks them in order with the list of those that stay, and gives the others to the first of it.
+    """
+    out = f"""mb AS ({members}),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY size DESC, o) AS pos FROM (
+  SELECT run_id, cluster_id AS name, count(*) AS size, min(job_ord) AS o, max(length(text)) AS len,
+  array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(any_value(sig), '[a-zA-Z_][a-zA-Z0-9_]{{2,}}'), lambda x: lower(x)))), ' ') AS k FROM mb GROUP BY 1, 2)),
+ks AS (SELECT DISTINCT run_id, k, string_split(k, ' ') AS t FROM n0),
+sim AS (SELECT run_id, a.k AS ka, b.k AS kb FROM ks a JOIN ks b USING (run_id) WHERE a.k = b.k OR (a.k <> '' AND b.k <> '' AND len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.7))"""
+    for p in range(passes):
+        out += f""",
+nb{p} AS (SELECT b.run_id, b.pos, coalesce(list(a.pos) FILTER (a.pos IS NOT NULL), []) AS earlier FROM n{p} b LEFT JOIN (sim JOIN n{p} a ON sim.run_id = a.run_id AND sim.ka = a.k) ON sim.run_id = b.run_id AND sim.kb = b.k AND a.pos < b.pos GROUP BY 1, 2),
+st{p} AS (SELECT DISTINCT run_id, 0::BIGINT AS i, []::BIGINT[] AS stay FROM n{p}
+  UNION ALL SELECT s.run_id, s.i + 1, CASE WHEN list_has_any(stay, earlier) THEN stay ELSE list_append(stay, s.i + 1) END FROM st{p} s JOIN nb{p} n ON s.run_id = n.run_id AND n.pos = s.i + 1),
+ow{p} AS (SELECT n.run_id, n.pos, CASE WHEN list_contains(stay, n.pos) THEN n.pos ELSE list_min(list_intersect(stay, earlier)) END AS own FROM nb{p} n JOIN (SELECT run_id, arg_max(stay, i) AS stay FROM st{p} GROUP BY 1) USING (run_id)),
+g{p} AS (SELECT run_id, w.own AS of, sum(size)::BIGINT AS size, first(name ORDER BY len DESC, pos) AS name, first(k ORDER BY len DESC, pos) AS k, max(len) AS len FROM n{p} JOIN ow{p} w USING (run_id, pos) GROUP BY 1, 2),
+n{p + 1} AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY size DESC, of) AS pos FROM g{p})"""
+    way = " ".join(f"JOIN ow{p} ON ow{p}.run_id = n0.run_id AND ow{p}.pos = {'n0' if not p else f'n{p}'}.pos JOIN n{p + 1} ON n{p + 1}.run_id = n0.run_id AND n{p + 1}.of = ow{p}.own" for p in range(passes))
+    return f"{out}, en AS (SELECT n0.run_id, n0.name AS was, n{passes}.name, n{passes}.pos, n{passes}.size FROM n0 {way}) SELECT mb.run_id, job_id, en.name AS cluster_id, en.pos AS cluster_no, en.size FROM mb JOIN en ON mb.run_id = en.run_id AND mb.cluster_id = en.was"
+
+
+DOC_CLUSTERS = f"SELECT run_id, substr(sha256(sig), 1, 16) AS cluster_id, job_id, job_ord, sig, text FROM (SELECT lang AS run_id, doc_id AS job_id, doc_id AS job_ord, text, {SIGNATURE_SQL} AS sig FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)"
 RUNS = f"{SIGNALS}, rn AS (SELECT CAST(CAST(job_id AS BIGINT) % 40 AS VARCHAR) AS run_id, count(DISTINCT job_id) AS total_jobs, count(DISTINCT CASE WHEN signal_type = 'crash' THEN job_id END) AS failed_jobs FROM (SELECT lines.job_id, signal_type FROM lines LEFT JOIN sg USING (job_id, line_no)) GROUP BY 1)"
 HEALTH_SQL = """SELECT run_id, total_jobs, failed_jobs, greatest(total_jobs - failed_jobs, 0) AS passed_jobs, failed_jobs / total_jobs AS failure_ratio,
  CAST(round_even(failed_jobs / total_jobs * 100, 0)::INT AS VARCHAR) || '%' AS pct,
@@ -193,13 +220,20 @@ def line_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.exact_clusters(line_members(spark, sf_dir))
 
 
-def merged_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each failing line with its merged cluster's name, number and size."""
-    mapped = clusters.merge_map(line_heads(spark, sf_dir))
-    rows = line_members(spark, sf_dir).select("run_id", "cluster_id", "job_id").join(mapped, ["run_id", "cluster_id"])
+def merged_members(members: DataFrame) -> DataFrame:
+    """A row for each member with its merged cluster's name, number and size; members are found once and written."""
+    members = Tables(members.sparkSession, "members").put(members, "rows")
+    mapped = clusters.merge_map(clusters.exact_clusters(members))
+    rows = members.select("run_id", "cluster_id", "job_id").join(mapped, ["run_id", "cluster_id"])
     return rows.select("run_id", "job_id", F.col("head").alias("cluster_id"), "cluster_no", "size")
 
 
+def doc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as failures, a run for each language: many signatures, of which near copies are similar."""
+    rows = table(spark, sf_dir, "documents").where("text is not null and lang is not null")
+    return clusters.assigned(rows.select(F.col("lang").alias("run_id"), F.col("doc_id").alias("job_id"), F.col("doc_id").alias("job_ord"), "text", clusters.signature(F.col("text")).alias("signature")))
+
+
 def run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, html): a run page for each user, with a row for each of their events; its status is the event's type."""
     row = F.format_string("<tr><td><a href='/j'>%d</a></td><td>%s</td></tr>", F.col("event_id") + 10_000, F.col("event_type"))
@@ -357,7 +391,8 @@ WHERE len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t)))
         lambda s, d: clusters.token_sets(failing_lines(s, d), "text"),
         f"WITH {FAILING}, {TOKEN_SETS} SELECT text, head FROM ts JOIN hd USING (t)",
     ),
-    "cluster_merge": (merged_members, None),
+    "cluster_merge": (lambda s, d: merged_members(line_members(s, d)), f"WITH RECURSIVE {LINE_CLUSTERS}, {merge_sql('SELECT run_id, cluster_id, job_id, job_ord, sig, text FROM lc')}"),
+    "cluster_merge_docs": (lambda s, d: merged_members(doc_members(s, d)), f"WITH RECURSIVE {merge_sql(DOC_CLUSTERS)}"),
     "run_health": (lambda s, d: report.run_health(runs(s, d)), f"WITH {RUNS} {HEALTH_SQL}"),
     "run_health_by_type": (
         lambda s, d: report.run_health(runs(s, d)).groupBy("classification").agg(F.count("*").alias("runs"), F.sum("failed_jobs").alias("failed_jobs")),

@@ -77,6 +77,21 @@ def test_merge_is_greedy(spark):
     assert clusters.merge_map(df.limit(0)).collect() == []
 
 
+def test_merged_sizes_order_the_clusters(spark):
+    """One set of tokens in two clusters makes the largest, though no two sets are similar."""
+    rows = [("r", "b", "gamma delta", 4, "j1", 1, 0), ("r", "a1", "alpha beta", 3, "j2", 1, 1), ("r", "a2", "beta alpha", 3, "j3", 1, 2)]
+    got = {(r.cluster_id, r.head, r.cluster_no, r["size"]) for r in clusters.merge_map(spark.createDataFrame(rows, HEADS)).collect()}
+    assert got == {("a1", "a1", 1, 6), ("a2", "a1", 1, 6), ("b", "b", 2, 4)}
+
+
+def test_a_chain_is_decided_in_order(spark):
+    """Each set is similar to its neighbours alone: the first takes the second, the third stays, and so on."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    rows = [("r", f"c{i:02}", " ".join(words[i : i + 10]), 1, f"j{i}", 5, i) for i in range(30)]
+    got = {r.cluster_id: r.head for r in clusters.merge_map(spark.createDataFrame(rows, HEADS), 0.8).collect()}
+    assert got == {f"c{i:02}": f"c{i // 2 * 2:02}" for i in range(30)}
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_merge_against_comparing_all_heads(spark, seed):
     """Random signatures in two runs, some with one set of tokens, some with none."""
