@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,8 +18,57 @@ def java(pattern: str) -> str:
     return "(?dU)" + pattern
 
 
+@cache
+def literals(pattern: str) -> tuple[str, ...]:
+    """For each alternative of a pattern a text that all its matches contain; none if some alternative has no text of three characters.
+
+    Read from left to right: what stands in a group of its own, in a class or under a quantifier is left out, and of the
+    runs that stay the longest is taken. A group around all alternatives is opened first.
+    """
+    body = re.sub(r"^\(\?i\)", "", pattern)
+    body = re.sub(r"^\^|\\b", "", body)
+    if (whole := re.fullmatch(r"\((?!\?)([^()]*)\)", body)) is not None:
+        body = whole[1]
+    found: list[list[str]] = [[""]]
+    at = depth = 0
+    while at < len(body):
+        c, step = body[at], 1
+        if c == "\\":
+            c, step = body[at + 1], 2
+            plain = not c.isalnum()
+        else:
+            plain = c not in ".^$*+?{}[]()|"
+        if depth == 0 and c == "|" and step == 1:
+            found.append([""])
+        elif depth == 0 and plain and body[at + step : at + step + 1] not in ("?", "*", "{"):
+            found[-1][-1] += c
+        else:
+            found[-1].append("")
+        if step == 1 and c in "([":
+            depth += 1
+        elif step == 1 and c in ")]":
+            depth -= 1
+        at += step
+    best = [max(runs, key=len) for runs in found]
+    return tuple(best) if all(len(x) >= 3 for x in best) else ()
+
+
+def may_have(column: Column, pattern: str) -> Column | None:
+    """What a text must fulfil to match a pattern, by plain search; texts with other than ASCII characters always may."""
+    words = literals(pattern)
+    if not words:
+        return None
+    if pattern.startswith("(?i)"):
+        small = F.lower(column)
+        held = reduce(lambda a, b: a | b, (small.contains(w.lower()) for w in words))
+        return held | (F.octet_length(column) != F.length(column))
+    return reduce(lambda a, b: a | b, (column.contains(w) for w in words))
+
+
 def has(column: Column, pattern: str) -> Column:
-    return column.rlike(java(pattern))
+    """Whether a text matches; the pattern is tried only on texts that hold a text all its matches need."""
+    match, may = column.rlike(java(pattern)), may_have(column, pattern)
+    return match if may is None else may & match
 
 
 def strip(column: Column) -> Column:

@@ -4,58 +4,110 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from faultline.functions import rules
-from faultline.functions.text import LINE_BREAK, clip_middle, fingerprint, split_lines
+from faultline.functions.text import LINE_BREAK, clip_middle, fingerprint, has, split_lines
 from faultline.operators import extract
+from faultline.operators.extract import keys
+from faultline.operators.tables import Tables
 
 BUDGET = 24_000
 ORDER = ("reason", "stderr", "context", "traces", "signals", "summary", "blocks")
 
 
-def _job() -> Window:
-    return Window.partitionBy("job_id")
+def _job(rows: DataFrame) -> WindowSpec:
+    return Window.partitionBy(*keys(rows))
 
 
 def _unique(rows: DataFrame, text: str, order: str) -> DataFrame:
     """The first row of each fingerprint of a job: times it occurs, place from 1, rows (all) and kinds of the job."""
-    same = Window.partitionBy("job_id", "fp")
-    rows = rows.withColumn("fp", fingerprint(F.col(text)))
-    rows = rows.withColumns({"times": F.count("*").over(same), "first": F.row_number().over(same.orderBy(order)), "rows": F.count("*").over(_job())}).where("first = 1")
-    return _placed(rows, order)
+    k = keys(rows)
+    rest = [c for c in rows.columns if c not in (*k, order)]
+    rows = rows.withColumn("fp", fingerprint(F.col(text))).groupBy(*k, "fp").agg(F.count("*").alias("times"), F.min(F.struct(order, *rest)).alias("x")).select(*k, "times", "x.*")
+    return _placed(rows, order).withColumn("rows", F.sum("times").over(_job(rows)))
 
 
 def _placed(rows: DataFrame, order: str) -> DataFrame:
-    return rows.withColumns({"place": F.row_number().over(_job().orderBy(order)), "kinds": F.count("*").over(_job())})
+    return rows.withColumns({"place": F.row_number().over(_job(rows).orderBy(order)), "kinds": F.count("*").over(_job(rows))})
 
 
 def _section(name: str, rows: DataFrame, item: Column, most: int, *counts: Column) -> DataFrame:
     """(job_id, section, text): heading, the first items by place, and an empty line at the end."""
-    rows = rows.where(F.col("place") <= most).select("job_id", F.struct("place", item.alias("text")).alias("x"), *(c.alias(f"n{i}") for i, c in enumerate(counts)))
+    k = keys(rows)
+    rows = rows.where(F.col("place") <= most).select(*k, F.struct("place", item.alias("text")).alias("x"), *(c.alias(f"n{i}") for i, c in enumerate(counts)))
     head = F.lit(rules.HEADINGS[name]) if not counts else F.format_string(rules.HEADINGS[name], *(F.col(f"n{i}") for i in range(len(counts))))
-    rows = rows.groupBy("job_id", *(f"n{i}" for i in range(len(counts)))).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return rows.select("job_id", F.lit(ORDER.index(name)).alias("section"), F.concat_ws("\n", head, F.array_join("xs.text", "\n"), F.lit("")).alias("text"))
+    rows = rows.groupBy(*k, *(f"n{i}" for i in range(len(counts)))).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return rows.select(*k, F.lit(ORDER.index(name)).alias("section"), F.concat_ws("\n", head, F.array_join("xs.text", "\n"), F.lit("")).alias("text"))
 
 
-def sections(lines: DataFrame) -> DataFrame:
+def _listed(name: str, rows: DataFrame, item: Column, most: int, *counts: Column) -> DataFrame:
+    """A section whose items bring their own empty line."""
+    return _section(name, rows, item, most, *counts).withColumn("text", F.expr("substring(text, 1, length(text) - 1)"))
+
+
+class Findings:
+    """What a log's lines hold, found once and written: marks of all rules, traces' spans, and the lines that are shown.
+
+    One pass evaluates the rules line by line and keeps the few lines that have a mark. The spans of blocks, windows,
+    look-backs and traces follow from the marks, and one join fetches the lines of all of them.
+    """
+
+    def __init__(self, lines: DataFrame):
+        self.lines, line, k = lines, F.col("line"), keys(lines)
+        tables = Tables(lines.sparkSession, "condense")
+        flags = {"error": extract.is_error(line), "strong": extract.is_strong(line), "signal_type": extract.signal_type(line), "start": has(line, rules.TRACEBACK_START), **extract.failing(line)}
+        marks = lines.withColumns(flags).where("error or strong or signal_type is not null or start or failed or status > 0")
+        self.marks = tables.put(marks.withColumn("line", F.when(F.col("signal_type").isNotNull(), line)), "marks")
+        fails = self.marks.where("failed or status > 0").select(*k, F.col("line_no").alias("fail_line"), "failed", "host", "status")
+        traced = self.marks.where("start").select(*k).distinct()
+        of_traces = lines.join(traced, k, "left_semi")
+        trace_marks = tables.put(extract.trace_marks(of_traces), "traces")
+        ends = of_traces.groupBy(*k).agg((F.max("line_no") + 1).alias("n"))
+        spans = [
+            extract.block_spans(self.marks.where("error")).withColumn("kind", F.lit("block")),
+            extract.window_spans(self.marks.where("strong")).withColumn("kind", F.lit("window")),
+            extract.failure_spans(fails).withColumn("kind", F.lit("stderr")),
+            extract.trace_spans(trace_marks, ends).withColumn("kind", F.lit("trace")),
+        ]
+        self.shown = tables.put(extract.shown(lines, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), spans)), "shown")
+
+    def of(self, kind: str) -> DataFrame:
+        return self.shown.where(F.col("kind") == kind)
+
+    def blocks(self) -> DataFrame:
+        return extract.deduplicated(extract.block_texts(self.of("block")))
+
+    def windows(self) -> DataFrame:
+        return extract.window_texts(self.of("window"))
+
+    def stderr(self) -> DataFrame:
+        return extract.stderr_texts(self.of("stderr"))
+
+    def traces(self) -> DataFrame:
+        return extract.trace_texts(self.of("trace"))
+
+
+def sections(found: Findings) -> DataFrame:
     """(job_id, section, text): the sections that a job has, numbered in their order."""
-    ends = F.lit("")
+    lines, k, ends = found.lines, keys(found.lines), F.lit("")
     reason = extract.failure_reason(lines)
-    stderr = _unique(extract.command_stderr(lines), "stderr", "fail_line")
-    shown = F.slice(F.split("stderr", "\n"), -F.least(F.lit(20), F.col("n_stderr")).cast("int"), 20)
+    stderr = _unique(found.stderr(), "stderr", "fail_line")
+    last = F.slice(F.split("stderr", "\n"), -F.least(F.lit(20), F.col("n_stderr")).cast("int"), 20)
     note = F.when(F.col("times") > 1, F.format_string(rules.STDERR_REPEATS, "times")).otherwise("")
     failed = F.concat_ws(
         "\n", F.format_string(rules.STDERR_ITEM, "place", "host", "status", note), F.when(F.col("command") != "", F.concat(F.lit(rules.STDERR_COMMAND), "command")), F.lit(rules.STDERR_LINES),
-        F.array_join(F.transform(shown, lambda x: F.concat(F.lit("  "), x)), "\n"), ends,
+        F.array_join(F.transform(last, lambda x: F.concat(F.lit("  "), x)), "\n"), ends,
     )
-    windows = _placed(extract.context_windows(lines).where("text <> ''"), "window_no")
-    traces = _unique(extract.tracebacks(lines), "text", "trace_no")
-    blocks = _placed(extract.deduplicated(extract.error_blocks(lines)), "start_line")
-    signals = extract.first_signals(lines).withColumn("place", F.col("type_no") * 100 + F.col("item_no"))
-    signals = signals.join(extract.signals(lines).groupBy("job_id").agg(F.count("*").alias("rows")), "job_id")
-    summary = extract.tail_summary(lines).where("text <> ''").join(reason.select("job_id"), "job_id", "left_anti")
+    windows = _placed(found.windows().where("text <> ''"), "window_no")
+    traces = _unique(found.traces(), "text", "trace_no")
+    blocks = _placed(found.blocks(), "start_line")
+    marked = found.marks.where("signal_type is not null")
+    signals = extract.listed_signals(marked).withColumn("place", F.col("type_no") * 100 + F.col("item_no"))
+    signals = signals.join(marked.groupBy(*k).agg(F.count("*").alias("rows")), k)
+    summary = extract.tail_summary(lines).where("text <> ''").join(reason.select(*k), k, "left_anti")
     one = lambda rows: rows.withColumn("place", F.lit(1))
     titled = lambda form: F.concat_ws("\n", F.format_string(form, "place"), F.col("text"), ends)
     block = F.concat_ws("\n", F.format_string(rules.BLOCK_ITEM, "place", "start_line", "end_line"), F.col("text"), ends)
@@ -72,43 +124,57 @@ def sections(lines: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _listed(name: str, rows: DataFrame, item: Column, most: int, *counts: Column) -> DataFrame:
-    """A section whose items bring their own empty line."""
-    return _section(name, rows, item, most, *counts).withColumn("text", F.expr("substring(text, 1, length(text) - 1)"))
+def _condensed(found: Findings, most: int) -> DataFrame:
+    lines, k = found.lines, keys(found.lines)
+    rows = sections(found).groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("section", "text"))).alias("xs"))
+    # only a job of one empty line has no section
+    rows = lines.select(*k).distinct().join(rows, k, "left")
+    text = F.coalesce(F.array_join("xs.text", "\n"), F.lit(rules.HEADINGS["tail"] + "\n"))
+    return rows.select(*k, clip_middle(text, most).alias("condensed_text"))
 
 
 def condensed(lines: DataFrame, most: int = BUDGET) -> DataFrame:
     """(job_id, condensed_text): one row for each job that has a line.
 
-    The lines are laid out by job once and kept while the extractors read them. Tokens of the headings and labels are part of the text that verdicts and signatures read.
+    Tokens of the headings and labels are part of the text that verdicts and signatures read. The lines are kept while
+    this runs, in memory or on disk; its result is written.
     """
-    lines = extract.prepared(lines)
-    rows = sections(lines).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("section", "text"))).alias("xs"))
-    rows = rows.select("job_id", F.array_join("xs.text", "\n").alias("text"))
-    # only a job of one empty line has no section
-    tails = lines.select("job_id").distinct().join(rows.select("job_id"), "job_id", "left_anti").select("job_id", F.lit(rules.HEADINGS["tail"] + "\n").alias("text"))
-    return rows.unionByName(tails).select("job_id", clip_middle(F.col("text"), most).alias("condensed_text"))
+    lines = extract.known(lines).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Tables(lines.sparkSession, "condensed").put(_condensed(Findings(lines), most), "texts")
+    finally:
+        lines.unpersist()
 
 
 def parsed(raw: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """raw (job_id, job_ord, raw_log) with condensed_text, tracebacks, error_blocks, total_lines and total_chars."""
-    log = F.coalesce("raw_log", F.lit(""))
+    """raw (job_id, job_ord, raw_log) with condensed_text, tracebacks, error_blocks, total_lines and total_chars.
+
+    Where raw has a run_id, equal job ids of two runs are two jobs. Logs are read once; what they hold is found once.
+    """
+    k = keys(raw)
+    raw = raw.select(*(F.col(c).cast("string").alias(c) for c in k), "job_ord", F.coalesce("raw_log", F.lit("")).alias("raw"))
+    log = F.col("raw")
     if lines is None:
-        lines = raw.select("job_id", F.posexplode(split_lines(log)).alias("n", "line")).select("job_id", F.col("n").cast("long").alias("line_no"), "line")
-    lines = extract.prepared(lines)
-    traces = extract.tracebacks(lines).groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("trace_no", "text"))), lambda x: x["text"]).alias("tracebacks"))
-    blocks = extract.deduplicated(extract.error_blocks(lines)).groupBy("job_id")
-    blocks = blocks.agg(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "text"))), lambda x: x["text"]).alias("error_blocks"))
-    rows = raw.select("job_id", "job_ord", F.size(split_lines(log)).cast("long").alias("total_lines"), F.length(log).cast("long").alias("total_chars"), log.alias("raw"))
-    rows = rows.join(condensed(lines), "job_id", "left").join(traces, "job_id", "left").join(blocks, "job_id", "left")
-    none = F.array().cast("array<string>")
-    # a log without a line, or of one line break, has no section; it is its own text
-    bare = (F.col("total_lines") <= 1) & (F.regexp_replace("raw", LINE_BREAK, "") == "")
-    text = F.when(bare, F.concat(F.lit(rules.HEADINGS["tail"] + "\n"), "raw")).otherwise(F.col("condensed_text"))
-    return rows.withColumns({"condensed_text": text, "tracebacks": F.coalesce("tracebacks", none), "error_blocks": F.coalesce("error_blocks", none)}).drop("raw")
+        lines = raw.select(*k, F.posexplode(split_lines(log)).alias("line_no", "line"))
+    lines = extract.known(lines).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found, tables = Findings(lines), Tables(lines.sparkSession, "parsed")
+        in_order = lambda order: F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"])
+        traces = found.traces().groupBy(*k).agg(in_order("trace_no").alias("tracebacks"))
+        blocks = found.blocks().groupBy(*k).agg(in_order("start_line").alias("error_blocks"))
+        texts = tables.put(_condensed(found, BUDGET), "texts")
+        rows = raw.select(*k, "job_ord", F.size(split_lines(log)).cast("long").alias("total_lines"), F.length(log).cast("long").alias("total_chars"), F.substring(log, 1, 2).alias("raw"))
+        rows = rows.join(texts, k, "left").join(traces, k, "left").join(blocks, k, "left")
+        none = F.array().cast("array<string>")
+        # a log without a line, or of one line break, has no section; it is its own text
+        bare = (F.col("total_lines") <= 1) & (F.regexp_replace("raw", LINE_BREAK, "") == "")
+        text = F.when(bare, F.concat(F.lit(rules.HEADINGS["tail"] + "\n"), "raw")).otherwise(F.col("condensed_text"))
+        return rows.withColumns({"condensed_text": text, "tracebacks": F.coalesce("tracebacks", none), "error_blocks": F.coalesce("error_blocks", none)}).drop("raw")
+    finally:
+        lines.unpersist()
 
 
 def parse_stats(parsed_jobs: DataFrame) -> DataFrame:
     """(job_id, total_lines, total_chars, tracebacks, error_blocks, condensed_chars): the size of what a log gave."""
     n = lambda c: F.size(c).cast("long").alias(c)
-    return parsed_jobs.select("job_id", "total_lines", "total_chars", n("tracebacks"), n("error_blocks"), F.length("condensed_text").cast("long").alias("condensed_chars"))
+    return parsed_jobs.select(*keys(parsed_jobs), "total_lines", "total_chars", n("tracebacks"), n("error_blocks"), F.length("condensed_text").cast("long").alias("condensed_chars"))

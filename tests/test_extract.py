@@ -1,10 +1,18 @@
 import random
 import re
 
+import pytest
+
 from faultline.functions import rules
 from faultline.operators import condense, extract
 
 
+@pytest.fixture(params=[2, 7, 20_000])
+def stretch(request, monkeypatch):
+    """Jobs cut into stretches of a few lines give the same rows as whole ones."""
+    monkeypatch.setattr(extract, "STRETCH", request.param)
+
+
 def frame(spark, logs):
     return spark.createDataFrame([(j, i, x) for j, xs in logs.items() for i, x in enumerate(xs)], "job_id string, line_no long, line string")
 
@@ -67,7 +75,7 @@ def plain_stderr(lines):
     return out
 
 
-def test_tracebacks_on_random_logs(spark):
+def test_tracebacks_on_random_logs(spark, stretch):
     rng = random.Random(3)
     pieces = ["Traceback (most recent call last):", '  File "a.py", line 1', "    x = 1", "ValueError: bad", "", "plain", "During handling of the above exception, another", "  ...", "os.CustomError", "   "]
     logs = {str(j): [rng.choice(pieces) for _ in range(rng.randrange(1, 25))] for j in range(150)}
@@ -82,7 +90,7 @@ def test_complete_traceback_keeps_the_exception(spark):
     assert [r.text.endswith("ValueError: bad") for t in ("parity", "complete") for r in extract.tracebacks(frame(spark, logs), t).collect()] == [False, True]
 
 
-def test_stderr_on_random_logs(spark):
+def test_stderr_on_random_logs(spark, stretch):
     rng = random.Random(4)
     p = "INFO:teuthology.orchestra.run."
     pieces = [f"{p}h1.stderr:one", f"{p}h2.stderr: two ", f"{p}h1.stderr:", "DEBUG:teuthology.orchestra.run.h1:> sudo a", "DEBUG:teuthology.orchestra.run.h2:> b", "DEBUG:teuthology.orchestra.run:got remote process result: 22", "DEBUG:teuthology.orchestra.run:got remote process result: 0", "Command failed on h1 with status 3: x", "other", f"{p}h1.stderr:s=READY"]
@@ -91,7 +99,7 @@ def test_stderr_on_random_logs(spark):
     assert got == sorted((j, *row) for j, x in logs.items() for row in plain_stderr(x)) and len(got) > 300
 
 
-def test_island_gaps(spark):
+def test_island_gaps(spark, stretch):
     log = lambda *hits: [("ERROR" if i in hits else "fine") for i in range(max(hits) + 20)]
     logs = {"one": log(10), "two": log(5, 7), "eleven": log(10, 21), "twelve": log(10, 22)}
     got = sorted((r.job_id, r.start_line, r.end_line) for r in extract.error_blocks(frame(spark, logs)).collect())
@@ -108,7 +116,7 @@ def test_signals(spark):
     assert got == [(0, "timeout"), (2, "health"), (5, "ansible"), (7, "connection"), (8, "resource"), (9, "resource")]
 
 
-def test_reason_and_summary(spark):
+def test_reason_and_summary(spark, stretch):
     logs = {
         "r": ["failure_reason: old", "x", "failure_reason: new", "  more", "\tand more", "end"],
         "data": ["a", "description: d", "duration: 5", "failure_reason: q", "", "- item", "status: dead", "Done", "owner: me"][:-1],
@@ -123,6 +131,71 @@ def test_reason_and_summary(spark):
     assert got["head"] == ("header", logs["head"][1:]) and got["tail"] == ("tail", logs["tail"][-150:])
 
 
+def test_islands_on_random_hits(spark, stretch):
+    rng = random.Random(8)
+    hits = {str(j): sorted(rng.sample(range(400), rng.randint(1, 60))) for j in range(40)}
+    rows = spark.createDataFrame([(j, i) for j, xs in hits.items() for i in xs], "job_id string, line_no long")
+    for reach in (1, 11, 45):
+        want = []
+        for j, xs in hits.items():
+            runs = [[xs[0], xs[0]]]
+            for x in xs[1:]:
+                if x - runs[-1][1] <= reach:
+                    runs[-1][1] = x
+                else:
+                    runs.append([x, x])
+            want += [(j, n, *r) for n, r in enumerate(runs, 1)]
+        assert sorted((r.job_id, r.island, r.lo, r.hi) for r in extract.islands(rows, reach).collect()) == sorted(want)
+
+
+def test_long_blank_runs_and_open_traces(spark, stretch):
+    """The next line that isn't blank may be stretches away, and a trace that nothing ends takes the rest of its job."""
+    start, inner = "Traceback (most recent call last):", '  File "a.py", line 1'
+    logs = {
+        "gap": [start, inner, "ValueError: a", *[""] * 30, start, inner, *[" "] * 9, "ValueError: b", "x"],
+        "open": ["x", start, inner, *["  deep"] * 50],
+        "chain": [start, "ValueError: a", "", "", "", "During handling of the above exception, another", *["x"] * 20],
+        "none": ["x"] * 30,
+    }
+    got = {}
+    for r in extract.tracebacks(frame(spark, logs)).collect():
+        got.setdefault(r.job_id, []).append((r.trace_no, r.text))
+    assert {j: [t for _, t in sorted(x)] for j, x in got.items()} == {j: plain_traces(x) for j, x in logs.items() if j != "none"}
+
+
+def test_run_of_keys_beyond_the_tail(spark):
+    log = ["a", "b", *[f"description: {i}" for i in range(2500)], "- c"]
+    got = extract.tail_summary(frame(spark, {"1": log, "2": ["status: x"] * 2100, "3": ["x"]})).collect()
+    assert {r.job_id: (r.kind, r.start_line, r.end_line, r.text) for r in got} == {
+        "1": ("data", 2, 2502, "\n".join(log[2:])), "2": ("data", 0, 2099, "\n".join(["status: x"] * 2100)), "3": ("tail", 0, 0, "x"),
+    }
+
+
+def test_equal_job_ids_of_two_runs(spark):
+    """Where lines have a run, jobs of one id in two runs are two jobs, for every extractor."""
+    logs = {"a": ["Traceback (most recent call last):", "ValueError: a", "Command failed on h1 with status 2", "OOM"], "b": ["INFO:teuthology.orchestra.run.h1.stderr:why", "Command failed on h1 with status 3", "status: x", "OOM", "failure_reason: b"]}
+    rows = [(r, "1", i, x) for r, xs in logs.items() for i, x in enumerate(xs)] + [(None, "1", 0, "OOM"), ("a", None, 0, "OOM")]
+    df = spark.createDataFrame(rows, "run_id string, job_id string, line_no long, line string")
+    for f in (extract.error_blocks, extract.context_windows, extract.command_stderr, extract.tracebacks, extract.failure_reason, extract.tail_summary, condense.condensed):
+        alone = {r: f(frame(spark, {"1": xs})).collect() for r, xs in logs.items()}
+        want = sorted((r, *x) for r, found in alone.items() for x in found)
+        assert sorted(tuple(x) for x in f(df).collect()) == want
+
+
+def test_literals_are_needed():
+    from faultline.functions import text
+
+    assert text.literals(r"(?i)\b(timed? ?out|hung)\b") == ("time", "hung") and text.literals(r"a.b|long enough") == () and text.literals(r"(x+)yy(a|b)zzz\[q\]") == ("zzz[q]",)
+    rng, patterns = random.Random(1), [s.pattern for s in rules.SIGNALS] + [p for _, p in rules.TYPE_RULES] + [p for _, _, p in rules.CONCRETE_RULES] + [rules.ERROR_WORD, rules.SUMMARY_HEADER, rules.SUMMARY_DATA, rules.METADATA, rules.TASK_WARNING]
+    words = [w for p in patterns for w in re.split(r"[|()\\?*+.^$\[\]]", p) if w] + [" ", "=", "*", "5", "x", "\u017f", "\u212a"]
+    for _ in range(20_000):
+        x = "".join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+        for p in patterns:
+            held = text.literals(p)
+            if held and x.isascii() and re.search(p, x):
+                assert any(w.lower() in x.lower() if p.startswith("(?i)") else w in x for w in held), (p, x)
+
+
 def plain_islands(lines, hits, before, after, join):
     out = []
     for i in hits:
@@ -216,7 +289,16 @@ def plain_condensed(raw):
     return text if text.strip() else "=== LOG TAIL (no specific errors extracted) ===\n" + raw
 
 
-def test_condensed_text_against_plain_python(spark):
+def plain_clip(x, most=24_000):
+    if len(x) <= most:
+        return x
+    head, tail = x[: most * 2 // 3], x[len(x) - (most - most * 2 // 3) :]
+    head = head[: head.rindex("\n")] if "\n" in head else head
+    tail = tail[tail.index("\n") :] if "\n" in tail else tail
+    return head + rules.CLIP_MARK + tail
+
+
+def test_condensed_text_against_plain_python(spark, stretch):
     rng = random.Random(6)
     p = "INFO:teuthology.orchestra.run."
     pieces = [
@@ -227,12 +309,13 @@ def test_condensed_text_against_plain_python(spark):
     ]
     ends = [[], [], ["description: d", "duration: 5", "", "- item", "tail"], ["failure_reason: it broke", "  more", "end"]]
     raw = {str(j): "\n".join(rng.choice(pieces) for _ in range(rng.randrange(1, 160))) + "\n" + "\n".join(rng.choice(ends)) for j in range(70)}
+    raw |= {f"long{j}": "\n".join(rng.choice(pieces[:-2]) + " pad" * 60 for _ in range(400)) + "\nend" for j in range(4)}
     raw |= {"e1": "", "e2": "\n", "e3": "\n\n", "e4": " ", "e5": "plain\n" * 300, "e6": "\r\n"}
     df = spark.createDataFrame([(j, i, x) for i, (j, x) in enumerate(raw.items())] + [("null", 99, None)], "job_id string, job_ord int, raw_log string")
     got = {r.job_id: r for r in condense.parsed(df).collect()}
     want = {j: plain_condensed(x) for j, x in raw.items()} | {"null": plain_condensed("")}
-    short = [j for j, x in want.items() if len(x) <= condense.BUDGET]
-    assert {j: got[j].condensed_text for j in short} == {j: want[j] for j in short} and len(short) > 60
+    assert {j: r.condensed_text for j, r in got.items()} == {j: plain_clip(x) for j, x in want.items()}
+    assert sum(len(x) > condense.BUDGET for x in want.values()) > 2
     assert set(got) == set(want) and got["e5"].total_lines == 300 and got["null"].total_lines == 0
     stats = {r.job_id: r for r in condense.parse_stats(condense.parsed(df)).collect()}
     assert all(stats[j].tracebacks == len(plain_traces(raw[j].splitlines())) for j in raw)
