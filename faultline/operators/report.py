@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.operators.extract import keys
 from faultline.operators.verdicts import rank
+from faultline.sources.store import KEPT, write_log_files
 
 FALLBACK = {
     "root_cause": "The job's log could not be fetched.",
@@ -43,14 +47,24 @@ def half_up(ratio: Column) -> Column:
     return F.concat(F.floor(ratio * 100 + 0.5).cast("string"), F.lit("%"))
 
 
+USABLE = "coalesce(status = 'ok' and log_text <> '', false)"
+
+
 def usable(logs: DataFrame) -> DataFrame:
-    return logs.where("status = 'ok' and coalesce(log_text, '') <> ''")
+    return logs.where(USABLE)
 
 
 def fallbacks(logs: DataFrame) -> DataFrame:
-    """A fixed verdict for each job without a usable log."""
-    rows = logs.join(usable(logs).select("job_id"), "job_id", "left_anti")
-    return rows.select("job_id", *(F.lit(v).alias(k) for k, v in FALLBACK.items()))
+    """A fixed verdict for each log that is not usable, with its run where logs have one."""
+    return logs.where(f"not {USABLE}").select(*keys(logs), *(F.lit(v).alias(k) for k, v in FALLBACK.items()))
+
+
+def with_logs(verdicts: DataFrame, parsed: DataFrame) -> DataFrame:
+    """verdicts with what parsing found in their job's log, null without one; of logs that repeat a job the last counts."""
+    k = keys(verdicts)
+    rest = [c for c in parsed.columns if c not in k]
+    last = parsed.groupBy(*k).agg(F.max_by(F.struct(*rest), "job_ord").alias("_log"))
+    return verdicts.join(last, k, "left").select(verdicts["*"], *(F.col(f"_log.{c}").alias(c) for c in rest if c not in verdicts.columns))
 
 
 def breakdown(verdicts: DataFrame, column: str, default: str = "unknown") -> DataFrame:
@@ -77,7 +91,9 @@ def by_confidence(verdicts: DataFrame, order: str = "job_ord") -> DataFrame:
 def by_job_id(verdicts: DataFrame) -> DataFrame:
     """In order of job id, runs of digits by their value: job9 before job10."""
     digits = F.regexp_extract_all("job_id", F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.transform(digits, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(F.lower(x)))
+    # a number of more digits is the larger one
+    value = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    padded = F.transform(digits, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(value(x)).cast("string"), 10, "0"), value(x))).otherwise(F.lower(x)))
     return verdicts.orderBy(padded, "job_id")
 
 
@@ -175,8 +191,8 @@ def from_cache(rows: DataFrame, cache: DataFrame, now: float, ttl: float = 7 * 8
 
 
 def updated_cache(cache: DataFrame, results: DataFrame) -> DataFrame:
-    """The cache with successful results put in; a result replaces an entry of its key."""
-    new = results.where("success").select(*cache.columns)
+    """The cache with successful results put in; the last result of a key replaces its entry. sources.store keeps such a table."""
+    new = last_by_key(results.where("success"), ["text_hash"], "cached_at").select(*cache.columns)
     return cache.join(new.select("text_hash"), "text_hash", "left_anti").unionByName(new)
 
 
@@ -192,21 +208,33 @@ def write_csv(verdicts: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
+def log_name(job_id: Column) -> Column:
+    """The name that the log of a job is stored under."""
+    plain = job_id.cast("string")
+    odd = plain.rlike(f"[^A-Za-z0-9{re.escape(KEPT)}]")
+    encoded = F.replace(F.url_encode(plain), F.lit("+"), F.lit(" "))
+    for c in KEPT:
+        if (code := f"%{ord(c):02X}") != "%20":
+            encoded = F.replace(encoded, F.lit(code), F.lit(c))
+    encoded = F.replace(encoded, F.lit("*"), F.lit("%2A"))
+    return F.concat(F.when(odd, encoded).otherwise(plain), F.lit(".log"))
+
+
 def index_rows(logs: DataFrame) -> DataFrame:
     """The index of fetched logs: bytes are those of the UTF-8 text; a log without text is a failed fetch of none."""
     ok = (F.col("status") == "ok") & F.col("log_text").isNotNull()
     return logs.select(
-        "job_id", F.when(ok, "ok").otherwise("fetch_failed").alias("status"), F.when(ok, F.concat("job_id", F.lit(".log"))).otherwise("").alias("log_path"),
+        "job_id", F.when(ok, "ok").otherwise("fetch_failed").alias("status"), F.when(ok, log_name(F.col("job_id"))).otherwise("").alias("log_path"),
         F.col("source_url").alias("fetched_from"), "log_name", F.when(ok, F.octet_length("log_text")).otherwise(0).cast("long").alias("bytes"),
         F.format_string("%.3f", "elapsed_s").alias("elapsed_s"), "error_message",
     )
 
 
 def write_logs(logs: DataFrame, path: str) -> None:
-    """The texts of fetched logs under path/logs, and their index under path/index.csv.
+    """The texts of fetched logs as path/logs/X.log for each job X, byte for byte, and their index under path/index.csv.
 
-    The file of log_path `X.log` is the folder logs/log_path=X.log, one text file each, so that all are written in one job.
+    sources.logs.log_folder reads path/logs back; log_path of the index is relative to path.
     """
-    index_rows(logs).write.mode("overwrite").option("header", True).csv(f"{path}/index.csv")
-    texts = logs.where("status = 'ok' and log_text is not null").select(F.concat("job_id", F.lit(".log")).alias("log_path"), F.col("log_text").alias("value"))
-    texts.repartition("log_path").write.mode("overwrite").partitionBy("log_path").option("lineSep", "\n").text(f"{path}/logs")
+    write_log_files(logs.where("status = 'ok' and log_text is not null"), f"{path}/logs")
+    index = index_rows(logs).withColumn("log_path", F.when(F.col("log_path") != "", F.concat(F.lit("logs/"), F.col("log_path"))).otherwise(""))
+    index.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/index.csv")

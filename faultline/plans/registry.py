@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions import rules, text
-from faultline.operators import clusters, condense, extract, report, verdicts
+from faultline.operators import clusters, condense, extract, report, triage, verdicts
 from faultline.operators.tables import Tables
-from faultline.sources import logs
+from faultline.sources import logs, store
 
 MODEL, VERSION = "rules", "v1"
 
@@ -262,6 +262,30 @@ def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs_of_docs(spark, sf_dir).withColumns({"source_url": F.lit("u"), "log_name": F.lit("a.log"), "elapsed_s": F.lit(1.25), "error_message": text_or_error})
 
 
+def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, job_id, job_ord, status, log_text): the generated logs as those of two runs, both with job ids 0 to n; every 7th was not fetched."""
+    number = F.col("job_ord")
+    rows = whole_logs(spark, sf_dir).select((number % 2).cast("string").alias("run_id"), F.floor(number / 2).cast("long").alias("job_ord"), "raw_log", (number % 7).alias("m"))
+    return rows.select("run_id", F.col("job_ord").cast("string").alias("job_id"), "job_ord", F.when(F.col("m") > 0, "ok").otherwise("fetch_failed").alias("status"), F.when(F.col("m") > 0, F.col("raw_log")).alias("log_text"))
+
+
+def run_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for each job of two runs."""
+    found = triage.triage(two_runs(spark, sf_dir))
+    return found.verdicts.select("run_id", "job_id", "cluster_id", "severity", "failure_type", "root_cause", "confidence", "fallback")
+
+
+def stored_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache gives for every document after two writes: of even ids, then of ids divisible by 3, which fail where 5 divides them."""
+    cache = store.VerdictCache(spark, f"{Tables(spark, 'verdicts').folder}/cache")
+    key = report.cache_key(F.coalesce("text", F.lit("")), MODEL, VERSION).alias("text_hash")
+    results = lambda rows, mark: rows.select(key, F.col("doc_id").alias("job_ord"), F.concat(F.lit(mark), F.col("doc_id").cast("string")).alias("root_cause"), (F.col("doc_id") % 5 != 0).alias("success"))
+    rows = docs(spark, sf_dir)
+    cache.put(results(rows.where("doc_id % 2 = 0"), "a").withColumn("success", F.lit(True)), 1000.0)
+    cache.put(results(rows.where("doc_id % 3 = 0"), "b"), 2000.0)
+    return cache.get(rows.select("doc_id", key), 3000.0).select("doc_id", "root_cause", "severity", "cached")
+
+
 def renewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of the documents of even id, renewed with results for those of ids divisible by 3, which fail where 5 divides them."""
     cache = doc_cache(spark, sf_dir)
@@ -562,6 +586,13 @@ FROM (SELECT doc_id, text, lb IS NOT NULL AS l, lb IS NOT NULL AND text IS NOT N
         """WITH c AS (SELECT substr(sha256('rules' || chr(10) || 'v1' || chr(10) || coalesce(text, '')), 1, 32) AS text_hash, max(doc_id) AS answer FROM documents GROUP BY 1),
 n AS (SELECT text_hash, answer * 1000.0::DOUBLE AS cached_at, -answer AS answer FROM c WHERE answer % 3 = 0 AND answer % 5 <> 0)
 SELECT * FROM n UNION ALL SELECT text_hash, answer * 1000.0::DOUBLE, answer FROM c WHERE answer % 2 = 0 AND text_hash NOT IN (SELECT text_hash FROM n)""",
+    ),
+    "run_verdicts": (run_verdicts, None),
+    "stored_verdicts": (
+        stored_verdicts,
+        """WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT t, 'a' || max(doc_id) AS c FROM t WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT t, 'b' || max(doc_id) AS c FROM t WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0 GROUP BY 1)
+SELECT doc_id, coalesce(b.c, a.c) AS root_cause, CASE WHEN coalesce(b.c, a.c) IS NOT NULL THEN 'medium' END AS severity, coalesce(b.c, a.c) IS NOT NULL AS cached FROM t LEFT JOIN a USING (t) LEFT JOIN b USING (t)""",
     ),
     "export_json": (
         lambda s, d: report.export_rows(judged(s, d).drop("root_cause")),

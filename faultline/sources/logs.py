@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import rules, text
@@ -57,10 +57,28 @@ def text_lines(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(id_col, F.posexplode(text.split_lines(F.coalesce(text_col, F.lit("")))).alias("n", "line")).select(id_col, F.col("n").cast("long").alias("line_no"), "line")
 
 
+def plain_name(name: Column) -> Column:
+    """A name without its %XX; a plus sign is one."""
+    return F.url_decode(F.replace(F.replace(name, F.lit("+"), F.lit("%2B")), F.lit(" "), F.lit("%20")))
+
+
 def log_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, log_text): *.log files of a folder, bad bytes replaced, job_id from the file's name."""
+    """(job_id, log_text): *.log files of a folder, bad bytes replaced, job_id from the file's name, %XX being the byte XX.
+
+    Files without a byte give no row; `stored_logs` knows them by the index.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.log$", 1).alias("job_id"), F.decode("content", "UTF-8").alias("log_text"))
+    # the scan names files as parts of an address, so names are encoded once more there
+    name = F.regexp_extract(plain_name(F.col("_metadata.file_name")), r"(?s)^(.+)\.log$", 1)
+    return files.select(plain_name(name).alias("job_id"), F.decode("content", "UTF-8").alias("log_text"))
+
+
+def stored_logs(spark: SparkSession, path: str) -> DataFrame:
+    """What report.write_logs wrote under a path: its index, a row for each log, with log_text, null where the fetch failed."""
+    schema = "job_id string, status string, log_path string, fetched_from string, log_name string, bytes long, elapsed_s string, error_message string"
+    index = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(f"{path}/index.csv")
+    rows = index.join(log_folder(spark, f"{path}/logs"), "job_id", "left")
+    return rows.withColumn("log_text", F.coalesce("log_text", F.when((F.col("status") == "ok") & (F.col("bytes") == 0), F.lit(""))))
 
 
 def only_jobs(rows: DataFrame, jobs: str | None) -> DataFrame:
@@ -83,9 +101,9 @@ def job_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def failed_jobs(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, job_id): all job links of rows whose text says fail, dead, error or hung as a word."""
+    """(url, job_id): all job links of rows whose text says fail, dead, error or hung as a word, ids of a page as texts in order."""
     rows = page_rows(pages, url_col, html_col).where(F.regexp_replace("row", "<[^>]*>", " ").rlike(r"(?i)\b(fail|dead|error|hung)\b"))
-    return rows.select(url_col, F.explode("links").alias("job_id")).distinct()
+    return rows.select(url_col, F.explode("links").alias("job_id")).distinct().orderBy(url_col, "job_id")
 
 
 def suite_runs(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -139,15 +139,9 @@ def test_percents(spark):
     assert got == [("12%", "12%", "13%"), ("14%", "13%", "14%"), ("100%", "99%", "100%")]
 
 
-def test_written_logs(spark, tmp_path):
-    rows = [("1", "ok", "a\nb", "u", "n", 1.0, ""), ("2", "fetch_failed", None, "u", "n", 2.0, "gone"), ("3", "ok", None, "u", "n", 2.0, "")]
-    df = spark.createDataFrame(rows, "job_id string, status string, log_text string, source_url string, log_name string, elapsed_s double, error_message string")
-    report.write_logs(df, str(tmp_path))
-    index = {r.job_id: r for r in spark.read.option("header", True).csv(f"{tmp_path}/index.csv").collect()}
-    assert [(index[k].status, index[k].bytes, index[k].log_path) for k in "123"] == [("ok", "3", "1.log"), ("fetch_failed", "0", None), ("fetch_failed", "0", None)]
-    assert "".join(p.read_text() for p in (tmp_path / "logs/log_path=1.log").glob("*.txt")) == "a\nb\n"
-    report.write_csv(df.select("job_id", "error_message"), f"{tmp_path}/v.csv")
-    assert spark.read.option("header", True).csv(f"{tmp_path}/v.csv").count() == 3
+def test_written_csv(spark, tmp_path):
+    report.write_csv(spark.createDataFrame([("1", ["a", "b"]), ("2", [])], "job_id string, fix_suggestions array<string>"), f"{tmp_path}/v.csv")
+    assert sorted(tuple(r) for r in spark.read.option("header", True).csv(f"{tmp_path}/v.csv").collect()) == [("1", "a; b"), ("2", None)]
 
 
 def test_cache(spark):
