@@ -21,6 +21,7 @@ EDITS = 2
 LEAST_CHARS = 20
 BROADCAST_IDS = 200_000
 PAIRS_A_TASK = 1_000
+MOST_TASKS = 8  # times the number of shuffle partitions
 SKETCH = "etaonirshldcum"
 HEAD = 24  # characters after which most unlike lines are told apart
 
@@ -192,8 +193,10 @@ def near_links(lines: DataFrame, work: Workspace, edits: int) -> DataFrame:
     texts = work.table(hashed(texts), "texts")
     side = lambda c: texts.select(*(F.col(x).alias(f"{c}_{x}") for x in texts.columns))
     both = pairs.join(side("a"), F.col("a") == F.col("a_h1")).join(side("b"), F.col("b") == F.col("b_h1"))
-    # pairs are few bytes but much work: deal them by number, where their size would leave them to a few tasks
-    both = both.select("a_line", "b_line", *(f"{s}_{c}" for s in "ab" for c in ("first", "h1", "h2"))).repartition(pairs.count() // PAIRS_A_TASK + 1, "a_h1", "b_h1")
+    # pairs are few bytes but much work: deal them by number, where their size would leave them to a few tasks, and to
+    # a bounded number of tasks however many they are
+    tasks = min(pairs.count() // PAIRS_A_TASK + 1, MOST_TASKS * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = both.select("a_line", "b_line", *(f"{s}_{c}" for s in "ab" for c in ("first", "h1", "h2"))).repartition(tasks, "a_h1", "b_h1")
     both = both.where(within(F.col("a_line"), F.col("b_line"), edits))
     later = lambda c: F.when(F.col("a_first") > F.col("b_first"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c)
     return both.where("a_first <> b_first").select(later("h1"), later("h2")).distinct()

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -41,26 +42,38 @@ def constants() -> tuple[np.ndarray, np.ndarray]:
     return odd[0], odd[1]
 
 
-BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to each power below n, and the inverses, modulo 2^64."""
-    if len(_powers.get("up", ())) < n:
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            row = np.full(n, base, dtype=np.uint64)
-            row[0] = 1
-            _powers[name] = np.cumprod(row, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+LONG_WORD = 256
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: int) -> np.ndarray:
+    """64 bits of each word: its bytes go in eight at a time, each block mixed with all before it. The two kinds share nothing but the bytes.
+
+    Words of over LONG_WORD bytes go through a cryptographic hash, one by one.
+    """
+    seed = np.uint64(SEEDS[which])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mixed(sizes.astype(np.uint64) * seed + seed)
+    at, block = np.flatnonzero(sizes <= LONG_WORD), 0
+    while len(at):
+        left = np.minimum(sizes[at] - 8 * block, 8).astype(np.uint64)
+        value = eight[starts[at] + 8 * block] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        out[at] = mixed((out[at] ^ value) * seed + np.uint64(block))
+        block += 1
+        at = at[sizes[at] > 8 * block]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        word = data[starts[i] : starts[i] + sizes[i]].tobytes()
+        out[i] = int.from_bytes(blake2b(word, digest_size=8, salt=bytes([which])).digest(), "little")
+    return out
+
+
 class Words:
     """All words of a batch: hash, document, and place in its document."""
 
@@ -74,10 +87,8 @@ class Words:
         gap = np.concatenate([[True], ~solid, [True]])
         starts = np.flatnonzero(solid & (edge[:-1] | gap[:-2]))
         stops = np.flatnonzero(solid & (edge[1:] | gap[2:])) + 1
-        up, down = powers(n + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
-        value = (total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        self.hash = mixed(value)
+        self.hash = word_hashes(data, starts, stops - starts, 0)
+        self.second = lambda: word_hashes(data, starts, stops - starts, 1)
         self.doc = np.searchsorted(ends, starts, side="right")
         self.count = np.bincount(self.doc, minlength=len(sizes))
         self.first = np.cumsum(self.count) - self.count
@@ -85,10 +96,11 @@ class Words:
 
     def windows(self, width: int, second: bool = False) -> np.ndarray:
         """A hash for each start; starts near a document's end run over it and are for the caller to leave out."""
-        n = max(0, len(self.hash) - width + 1)
+        words = self.second() if second else self.hash
+        n = max(0, len(words) - width + 1)
         out = np.zeros(n, dtype=np.uint64)
         for k, c in enumerate(constants()[second][:width]):
-            out += self.hash[k : k + n] * c
+            out += words[k : k + n] * c
         return mixed(out)
 
     def fits(self, width: int) -> np.ndarray:

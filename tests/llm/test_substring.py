@@ -46,6 +46,24 @@ def test_random_passages(spark):
     assert run(spark, rows, window=14) == brute(rows, 14)
 
 
+def test_words_that_differ_in_many_letters(spark):
+    """A word of Thue and Morse and its complement, which hashes by powers modulo 2^64 take for one; words of all lengths; very long ones."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"t{i}" for i in range(19))
+    rows = [(1, f"{morse} {tail}"), (2, f"{other} {tail}"), (3, f"{morse} {tail}"), (4, f"{morse[:256]} {tail}"), (5, f"{other[:256]} {tail}"), (6, f"{morse * 300} {tail}"), (7, f"{other * 300} {tail}")]
+    rows += [(10 + n, f"{'z' * n} {tail}") for n in range(1, 40)]
+    got = run(spark, rows)
+    assert got == brute(rows) and sum(r[2] for r in got) == 20
+
+
+def test_word_hashes_are_apart():
+    words = sorted({("ab" * 600)[i:j].encode() for i in range(2) for j in range(i + 1, 700, 3)} | {bytes([c]) * n for c in (1, 97, 255) for n in range(1, 300)})
+    body, starts = b"".join(words), np.cumsum([0, *map(len, words)])[:-1]
+    kinds = [substring.word_hashes(np.frombuffer(body, np.uint8), starts, np.array(list(map(len, words))), k) for k in (0, 1)]
+    assert all(len(set(k.tolist())) == len(words) for k in kinds) and not (kinds[0] == kinds[1]).any()
+
+
 def test_edges(spark, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(30))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a " * 5000), (5, "a " * 25), (6, passage), (7, "x " + passage), (None, passage + " tail"), (8, passage)]
