@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from faultline.llm import embeddings, registry
 
@@ -95,8 +96,7 @@ def test_recall_in_a_large_label(spark):
     assert all(r[2] == r[0] - 20_000 for r in got if r[1] and 20_000 <= r[0] < 50_000)
 
 
-def test_two_lengths_in_one_large_label(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "EXACT", 200)
+def test_two_lengths_in_one_large_label(spark):
     rows = planted(8, 100, 4, 0.05)
     rows = [(i, v, 1) for i, v, _ in rows] + [(1000 + i, v[:12], 1) for i, v, _ in rows]
     got, want = run(spark, rows), brute(rows)
@@ -120,3 +120,68 @@ def test_recall_by_band_and_size(spark):
     for label in range(3):
         for b in range(3):
             assert sum(got[label * 100_000 + i] for i in range(b * 200, b * 200 + 200)) >= 0.95 * 200
+
+
+def with_mean(rng, n, share, pairs, low, high, dim=64):
+    """n unit vectors whose mean cosine is `share`, the first `pairs` of them with a partner each at a cosine from low to high."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    common = unit(rng.normal(size=(1, dim)))
+    base = rng.normal(size=(n, dim))
+    base = unit(base - (base @ common.T) * common)
+    base = math.sqrt(share) * common + math.sqrt(1 - share) * base
+    # a partner is as far from the common direction, so that only the rest differs
+    rest = unit(base[:pairs] - (base[:pairs] @ common.T) * common)
+    side = rng.normal(size=(pairs, dim))
+    side = unit(side - (side @ common.T) * common - (side * rest).sum(1, keepdims=True) * rest)
+    inner = (rng.uniform(low, high, size=(pairs, 1)) - share) / (1 - share)
+    near = math.sqrt(share) * common + math.sqrt(1 - share) * (inner * rest + np.sqrt(1 - inner**2) * side)
+    return base, near
+
+
+@pytest.mark.parametrize("share", [0.0, 0.6, 0.8])
+def test_recall_with_a_common_mean(spark, share):
+    """Recall in bands of cosine, at three sizes of a label, whatever direction all vectors share; and few compared pairs."""
+    rng, rows, bands = np.random.default_rng(int(share * 10) + 1), [], ((0.9301, 0.94), (0.94, 0.96), (0.96, 0.99))
+    for label, n in enumerate((300, 4_000, 12_000)):
+        for b, band in enumerate(bands):
+            base, near = with_mean(rng, n // 3, share, 90, *band)
+            # one common direction a label: all bands share it
+            rows += [(label * 100_000 + b * 30_000 + i, v.tolist(), label) for i, v in enumerate(np.concatenate([near, base]))]
+    got = {r[0]: r[1] for r in run_double(spark, rows)}
+    for label in range(3):
+        for b in range(3):
+            assert sum(got[label * 100_000 + b * 30_000 + i] > 0 for i in range(90)) >= 0.9 * 90, (label, b)
+
+
+def run_double(spark, rows):
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int, node int")
+    return sorted((r.id, r.n_links, r.component) for r in embeddings.near_duplicates(df).collect())
+
+
+def test_bits_are_learned_and_balanced():
+    """Bits of a label halve it, whatever its mean; tables at 50,000 vectors compare under a tenth of all pairs; learned rotations lose less."""
+    rng = np.random.default_rng(2)
+    for share in (0.0, 0.6, 0.8):
+        base, near = with_mean(rng, 20_000, share, 20_000, 0.93, 0.9301)
+        mean = base.mean(0)
+        bits, number = embeddings.tables(50_000, float(mean @ mean), 0.93)
+        found = [embeddings.quantiser(base[:5_000] - mean, i) for i in range(-(-bits * number // 64))]
+        a, b = (embeddings.codes(x - mean, bits, number, found) for x in (base, near))
+        on = np.concatenate([(a >> i) & 1 for i in range(bits)], axis=1).mean(0)
+        assert abs(on - 0.5).max() < 0.05
+        assert (a == b).any(1).mean() > 0.95
+        alike = sum(float((np.bincount(a[:, t], minlength=2**bits) / len(a) @ (np.bincount(a[:, t], minlength=2**bits) / len(a)))) for t in range(number))
+        assert 0 < bits and alike < 0.1
+    spread = rng.normal(size=(4_000, 64)) * np.geomspace(1, 0.05, 64)
+    loss = lambda r: np.square(np.sign(spread @ r) - spread @ r).sum()
+    assert loss(embeddings.quantiser(spread, 0)) < loss(embeddings.unlearned(64, 0))
+
+
+def test_rotations_are_learned_on_given_tables(spark, monkeypatch):
+    seen = []
+    learn = embeddings.quantiser
+    monkeypatch.setattr(embeddings, "quantiser", lambda sample, seed: seen.append(len(sample)) or learn(sample, seed))
+    for sf, least in (("sf0.01", 400), ("sf0.1", 1_900)):
+        assert registry.op2_embedding_near_dedup(spark, f"/root/testdata/{sf}").count() > 0
+        assert seen and seen.pop() >= least
+        seen.clear()
