@@ -133,15 +133,19 @@ def needs_attention(verdicts: DataFrame) -> DataFrame:
     return verdicts.where(~F.col("success") | F.col("fallback") | (F.col("confidence") < 0.6) | (F.col("failure_type") == "unknown"))
 
 
-def snapshot(verdicts: DataFrame) -> DataFrame:
-    """One row of counts over all verdicts; low confidence and unknown types count successes only."""
-    n = lambda c: F.count_if(c)
+def cards() -> dict[str, Column]:
+    """Counts over all verdicts; low confidence and unknown types count successes only."""
     ok, fallback = F.col("success"), F.col("fallback")
-    return verdicts.agg(
-        F.count("*").alias("jobs"), n(ok).alias("ok"), n(fallback).alias("fallback"), n(ok & (F.col("confidence") < 0.6)).alias("low_confidence"),
-        n(ok & (F.col("failure_type") == "unknown")).alias("unknown_type"), n(F.lower("error_category").contains("artifact availability")).alias("unavailable"),
-        *(n(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")),
-    )
+    of = {
+        "jobs": F.lit(True), "ok": ok, "fallback": fallback, "low_confidence": ok & (F.col("confidence") < 0.6), "unknown_type": ok & (F.col("failure_type") == "unknown"),
+        "unavailable": F.lower("error_category").contains("artifact availability"), **{s: F.col("severity") == s for s in ("critical", "high", "medium", "low")},
+    }
+    return {k: F.count_if(c) for k, c in of.items()}
+
+
+def snapshot(verdicts: DataFrame) -> DataFrame:
+    """One row of `cards`. On verdicts that are written anyway, observe `cards` there and save this pass."""
+    return verdicts.agg(*(c.alias(k) for k, c in cards().items()))
 
 
 def systemic_warning(clusters: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from faultline.operators import clusters, condense, report
@@ -21,6 +21,7 @@ class Triage(NamedTuple):
     clusters: DataFrame
     verdicts: DataFrame
     health: DataFrame
+    counts: dict[str, int]
 
 
 def judged(reps: DataFrame, replies: DataFrame | None, cache: VerdictCache | None, model: str, version: str, now: float) -> DataFrame:
@@ -55,21 +56,33 @@ def triage(logs: DataFrame, totals: DataFrame | None = None, replies: DataFrame
     parsed, members (run_id, job_id, cluster_id, cluster_no), clusters (as `merged_clusters`), verdicts (run_id, job_id,
     job_ord, cluster_id, VERDICT, success, cached, fallback; one for each log) and health of each run. totals (run_id,
     total_jobs) are the jobs of a run's page; without them a run has as many as it has logs. Equal job ids of two runs
-    are two jobs. Every table is written, so later steps read and don't compute.
+    are two jobs. Every table is written, so later steps read and don't compute. counts are taken while the tables are
+    written, without a pass of their own: the size of what was parsed, jobs, clusters, the verdicts that clustering and the
+    cache saved, and `report.snapshot` of all verdicts.
     """
-    tables = Tables(logs.sparkSession, "triage")
+    tables, counts = Tables(logs.sparkSession, "triage"), {}
+
+    def observed(rows: DataFrame, name: str, **metrics) -> DataFrame:
+        seen = Observation(name)
+        out = tables.put(rows.observe(seen, *(c.alias(k) for k, c in metrics.items())), name)
+        counts.update({k: v or 0 for k, v in seen.get.items()})
+        return out
+
+    every = F.count(F.lit(1))
     k = ["run_id", "job_id"]
     logs = logs.withColumns({c: F.col(c).cast("string") for c in k})
     parsed = condense.parsed(report.usable(logs).select(*k, "job_ord", F.col("log_text").alias("raw_log")))
-    parsed = tables.put(parsed, "parsed")
+    sizes = {"tracebacks": F.size("tracebacks"), "error_blocks": F.size("error_blocks"), "total_lines": F.col("total_lines"), "total_chars": F.col("total_chars"), "condensed_chars": F.length("condensed_text")}
+    parsed = observed(parsed, "parsed", **{c: F.sum(x) for c, x in sizes.items()})
     signed = parsed.select(*k, "job_ord", F.col("condensed_text").alias("text"), clusters.signature(F.col("condensed_text"), F.col("tracebacks"), F.col("error_blocks")).alias("signature"))
-    assigned = tables.put(clusters.assigned(signed), "assigned")
+    assigned = observed(clusters.assigned(signed), "assigned", jobs_to_judge=every)
     heads = tables.put(clusters.exact_clusters(assigned), "heads")
     mapped = tables.put(clusters.merge_map(heads), "mapped")
-    merged = tables.put(clusters.merged_clusters(heads, mapped=mapped), "merged")
+    merged = observed(clusters.merged_clusters(heads, mapped=mapped), "merged", clusters=every)
     members = assigned.join(mapped, ["run_id", "cluster_id"]).select(*k, "job_ord", F.col("head").alias("cluster_id"), "cluster_no")
     reps = merged.select("run_id", "cluster_id", F.col("representative_job_id").alias("job_id")).join(assigned.select(*k, "job_ord", "text"), k)
-    found = tables.put(judged(reps, replies, cache, model, version, now).select("run_id", "cluster_id", *VERDICT, "success", "cached"), "found")
+    found = observed(judged(reps, replies, cache, model, version, now).select("run_id", "cluster_id", *VERDICT, "success", "cached"), "found", from_cache=F.count_if("cached"))
+    counts["saved"] = counts["jobs_to_judge"] - counts["clusters"]
     fanned = members.drop("cluster_no").join(found, ["run_id", "cluster_id"]).withColumn("fallback", F.lit(False))
     lost = report.fallbacks(logs).join(logs.where(f"not {report.USABLE}").select(*k, "job_ord"), k).distinct().withColumns({"success": F.lit(True), "cached": F.lit(False), "fallback": F.lit(True)})
     pages = logs.groupBy("run_id").agg(F.count("*").alias("failed_jobs"))
@@ -77,4 +90,5 @@ def triage(logs: DataFrame, totals: DataFrame | None = None, replies: DataFrame
         pages = pages.join(totals.select("run_id", "total_jobs"), "run_id", "left")
     total = F.greatest(F.coalesce("total_jobs", F.lit(0)), F.col("failed_jobs")) if totals is not None else F.col("failed_jobs")
     health = report.run_health(pages.select("run_id", total.cast("long").alias("total_jobs"), "failed_jobs"))
-    return Triage(parsed, members, merged, tables.put(fanned.unionByName(lost, allowMissingColumns=True), "verdicts"), health)
+    every_verdict = observed(fanned.unionByName(lost, allowMissingColumns=True), "verdicts", **report.cards())
+    return Triage(parsed, members, merged, every_verdict, health, counts)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import rules, text
+from faultline.sources.store import job_of
 
 TEMPLATES = (
     ("error", 0, 1, "{ts} ERROR:teuthology.run_tasks:Saw exception from tasks."),
@@ -57,20 +58,13 @@ def text_lines(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(id_col, F.posexplode(text.split_lines(F.coalesce(text_col, F.lit("")))).alias("n", "line")).select(id_col, F.col("n").cast("long").alias("line_no"), "line")
 
 
-def plain_name(name: Column) -> Column:
-    """A name without its %XX; a plus sign is one."""
-    return F.url_decode(F.replace(F.replace(name, F.lit("+"), F.lit("%2B")), F.lit(" "), F.lit("%20")))
-
-
 def log_folder(spark: SparkSession, path: str) -> DataFrame:
     """(job_id, log_text): *.log files of a folder, bad bytes replaced, job_id from the file's name, %XX being the byte XX.
 
     Files without a byte give no row; `stored_logs` knows them by the index.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path)
-    # the scan names files as parts of an address, so names are encoded once more there
-    name = F.regexp_extract(plain_name(F.col("_metadata.file_name")), r"(?s)^(.+)\.log$", 1)
-    return files.select(plain_name(name).alias("job_id"), F.decode("content", "UTF-8").alias("log_text"))
+    return files.select(job_of(F.col("_metadata.file_name")).alias("job_id"), F.decode("content", "UTF-8").alias("log_text"))
 
 
 def stored_logs(spark: SparkSession, path: str) -> DataFrame:

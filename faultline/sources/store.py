@@ -10,10 +10,11 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from faultline.operators.extract import batched
 from faultline.operators.tables import Tables
 
 #: Characters of a job id that a file's name keeps; all others, and the percent sign, are written as %XX.
@@ -24,6 +25,23 @@ def file_name(job_id: str) -> str:
     return quote(job_id, safe=KEPT) + ".log"
 
 
+def plain_name(name: Column) -> Column:
+    """A name without its %XX; a plus sign is one."""
+    return F.url_decode(F.replace(F.replace(name, F.lit("+"), F.lit("%2B")), F.lit(" "), F.lit("%20")))
+
+
+def job_of(file: Column) -> Column:
+    """The job whose log a file of this name is; a scan names files as parts of an address, so names are encoded once more there."""
+    return plain_name(F.regexp_extract(plain_name(file), r"(?s)^(.+)\.log$", 1))
+
+
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path or address, and the path in it."""
+    if re.match("[a-z0-9]+:", path):
+        return fs.FileSystem.from_uri(quote(re.sub("^file:/(?!/)", "file:///", path), safe="/:@"))
+    return fs.LocalFileSystem(), path
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: int
@@ -40,13 +58,8 @@ class LogWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path = path
 
-    def place(self) -> tuple[fs.FileSystem, str]:
-        if re.match("[a-z0-9]+:", self.path):
-            return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", self.path))
-        return fs.LocalFileSystem(), self.path
-
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        files, folder = self.place()
+        files, folder = place(self.path)
         files.create_dir(folder, recursive=True)
         task, size, names = TaskContext.get(), 0, []
         for batch in iterator:
@@ -62,7 +75,7 @@ class LogWriter(DataSourceArrowWriter):
         return Written(len(names), size)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        files, folder = self.place()
+        files, folder = place(self.path)
         files.create_dir(folder, recursive=True)
         with files.open_output_stream(f"{folder}/_SUCCESS") as out:
             out.write(f"{sum(m.files for m in messages if m)} {sum(m.size for m in messages if m)}\n".encode())
@@ -92,6 +105,78 @@ def write_log_files(logs: DataFrame, path: str) -> None:
     rows.write.format("log_folder").mode("append").save(path)
 
 
+def log_positions(spark: SparkSession, path: str) -> DataFrame:
+    """(job_id, path, offset, length) of the *.log files of a folder: where each log's text is, without reading it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path)
+    return files.select(job_of(F.col("_metadata.file_name")).alias("job_id"), "path", F.lit(0).cast("long").alias("offset"), "length")
+
+
+def line_positions(spark: SparkSession, path: str) -> DataFrame:
+    """(job_id, path, line_no, offset, length) of the lines of a folder's logs, ends of lines left out.
+
+    A file is read as a stream by one task. What follows can filter, join and rank positions, a few numbers a line, and
+    read the text of the rows that are left with `with_text`.
+    """
+    schema = pa.schema([("job_id", pa.string()), ("path", pa.string()), ("line_no", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for job, where in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    files, name = place(where)
+                    at = 0
+                    with files.open_input_stream(name) as source:
+                        for no, line in enumerate(split_stream(iter(lambda: source.read(1 << 20), b""))):
+                            bare = line.rstrip(b"\n").rstrip(b"\r") if line.endswith(b"\n") else line
+                            yield (job, where, no, at, len(bare))
+                            at += len(line)
+
+        return batched(rows(), schema, 50_000)
+
+    rows = log_positions(spark, path).select("job_id", "path")
+    return rows.mapInArrow(run, "job_id string, path string, line_no long, offset long, length long")
+
+
+def split_stream(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Lines with their line feeds, from pieces of any size; holds a line and a piece."""
+    held: list[bytes] = []
+    for piece in pieces:
+        first, *rest = piece.split(b"\n")
+        held.append(first)
+        for more in rest:
+            yield b"".join(held) + b"\n"
+            held = [more]
+    if last := b"".join(held):
+        yield last
+
+
+def with_text(rows: DataFrame, name: str = "log_text") -> DataFrame:
+    """rows (path, offset, length, ...) with the text that stands there, bad bytes replaced; null where the file is gone.
+
+    Rows of one file in a task are read in order of their place, through one open file.
+    """
+    fields = rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, offsets, lengths = (batch.column(c).to_pylist() for c in ("path", "offset", "length"))
+            texts: list[str | None] = [None] * batch.num_rows
+            where, source = None, None
+            for i in sorted(range(len(paths)), key=lambda i: (paths[i] or "", offsets[i] or 0)):
+                if paths[i] != where:
+                    where = paths[i]
+                    try:
+                        files, inner = place(where)
+                        source = files.open_input_file(inner)
+                    except (OSError, TypeError):
+                        source = None
+                if source is not None and lengths[i] is not None:
+                    texts[i] = source.read_at(lengths[i], offsets[i]).decode("utf-8", "replace")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` string")
+
+
 #: What an entry of the cache holds besides its key, and what stands for a missing field.
 ENTRY = {
     "job_id": ("string", ""), "root_cause": ("string", "Unknown"), "severity": ("string", "medium"), "error_category": ("string", "Unknown"), "failure_type": ("string", "unknown"),

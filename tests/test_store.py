@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from faultline.operators import clusters, report, triage, verdicts
+from faultline.operators import clusters, condense, report, triage, verdicts
 from faultline.sources import logs, store
 from test_extract import plain_condensed
 
@@ -30,6 +30,32 @@ def test_logs_go_to_files_and_back(spark, tmp_path):
     assert (tmp_path / "logs/1.log").read_text() == "new" and len(os.listdir(tmp_path / "logs")) == len(names)
 
 
+def test_texts_are_read_where_they_stand(spark, tmp_path):
+    """Positions are filtered, dealt and ranked; text is read last and is in no exchange."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    bodies = {"1": b"a\r\nOOM here\n\nlast", "x y": "é\nü".encode() * 400_000, "3": b"", "4": b"bad \xff\n"}
+    for name, body in bodies.items():
+        (folder / f"{name}.log").write_bytes(body)
+    rows = store.line_positions(spark, str(folder))
+    got = {}
+    for r in store.with_text(rows, "line").collect():
+        got.setdefault(r.job_id, {})[r.line_no] = r.line
+    want = {j: b.decode("utf-8", "replace").replace("\r\n", "\n").split("\n") for j, b in bodies.items() if b}
+    want = {j: x[:-1] if x[-1] == "" else x for j, x in want.items()}
+    assert {j: [x[i] for i in range(len(x))] for j, x in got.items()} == want
+    # the last line of each log, chosen by positions alone
+    last = rows.groupBy("job_id").agg(F.max_by(F.struct("path", "offset", "length"), "line_no").alias("x")).select("job_id", "x.*")
+    found = store.with_text(last, "line")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "line" not in plan[plan.index("Exchange") :].split("Exchange", 1)[1].split("\n")[0].replace("line_no", "")
+    assert {r.job_id: r.line for r in found.collect()} == {j: x[-1] for j, x in want.items()}
+    whole = store.with_text(store.log_positions(spark, str(folder)))
+    assert {r.job_id: r.log_text for r in whole.collect()} == {j: b.decode("utf-8", "replace") for j, b in bodies.items() if b}
+    gone = spark.createDataFrame([(f"{folder}/none.log", 0, 5), (None, 0, 5)], "path string, offset long, length long")
+    assert [r.log_text for r in store.with_text(gone).collect()] == [None, None]
+
+
 def test_cache_is_renewed_in_place(spark, tmp_path):
     cache = store.VerdictCache(spark, f"{tmp_path}/cache", ttl=100.0)
     keys = spark.createDataFrame([("aa1",), ("aa2",), ("bb1",), ("cc1",)], "text_hash string")
@@ -103,7 +129,15 @@ def test_one_call_from_logs_to_verdicts(spark, tmp_path):
     judged = {(r.run_id, r.cluster_id): (r.root_cause, r.severity, r.failure_type) for r in verdicts.verdicts(alone).collect()}
     assert {x: (got[x].root_cause, got[x].severity, got[x].failure_type) for v in members.values() for x in v} == {x: judged[k] for k, v in members.items() for x in v}
     assert {(r.run_id, r.total_jobs, r.failed_jobs) for r in found.health.collect()} == {("A", 30, 25), ("B", 25, 25)}
-    again = triage.triage(df, cache=cache, now=6.0).verdicts.collect()
+    # what was counted while the tables were written equals a pass over them
+    cards = found.verdicts.transform(report.snapshot).first().asDict()
+    assert {k: found.counts[k] for k in cards} == cards and cards["jobs"] == len(rows)
+    assert (found.counts["jobs_to_judge"], found.counts["clusters"], found.counts["saved"], found.counts["from_cache"]) == (len(texts), len(members), len(texts) - len(members), 0)
+    stats = condense.parse_stats(found.parsed).agg(*(F.sum(c).alias(c) for c in ("tracebacks", "error_blocks", "total_lines", "total_chars", "condensed_chars"))).first().asDict()
+    assert {k: found.counts[k] for k in stats} == stats
+    second = triage.triage(df, cache=cache, now=6.0)
+    assert second.counts["from_cache"] == len(members)
+    again = second.verdicts.collect()
     assert {(r.run_id, r.job_id): r.root_cause for r in again} == {k: r.root_cause for k, r in got.items()}
     assert all(r.cached != r.fallback for r in again) and not any(r.cached for r in got.values())
 
