@@ -22,7 +22,7 @@ LEAST_CHARS = 20
 BROADCAST_IDS = 200_000
 PAIRS_A_TASK = 1_000
 MOST_TASKS = 8  # times the number of shuffle partitions
-SKETCH = "etaonirshldcum"
+SKETCH = "etaonirshldcumfp"
 HEAD = 24  # characters after which most unlike lines are told apart
 
 
@@ -65,23 +65,28 @@ def sought(wide: Column, n: Column, edits: int) -> list[Column]:
 
 
 def sketch(line: Column) -> Column:
-    """Counts of fourteen letters modulo 16, four bits each; an edit moves two of them by one at most.
+    """Counts of sixteen letters modulo 4, two bits each; an edit moves two of them by one at most.
 
     Each letter is counted by what its removal takes from a line without the letters before it.
     """
     bits, rest = [], line
     for k, c in enumerate(SKETCH):
         less = F.replace(rest, F.lit(c), F.lit(""))
-        bits.append(F.shiftleft((F.octet_length(rest) - F.octet_length(less)).bitwiseAND(15).cast("long"), 4 * k))
+        bits.append(F.shiftleft((F.octet_length(rest) - F.octet_length(less)).bitwiseAND(3).cast("long"), 2 * k))
         rest = less
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
 def apart(a: Column, b: Column) -> Column:
-    """The least number of letters that two sketches differ by, going round the 16."""
-    part = lambda x, k: F.shiftright(x, 4 * k).bitwiseAND(15).cast("int")
-    gap = lambda k: F.abs(part(a, k) - part(b, k))
-    return reduce(add, (F.least(gap(k), 16 - gap(k)) for k in range(len(SKETCH))))
+    """The least number of letters that two sketches differ by, going round the 4.
+
+    For all letters at once: of a difference modulo 4 the low bit is 1 for one letter more or less, and the high bit
+    alone for two.
+    """
+    ones = F.lit(0x55555555)
+    low = a.bitwiseXOR(b).bitwiseAND(ones)
+    high = F.shiftright(a, 1).bitwiseXOR(F.shiftright(b, 1)).bitwiseAND(ones)
+    return F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(low.bitwiseXOR(ones)))
 
 
 def shared(a: Column, b: Column, most: Column, from_end: bool) -> Column:
@@ -147,21 +152,23 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when(close, let(F.struct(wide(a).alias("a"), wide(b).alias("b")), cuts)).otherwise(False)
 
 
-def keyed_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """(h, s, keys): hash, sketch and keys of each distinct line; first its own keys, then the sought ones."""
-    wide, n = F.col("wide"), F.col("n")
-    rows = lines.select("line", F.encode("line", "UTF-32").alias("wide"))
+def candidates(lines: DataFrame, edits: int) -> DataFrame:
+    """(a, b): hashes of distinct lines that share a segment and may be within `edits` edits, a < b.
+
+    A row that meets others is two numbers: a line's hash, and a key of 32 bits before the sketch. Keys that are equal
+    by chance cost a comparison.
+    """
+    # both sides read one exchange, of the lines themselves: their keys are several times as long
+    rows = lines.select("line").distinct().select("line", F.encode("line", "UTF-32").alias("wide"))
     rows = rows.select(F.xxhash64("line").alias("h"), sketch(F.col("line")).alias("s"), "wide", (F.octet_length("wide") / 4).cast("int").alias("n"))
-    return rows.select("h", "s", F.array(*filed(wide, n, edits), *sought(wide, n, edits)).alias("keys")).distinct()
 
+    def side(keys, h: str, mark: str) -> DataFrame:
+        wide, n, s = F.col("wide"), F.col("n"), F.col("s")
+        packed = F.array(*(F.shiftleft(k, 32).bitwiseOR(s) for k in keys(wide, n, edits)))
+        return rows.select(F.col("h").alias(h), F.explode(packed).alias(mark))
 
-def candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b): hashes of distinct lines that share a segment and may be within `edits` edits, a < b."""
-    keyed = keyed_lines(lines, edits)
-    # both sides slice one array, so that they read one and the same exchange
-    own = keyed.select(F.col("h").alias("x"), F.col("s").alias("xs"), F.explode(F.slice("keys", 1, edits + 1)).alias("key"))
-    look = keyed.select(F.col("h").alias("y"), F.col("s").alias("ys"), F.explode(F.slice("keys", edits + 2, F.size("keys"))).alias("key"))
-    maybe = (own["key"] == look["key"]) & (F.col("x") != F.col("y")) & (apart(F.col("xs"), F.col("ys")) <= 2 * edits)
+    own, look = side(filed, "x", "xk"), side(sought, "y", "yk")
+    maybe = (F.shiftright("xk", 32) == F.shiftright("yk", 32)) & (F.col("x") != F.col("y")) & (apart(F.col("xk"), F.col("yk")) <= 2 * edits)
     met = own.join(look, maybe).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return met.distinct()
 
