@@ -50,7 +50,7 @@ def part(wide: Column, start: Column, size: Column) -> Column:
 
 def filed(wide: Column, n: Column, edits: int) -> list[Column]:
     """Keys of a line's own segments."""
-    return [F.xxhash64(n, F.lit(i), part(wide, start, size)) for i, (start, size) in enumerate(segments(n, edits))]
+    return [F.hash(n, F.lit(i), part(wide, start, size)) for i, (start, size) in enumerate(segments(n, edits))]
 
 
 def sought(wide: Column, n: Column, edits: int) -> list[Column]:
@@ -60,7 +60,7 @@ def sought(wide: Column, n: Column, edits: int) -> list[Column]:
         for i, (start, size) in enumerate(segments(n - less, edits)):
             # i edits at most before segment i, edits - i at most after it
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                keys.append(F.xxhash64(n - less, F.lit(i), part(wide, start + shift, size)))
+                keys.append(F.hash(n - less, F.lit(i), part(wide, start + shift, size)))
     return keys
 
 
@@ -152,22 +152,28 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when(close, let(F.struct(wide(a).alias("a"), wide(b).alias("b")), cuts)).otherwise(False)
 
 
+def keyed_lines(lines: DataFrame, edits: int) -> DataFrame:
+    """(h, s, keys): hash, sketch and keys of each distinct line; first its own keys, then the sought ones."""
+    wide, n = F.col("wide"), F.col("n")
+    rows = lines.select("line", F.encode("line", "UTF-32").alias("wide"))
+    rows = rows.select(F.xxhash64("line").alias("h"), sketch(F.col("line")).alias("s"), "wide", (F.octet_length("wide") / 4).cast("int").alias("n"))
+    return rows.select("h", "s", F.array(*filed(wide, n, edits), *sought(wide, n, edits)).alias("keys")).distinct()
+
+
 def candidates(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): hashes of distinct lines that share a segment and may be within `edits` edits, a < b.
 
     A row that meets others is two numbers: a line's hash, and a key of 32 bits before the sketch. Keys that are equal
     by chance cost a comparison.
     """
-    # both sides read one exchange, of the lines themselves: their keys are several times as long
-    rows = lines.select("line").distinct().select("line", F.encode("line", "UTF-32").alias("wide"))
-    rows = rows.select(F.xxhash64("line").alias("h"), sketch(F.col("line")).alias("s"), "wide", (F.octet_length("wide") / 4).cast("int").alias("n"))
+    keyed = keyed_lines(lines, edits)
 
-    def side(keys, h: str, mark: str) -> DataFrame:
-        wide, n, s = F.col("wide"), F.col("n"), F.col("s")
-        packed = F.array(*(F.shiftleft(k, 32).bitwiseOR(s) for k in keys(wide, n, edits)))
-        return rows.select(F.col("h").alias(h), F.explode(packed).alias(mark))
+    # both sides slice one array, so that they read one and the same exchange
+    def side(keys: Column, h: str, mark: str) -> DataFrame:
+        rows = keyed.select(F.col("h").alias(h), "s", F.explode(keys).alias("key"))
+        return rows.select(h, F.shiftleft(F.col("key").cast("long"), 32).bitwiseOR(F.col("s")).alias(mark))
 
-    own, look = side(filed, "x", "xk"), side(sought, "y", "yk")
+    own, look = side(F.slice("keys", 1, edits + 1), "x", "xk"), side(F.slice("keys", edits + 2, F.size("keys")), "y", "yk")
     maybe = (F.shiftright("xk", 32) == F.shiftright("yk", 32)) & (F.col("x") != F.col("y")) & (apart(F.col("xk"), F.col("yk")) <= 2 * edits)
     met = own.join(look, maybe).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return met.distinct()
