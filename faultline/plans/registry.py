@@ -210,6 +210,71 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.assigned(signed(spark, sf_dir).withColumn("run_id", F.lit("all")))
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table, where a query reads them more than once."""
+    return Tables(rows.sparkSession, name).put(rows, "rows")
+
+
+def grouped_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cluster_id, job_id, size, first_ord) of each job."""
+    rows = written(members(spark, sf_dir), "members")
+    return rows.select("run_id", "cluster_id", "job_id").join(clusters.exact_clusters(rows).select("run_id", "cluster_id", "size", "first_ord"), ["run_id", "cluster_id"]).drop("run_id")
+
+
+def fanned_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of each cluster's representative for all its jobs."""
+    rows = written(members(spark, sf_dir), "members")
+    reps = clusters.exact_clusters(rows).select("run_id", "cluster_id", F.col("representative_job_id").alias("job_id"))
+    return clusters.fan_out(rows, verdicts.verdicts(rows.join(reps, ["run_id", "cluster_id", "job_id"])).select("run_id", "cluster_id", "failure_type", "severity"))
+
+
+def results_of_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters with a verdict where they have more than two members."""
+    heads = written(line_heads(spark, sf_dir), "heads")
+    found = heads.where("size > 1").select("run_id", "cluster_id", (F.col("size") > 2).alias("success"), F.lit("high").alias("severity"), verdicts.inferred_type(F.col("signature")).alias("failure_type"), F.format_string("seen %d", "size").alias("root_cause"))
+    return clusters.with_results(heads, found).select("run_id", "cluster_id", "severity", "failure_type", "root_cause")
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages, of which every third shows the address of a log."""
+    link = F.concat(F.format_string(rules.LOG_URL, F.concat(F.lit("run-"), F.col("page_id").cast("string")), F.lit("7")), F.lit("'>log</a>"))
+    html = F.when(F.col("page_id") % 3 == 0, F.concat(F.coalesce("html", F.lit("")), F.lit("<a href='"), link)).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+
+
+def suite_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, html): a suite page for each user, with a dated run for each type of event; its failures are the type's events, but for views."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    fails = F.when(F.col("event_type") == "view", "all pass").otherwise(F.format_string("%d fail", "n"))
+    row = F.format_string('<tr><td><a href="/u%d-2024-01-02_10:00:%s/">run</a></td><td>b</td><td>c</td><td>d</td><td>%s</td></tr>', "user_id", "event_type", fails)
+    rows = rows.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("html"))
+    return rows.select(F.format_string("https://runs.example/?suite=s%d", "user_id").alias("url"), "html")
+
+
+def stored_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job_id, status, bytes, sha256): the generated logs written as files with their index, and read back; every 7th was not fetched."""
+    folder = f"{Tables(spark, 'logs').folder}/store"
+    text = F.when(F.col("job_ord") % 7 > 0, F.col("raw_log"))
+    rows = whole_logs(spark, sf_dir).select("job_id", F.when(text.isNotNull(), "ok").otherwise("fetch_failed").alias("status"), text.alias("log_text"), F.lit("u").alias("source_url"), F.lit("a.log").alias("log_name"), F.lit(0.5).alias("elapsed_s"), F.lit("").alias("error_message"))
+    report.write_logs(rows, folder)
+    return logs.stored_logs(spark, folder).select("job_id", "status", "bytes", F.sha2(F.col("log_text").cast("binary"), 256).alias("sha256"))
+
+
+def late_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job_id, line_no, line): the last line of each stored log, found by positions and read last."""
+    folder = f"{Tables(spark, 'logs').folder}/store"
+    store.write_log_files(whole_logs(spark, sf_dir).select("job_id", F.col("raw_log").alias("log_text")), folder)
+    last = store.line_positions(spark, folder).groupBy("job_id").agg(F.max_by(F.struct("path", "line_no", "offset", "length"), "line_no").alias("x"))
+    return store.with_text(last.select("job_id", "x.*"), "line").select("job_id", "line_no", "line")
+
+
+def csv_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts as CSV with their texts quoted, read back as texts."""
+    folder = f"{Tables(spark, 'csv').folder}/verdicts.csv"
+    report.write_csv(judged(spark, sf_dir).select("job_id", "severity", "failure_type", "error_category", "root_cause"), folder)
+    return spark.read.option("header", True).option("escape", '"').csv(folder)
+
+
 def line_members(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
     """Single failing lines, whose signatures are short enough to be similar, in four runs, or a run for each signal type."""
     rows = failing_lines(spark, sf_dir).withColumn("signature", clusters.signature(F.col("text")))
@@ -398,7 +463,7 @@ SELECT job_id, kind, start_line, stop - 1 AS end_line, string_agg(line, chr(10)
         f"WITH {DOC_LINES} SELECT line, count(*) AS n, min(doc_id) AS first_doc FROM dl GROUP BY 1 HAVING count(*) > 1",
     ),
     "signature_hash_groups": (
-        lambda s, d: members(s, d).select("run_id", "cluster_id", "job_id").join(clusters.exact_clusters(members(s, d)).select("run_id", "cluster_id", "size", "first_ord"), ["run_id", "cluster_id"]).drop("run_id"),
+        grouped_members,
         f"WITH {CLUSTERED} SELECT cluster_id, job_id, count(*) OVER (PARTITION BY cluster_id) AS size, min(job_ord) OVER (PARTITION BY cluster_id) AS first_ord FROM cl",
     ),
     "cluster_representative": (
@@ -427,12 +492,7 @@ WHERE len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t)))
         "SELECT doc_id AS job_id, CASE WHEN coalesce(text, '') <> '' AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id) THEN 'usable' ELSE 'fallback' END AS kind FROM documents",
     ),
     "verdict_fanout": (
-        lambda s, d: clusters.fan_out(
-            members(s, d),
-            verdicts.verdicts(members(s, d).join(clusters.exact_clusters(members(s, d)).select("run_id", "cluster_id", F.col("representative_job_id").alias("job_id")), ["run_id", "cluster_id", "job_id"])).select(
-                "run_id", "cluster_id", "failure_type", "severity"
-            ),
-        ),
+        fanned_out,
         f"""WITH {CLUSTERED}, rp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY length(text) DESC, job_ord) AS rn FROM cl) WHERE rn = 1),
 v AS (SELECT cluster_id, {TYPE_SQL} AS t, {PSEV_SQL} AS ps FROM rp)
 SELECT 'all' AS run_id, cl.cluster_id, cl.job_id, t AS failure_type, CASE WHEN t IN ('crash', 'config', 'resource', 'permission', 'test_bug') AND coalesce(ps, 'medium') = 'medium' THEN 'high' ELSE coalesce(ps, 'medium') END AS severity
@@ -515,8 +575,8 @@ WHERE contains(lower(concat_ws(' ', job_id, root_cause, error_category)), 'failu
 FROM (SELECT DISTINCT user_id::VARCHAR AS job_id FROM events), (VALUES (0::BIGINT, 'teuthology.log'), (1, 'ansible.log')) v(place, log_name)""",
     ),
     "run_names": (
-        lambda s, d: logs.run_names(table(s, d, "pages").select("page_id", "url", "html")).select("page_id", "run_name"),
-        r"SELECT page_id, nullif(regexp_extract(regexp_replace(regexp_extract(url, '^[^:/]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '/([^/]+)$', 1), '') AS run_name FROM pages",
+        lambda s, d: logs.run_names(linked_pages(s, d)).select("page_id", "run_name"),
+        r"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'run-' || page_id ELSE nullif(regexp_extract(regexp_replace(regexp_extract(url, '^[^:/]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '/([^/]+)$', 1), '') END AS run_name FROM pages",
     ),
     "reply_verdicts": (
         replies,
@@ -555,11 +615,36 @@ SELECT run_id, cluster_id, string_agg(job_id, ', ' ORDER BY p) FILTER (p <= 10)
         f"WITH {LINE_CLUSTERS} SELECT run_id, count(*) AS jobs, count(DISTINCT cluster_id) AS clusters, count(*) - count(DISTINCT cluster_id) AS saved FROM lc GROUP BY 1",
     ),
     "cluster_results": (
-        lambda s, d: clusters.with_results(line_heads(s, d), line_heads(s, d).where("size > 1").select("run_id", "cluster_id", (F.col("size") > 2).alias("success"), F.lit("high").alias("severity"), F.lit("crash").alias("failure_type"), F.lit("it").alias("root_cause"))).select(
-            "run_id", "cluster_id", "severity", "failure_type", "root_cause"
-        ),
-        f"""WITH {LINE_CLUSTERS} SELECT run_id, cluster_id, CASE WHEN count(*) > 2 THEN 'high' ELSE '?' END AS severity, CASE WHEN count(*) > 2 THEN 'crash' ELSE chr(8212) END AS failure_type,
-CASE WHEN count(*) > 2 THEN 'it' ELSE substr(any_value(sig), 1, 120) END AS root_cause FROM lc GROUP BY 1, 2""",
+        results_of_clusters,
+        f"""WITH {LINE_CLUSTERS}, g AS (SELECT run_id, cluster_id, any_value(sig) AS sig, count(*) AS n FROM lc GROUP BY 1, 2), t AS (SELECT *, sig AS text FROM g),
+v AS (SELECT run_id, cluster_id, sig, n, {TYPE_SQL} AS kind FROM t)
+SELECT run_id, cluster_id, CASE WHEN n > 2 THEN 'high' ELSE '?' END AS severity, CASE WHEN n > 2 THEN kind ELSE chr(8212) END AS failure_type,
+CASE WHEN n > 2 THEN 'seen ' || n ELSE substr(sig, 1, 120) END AS root_cause FROM v""",
+    ),
+    "suite_runs": (
+        lambda s, d: logs.suite_runs(suite_pages(s, d)).select("suite_url", "run_url", F.col("fail_count").cast("long").alias("fail_count"), "user"),
+        """WITH g AS (SELECT user_id, event_type, CASE WHEN event_type = 'view' THEN 0 ELSE count(*) END AS n FROM events GROUP BY 1, 2), a AS (SELECT user_id, max(n) AS most FROM g GROUP BY 1)
+SELECT 'https://runs.example/?suite=s' || user_id AS suite_url, '/u' || user_id || '-2024-01-02_10:00:' || event_type || '/' AS run_url, n AS fail_count, 'u' || user_id AS user FROM g JOIN a USING (user_id) WHERE n > 0 OR most = 0""",
+    ),
+    "stored_logs": (
+        stored_and_read,
+        f"""WITH {LINES}, t AS (SELECT job_id, string_agg(line, chr(10) ORDER BY line_no) AS t, CAST(job_id AS BIGINT) % 7 > 0 AS k FROM lines GROUP BY 1)
+SELECT job_id, CASE WHEN k THEN 'ok' ELSE 'fetch_failed' END AS status, CASE WHEN k THEN octet_length(encode(t)) ELSE 0 END AS bytes, CASE WHEN k THEN sha256(t) END AS sha256 FROM t""",
+    ),
+    "late_lines": (late_lines, f"WITH {LINES} SELECT job_id, max(line_no) AS line_no, arg_max(line, line_no) AS line FROM lines GROUP BY 1"),
+    "csv_round_trip": (csv_and_back, f"WITH {JUDGED} SELECT job_id, severity, failure_type, error_category, root_cause FROM jd"),
+    "job_filter": (lambda s, d: logs.only_jobs(lines(s, d), "1, 3,,12"), f"WITH {LINES} SELECT job_id, line_no, line FROM lines WHERE job_id IN ('1', '3', '12')"),
+    "html_escape_docs": (
+        lambda s, d: docs(s, d).select("doc_id", text.html_escape(F.coalesce("text", F.lit(""))).alias("text")),
+        "SELECT doc_id, replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS text FROM documents",
+    ),
+    "recommended_actions": (
+        lambda s, d: verdicts.verdicts(failing_lines(s, d)).select("job_id", "recommended_action", F.element_at("fix_suggestions", 1).alias("suggestion")),
+        f"WITH {VERDICTS}, x AS (SELECT job_id, {map_sql('failure_type', rules.ACTIONS, quoted(rules.ACTIONS['unknown']))} AS a FROM v2) SELECT job_id, a AS recommended_action, a AS suggestion FROM x",
+    ),
+    "verdicts_with_logs": (
+        lambda s, d: report.with_logs(judged(s, d).select("job_id", "root_cause"), whole_logs(s, d).select("job_id", "job_ord", F.length("raw_log").cast("long").alias("total_chars"))).select("job_id", "root_cause", "total_chars"),
+        f"WITH {JUDGED}, sz AS (SELECT job_id, length(string_agg(line, chr(10))) AS total_chars FROM lines GROUP BY 1) SELECT jd.job_id, root_cause, total_chars FROM jd LEFT JOIN sz USING (job_id)",
     ),
     "effective_totals": (
         lambda s, d: report.effective_totals(runs(s, d).withColumn("total_jobs", F.lit(3).cast("long")), lines(s, d).select((F.col("job_id").cast("long") % 40).cast("string").alias("run_id"), "job_id").distinct()),
@@ -571,8 +656,8 @@ CASE WHEN count(*) > 2 THEN 'it' ELSE substr(any_value(sig), 1, 120) END AS root
 CASE WHEN trunc(confidence * 100) >= 75 THEN 'high' WHEN trunc(confidence * 100) >= 50 THEN 'medium' ELSE 'low' END AS band FROM jd""",
     ),
     "run_facets": (
-        lambda s, d: report.run_facets(judged(s, d).withColumns({"user": F.when(F.col("job_ord") % 3 > 0, F.concat(F.lit("u"), (F.col("job_ord") % 3).cast("string"))), "run": F.lit("r")})),
-        f"WITH {JUDGED} SELECT string_agg(DISTINCT failure_type, ',' ORDER BY failure_type) AS failure_types, 'u1,u2' AS users, true AS multi_run FROM jd",
+        lambda s, d: report.run_facets(judged(s, d).withColumns({"user": F.when(F.col("job_ord") % 3 > 0, F.concat(F.lit("u"), (F.col("job_ord") % 3).cast("string"))), "run": (F.col("job_ord") % 2).cast("string")})),
+        f"WITH {JUDGED} SELECT string_agg(DISTINCT failure_type, ',' ORDER BY failure_type) AS failure_types, string_agg(DISTINCT 'u' || job_ord % 3, ',' ORDER BY 'u' || job_ord % 3) FILTER (job_ord % 3 > 0) AS users, count(DISTINCT CASE WHEN job_ord % 3 > 0 THEN job_ord % 3 END) > 1 OR count(DISTINCT job_ord % 2) > 1 AS multi_run FROM jd",
     ),
     "attention_limit": (lambda s, d: report.left_out(report.needs_attention(judged(s, d)), 5), f"WITH {JUDGED} SELECT '+' || count(*) - 5 || ' more' AS more FROM jd WHERE NOT success OR fallback OR confidence < 0.6 OR failure_type = 'unknown'"),
     "log_index": (
