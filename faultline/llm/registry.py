@@ -46,6 +46,15 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def warc_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6_warc over the pages and two copies of each third of them under new ids, before and after their own: most records of those revisit."""
+    pages = table(spark, sf_dir, "pages")
+    some = pages.where("page_id % 3 = 0")
+    more = [some.withColumn("page_id", F.col("page_id") + shift) for shift in (-1_000_000_000, 1_000_000_000)]
+    found = warc.round_trip(pages.unionByName(more[0]).unionByName(more[1]))
+    return found.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
 OP6_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS h FROM p),
@@ -59,6 +68,9 @@ FROM f
 """
 
 
+COPIES_SQL = OP6_SQL.replace("FROM pages)", "FROM (SELECT page_id, html FROM pages UNION ALL SELECT page_id + s, html FROM pages, (VALUES (-1000000000), (1000000000)) v(s) WHERE page_id % 3 = 0))")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select(
@@ -196,6 +208,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_packing": op5_packing,
         "op6_warc": op6_warc,
+        "warc_copies": warc_copies,
         "op7_decontamination": op7_decontamination,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_pii": op9_pii,
@@ -209,6 +222,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_warc": OP6_SQL,
+        "warc_copies": COPIES_SQL,
         "op7_decontamination": OP7_SQL,
         "op8_substring_dedup": OP8_SQL,
         "op12_spelling_variants": OP12_SQL,

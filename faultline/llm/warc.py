@@ -1,29 +1,35 @@
 """WARC archives without repeated payloads: revisit resolution by payload digest.
 
-Headers alone (page, digest, size) are shuffled by digest to find each payload's first page. Pages then meet the
-headers of revisits only, by page and digest, and each becomes a response with its payload or a revisit that refers to
-the first; where the revisits are few they are sent to the pages, so no payload moves. Archives are written as text
-files whose line end is CRLF, so any file system that Spark writes to will do: one gzip stream a file of bounded size,
-read back as a stream, record by record.
+Headers alone (page, digest, size) are shuffled by digest to find each payload's first page. What was found goes back to
+the pages as the short list of those that revisit another: pages are read by groups of input files, so large that a
+group's list stays small enough to be sent to its tasks, and no payload is shuffled however many revisits there are. In
+one pass over the pages each becomes a response with its payload or a revisit that refers to the first. Archives are
+standard ones: a gzip member for each record, so that a record can be read where it stands; files are cut by their size,
+and are read back as a stream, record by record.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import re
 import zlib
 from base64 import b32encode
 from collections.abc import Iterator
+from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from faultline.llm.common import Workspace
 
-# Pages are written by classes of size, so that a file holds at most FILE_BYTES of payload, or one record.
 FILE_BYTES = 64 << 20
-LEAST_CLASS = 16 << 10
-BROADCAST_REVISITS = 1_000_000  # of about 60 bytes
+GROUP_REVISITS = 1_000_000  # of about 60 bytes
 BATCH_BYTES = 16 << 20
 EPOCH = "1970-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -36,9 +42,10 @@ def base32_sha1(payload):
     return F.translate(F.upper(F.concat(*(part(i) for i in range(4)))), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def hashed(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
-    """(id, url, payload, bytes, digest) of each page."""
+def hashed(pages: DataFrame, id_col: str, url_col: str, payload_col: str, file: Column | None = None) -> DataFrame:
+    """(file, id, url, payload, bytes, digest) of each page."""
     rows = pages.select(
+        (F.lit("") if file is None else file).alias("file"),
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
@@ -46,21 +53,16 @@ def hashed(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> Dat
     return rows.select("*", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload").cast("binary")).alias("digest"))
 
 
-def size_class(size: Column) -> Column:
-    """0 up to LEAST_CLASS bytes, and one more for each four times as many."""
-    return F.when(size <= LEAST_CLASS, 0).otherwise(F.ceil(F.log2(size / F.lit(float(LEAST_CLASS))) / 2).cast("int"))
-
-
 def revisits(heads: DataFrame, least_bytes: int) -> DataFrame:
-    """(rid, rdigest, first): pages whose payload an earlier page holds; heads are (id, digest, bytes)."""
+    """(rid, rdigest, first, file): pages whose payload an earlier page holds; heads are (id, digest, bytes, file)."""
     large = heads.where((F.col("bytes") >= least_bytes) & F.col("id").isNotNull())
     firsts = large.groupBy("digest").agg(F.min("id").alias("first"))
-    found = large.select("id", "digest").distinct().join(firsts, "digest").where("first < id")
-    return found.select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "first")
+    found = large.select("id", "digest", "file").distinct().join(firsts, "digest").where("first < id")
+    return found.select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "first", "file")
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """(value): one WARC record for each row, without its last line end."""
+    """(value): one WARC record for each row."""
     revisit = F.col("first") < F.col("id")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     block = F.when(revisit, "").otherwise(F.col("payload"))
@@ -78,29 +80,115 @@ def records(rows: DataFrame) -> DataFrame:
         F.lit("Content-Type: text/html"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    return rows.select(F.concat(header, F.lit("\r\n\r\n"), block, F.lit("\r\n")).alias("value"))
+    return rows.select(F.concat(header, F.lit("\r\n\r\n"), block, F.lit("\r\n\r\n")).alias("value"))
+
+
+@dataclass
+class Archives(WriterCommitMessage):
+    names: list[str]
+
+
+class ArchiveWriter(DataSourceArrowWriter):
+    """A task writes archives of about FILE_BYTES under names that no reader takes; when the job has ended well, those of the attempts that counted are renamed."""
+
+    def __init__(self, path: str, size: int):
+        self.path, self.size = path, size
+
+    def place(self):
+        from pyarrow import fs
+
+        if re.match("[a-z0-9]+:", self.path):
+            return fs.FileSystem.from_uri(quote(re.sub("^file:/(?!/)", "file:///", self.path), safe="/:@"))
+        return fs.LocalFileSystem(), self.path
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Archives:
+        files, folder = self.place()
+        files.create_dir(folder, recursive=True)
+        task, names, out, size = TaskContext.get(), [], None, 0
+        for batch in iterator:
+            for record in batch.column(0):
+                if out is None:
+                    names.append(f"part-{task.partitionId():06}-{task.taskAttemptId()}-{len(names):04}.warc.gz")
+                    out, size = files.open_output_stream(f"{folder}/_{names[-1]}.open", compression=None), 0
+                member = gzip.compress(record.as_buffer(), 6, mtime=0)
+                out.write(member)
+                size += len(member)
+                if size >= self.size:
+                    out.close()
+                    out = None
+        if out is not None:
+            out.close()
+        return Archives(names)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        files, folder = self.place()
+        for name in (x for m in messages if m for x in m.names):
+            files.move(f"{folder}/_{name}.open", f"{folder}/{name}")
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        files, folder = self.place()
+        for name in (x for m in messages if m for x in m.names):
+            files.delete_file(f"{folder}/_{name}.open")
+
+
+class ArchiveSink(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def writer(self, schema, overwrite: bool) -> ArchiveWriter:
+        return ArchiveWriter(self.options["path"], int(self.options.get("fileBytes", FILE_BYTES)))
+
+
+def file_groups(found: DataFrame, most: int) -> list[list[str]]:
+    """Input files in groups whose revisits number `most` together, or one file each; a name and a count for each file reach the driver."""
+    sizes = found.groupBy("file").agg(F.count("*").alias("n")).where("file <> ''")
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    rows = sizes.select("file", F.floor(F.coalesce(before, F.lit(0)) / most).alias("g")).collect()
+    groups: dict[int, list[str]] = {}
+    for r in rows:
+        groups.setdefault(r.g, []).append(r.file)
+    return list(groups.values())
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> None:
-    """Write deduplicated gzip archives into folders under path, one for each class of sizes.
+    """Write deduplicated gzip archives into a folder, in one pass over the pages after one over their headers.
 
     Of rows with equal payloads of at least least_bytes bytes, that with the smallest id is the response and the
     others revisit it; a null payload is empty. Rows that repeat an id are one page: with equal payloads each is
-    written as that page's response. A null id is never a revisit. A page is held whole by the task that writes it, and
-    a file must stay below the 2 GB that Spark reads as one binary. Other columns are ignored.
+    written as that page's response. A null id is never a revisit. A very long page is a record, held whole by the task
+    that writes it; a file must stay below the 2 GB that Spark reads as one binary. Pages that don't come straight from
+    files are joined with their revisits as Spark sees fit. Other columns are ignored.
     """
-    work = Workspace(pages.sparkSession, "revisits")
-    rows = hashed(pages, id_col, url_col, payload_col)
-    heads = work.table(rows.select("id", "digest", "bytes"), "heads")
+    spark = pages.sparkSession
+    spark.dataSource.register(ArchiveSink)
+    work = Workspace(spark, "revisits")
+    file: Column | None = F.col("_metadata.file_path")
+    try:
+        pages.select(file)
+    except AnalysisException:
+        file = None
+    heads = work.table(hashed(pages, id_col, url_col, payload_col, file).select("id", "digest", "bytes", "file"), "heads")
     table = work.table(revisits(heads, least_bytes), "revisits")
-    kinds = [r.c for r in heads.select(size_class(F.col("bytes")).alias("c")).distinct().orderBy("c").collect()] or [0]  # a few numbers
-    few = table.count() <= BROADCAST_REVISITS
-    for kind in kinds:
-        some = rows.where(size_class(F.col("bytes")) == kind)
-        some = some.join(F.broadcast(table) if few else table, (F.col("id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
-        most = max(1, FILE_BYTES // (LEAST_CLASS * 4**kind))
-        out = records(some.withColumn("first", F.coalesce("first", "id")))
-        out.write.option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", most).text(f"{path}/size_class={kind}")
+
+    def put(some: DataFrame, again: DataFrame) -> None:
+        rows = hashed(some, id_col, url_col, payload_col).join(again, (F.col("id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
+        records(rows.withColumn("first", F.coalesce("first", "id"))).write.format("warc").mode("append").option("fileBytes", FILE_BYTES).save(path)
+
+    answers = table.select("rid", "rdigest", "first")
+    if file is None:
+        put(pages, answers.distinct())
+    else:
+        groups = file_groups(table, GROUP_REVISITS)
+        for group in groups:
+            mine = table.where(F.col("file").isin(group)).select("rid", "rdigest", "first").distinct()
+            # a file's revisits are at most its pages, and a group of several files holds GROUP_REVISITS beside one file's at most
+            put(pages.where(file.isin(group)), F.broadcast(mine) if mine.count() <= 2 * GROUP_REVISITS else mine)
+        rest = [f for group in groups for f in group]
+        put(pages.where(~file.isin(rest)) if rest else pages, answers.limit(0))
     work.drop()
 
 
