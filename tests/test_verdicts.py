@@ -92,9 +92,21 @@ def test_a_chain_is_decided_in_order(spark):
     assert got == {f"c{i:02}": f"c{i // 2 * 2:02}" for i in range(30)}
 
 
+def test_a_large_family_costs_one_comparison_each(spark):
+    """Signatures that differ in one word, and some of two other kinds: the first of each takes its own, and no crowd is paired."""
+    rows = [("r", f"c{i}", f"connection to host failed after many tries word{i:06}", 1, f"j{i}", 5, i) for i in range(6_000)]
+    rows += [("r", f"d{i}", f"disk of node was full during write part{i:06}", 1, f"k{i}", 5, 10_000 + i) for i in range(3_000)]
+    rows += [("r", f"e{i}", f"alone{i:04} apart{i:04} other{i:04}", 1, f"m{i}", 5, 20_000 + i) for i in range(50)]
+    found = clusters.merge_map(spark.createDataFrame(rows, HEADS).repartition(4))
+    got = {(r.head, r.cluster_no, r["size"]) for r in found.collect()}
+    assert got == {("c0", 1, 6_000), ("d0", 2, 3_000)} | {(f"e{i}", 3 + i, 1) for i in range(50)}
+
+
+@pytest.mark.parametrize("crowd", [2, 64])
 @pytest.mark.parametrize("seed", [4, 5])
-def test_merge_against_comparing_all_heads(spark, seed):
-    """Random signatures in two runs, some with one set of tokens, some with none."""
+def test_merge_against_comparing_all_heads(spark, monkeypatch, seed, crowd):
+    """Random signatures in two runs, some with one set of tokens, some with none; with crowds taken by hubs and without."""
+    monkeypatch.setattr(clusters, "CROWD", crowd)
     import random
     import re
 
