@@ -20,7 +20,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import simhash
@@ -90,9 +90,9 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     held = rows.select("node", "grams").join(used, "node", "left_semi").dropDuplicates(["node"])
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_SALT).cast("int").alias("salts")).where("salts > 1")
     salts = F.coalesce("salts", F.lit(1))
-    left = held.select(F.col("node").alias("a"), F.col("grams").alias("ga")).join(F.broadcast(many), "a", "left")
+    left = held.select(F.col("node").alias("a"), F.col("grams").alias("ga")).join(many, "a", "left")
     left = left.select("a", "ga", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    dealt = pairs.join(F.broadcast(many), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
     both = dealt.join(held.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").join(left, ["a", "salt"])
     common = F.size(F.array_intersect("ga", "gb"))
     return both.where(common / (F.size("ga") + F.size("gb") - common) >= similarity).select("a", "b")
@@ -110,9 +110,9 @@ def starred(keys: DataFrame, order: Column, similarity: float) -> DataFrame:
     return met.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
 
 
-def still_open(keys: DataFrame, links: DataFrame, spark: SparkSession) -> DataFrame:
+def still_open(keys: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
     """keys (key, node, ...) with root and members, of the keys whose members lie in several components."""
-    roots = connected_components(links, Workspace(spark, "shingles"), "a", "b")
+    roots = connected_components(links, work, "a", "b")
     named = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi")
     return named.join(parts.select("key", "members"), "key")
@@ -170,7 +170,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored.
     """
     spark = docs.sparkSession
-    work = Workspace(spark, "shingles")
+    # each round of components has a folder of its own; all go when the result is written
+    work, *rounds = (Workspace(spark, "shingles") for _ in range(4))
     rows = work.table(sets(docs, id_col, text_col, width), "rows")
     nodes = work.table(rows.where("n > 0").select("node", "n", "fp", "bands").dropDuplicates(["node"]), "nodes")
     golay = work.table(simhash.links(nodes.select("fp").distinct(), work), "golay")
@@ -181,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = work.table(keys.union(nodes.join(ends, "fp").select("node", "n", "key")).select("key", "node", "n"), "filed")
     seen = work.table(starred(keys, F.col("node"), similarity), "star")
     links = work.table(verified(seen, rows, similarity), "first")
-    members = work.table(still_open(keys, links, spark), "open")
+    members = work.table(still_open(keys, links, rounds[0]), "open")
     rest = paired(members.where(F.col("members") <= crowd), similarity)
     dense = work.table(members.where(F.col("members") > crowd).select("node").distinct(), "crowd")
     if dense.limit(1).count():
@@ -190,15 +191,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # other hubs than before, and another one for each key
         more = work.table(starred(rare, F.xxhash64("key", "node"), similarity).join(seen, ["a", "b"], "left_anti"), "more")
         links = work.table(links.union(verified(more, rows, similarity)), "second")
-        rest = rest.union(paired(still_open(rare, links, spark), similarity, ranked=True)).distinct()
+        rest = rest.union(paired(still_open(rare, links, rounds[1]), similarity, ranked=True)).distinct()
         seen = seen.union(more)
     rest = work.table(rest.join(seen, ["a", "b"], "left_anti"), "rest")
     links = work.table(links.union(verified(rest, rows, similarity)), "links")
-    roots = connected_components(links, work, "a", "b")
+    roots = connected_components(links, rounds[2], "a", "b")
     named = rows.select("id", "rid", "node").join(roots, "node", "left").select("id", "rid", F.coalesce("root", "node").alias("root"))
     named = work.table(named, "roots")
     least = named.groupBy("root").agg(F.min("id").alias("component"))
-    return work.table(named.join(least, "root").select("id", "rid", "root", "component"), "components")
+    out = Workspace(spark, "near").table(named.join(least, "root").select("id", "rid", "root", "component"), "components")
+    for used in (work, *rounds):
+        used.drop()
+    return out
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
