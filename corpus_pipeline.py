@@ -6,21 +6,38 @@ columns of documents, n_chars being the length of the text that is left.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, lines, packing, quality, shingles
 from faultline.llm.common import Workspace
 
+# rows that go to Python and back at once: a batch of the default size holds tens of MB of text on each side of the pipe
+BATCH_ROWS = "1000"
 SHINGLE = 5
 SIMILARITY = 0.8
 
 
+def small_batches(stage):
+    """A stage under which the session sends batches of BATCH_ROWS rows to Python."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@small_batches
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant doesn't reject."""
     return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@small_batches
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat an earlier line or are within two edits of one."""
     rows = lines.without_repeats(docs)
@@ -28,6 +45,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
 
 
+@small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of pairs whose five-word shingles have a Jaccard of 0.8 or more, that of smallest id.
 
@@ -37,6 +55,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shingles.representatives(docs, width=SHINGLE, similarity=SIMILARITY)
 
 
+@small_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     found = decontaminate.judged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -44,6 +63,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash")), "left_anti")
 
 
+@small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the sequences of 2048 tokens."""
     pieces = packing.pack(docs)
