@@ -40,8 +40,6 @@ PLACE = re.compile(r"(?<=\S)[ \t\n\r]")
 def pieces(ranks_file: str) -> tuple[list[bytes], np.ndarray]:
     """Bytes of each id, and their number."""
     made = encoder(ranks_file)
-    if made.n_vocab > 1 << 16:
-        raise ValueError("ids of chunks travel as 16-bit numbers")
     table = [made.decode_single_token_bytes(i) for i in range(made.n_vocab)]
     return table, np.array([len(x) for x in table])
 

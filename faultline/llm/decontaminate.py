@@ -124,6 +124,6 @@ def contamination(
     A window is `window` consecutive words of an item; a shorter item is one window, one without words is none. A
     word is hit if an occurrence of a window covers it. Null and empty texts have no words. Rows that repeat an id
     are judged each on their own; items that repeat an id are one item; a null item id hits words but is not
-    listed. Other columns are ignored.
+    listed. Of a very long text a task holds the words and their hashes. Other columns are ignored.
     """
     return judged(docs, benchmark, id_col, text_col, item_col, item_text_col, window, gram).drop("hash")

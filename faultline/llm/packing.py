@@ -40,7 +40,10 @@ def encoder(ranks_file: str):
 
     with open(public_tokenizers.path(ranks_file), "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(ranks_file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=end_of_text())
+    made = tiktoken.Encoding(ranks_file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=end_of_text())
+    if made.n_vocab > 1 << 16:
+        raise ValueError("ids travel as 16-bit numbers; this vocabulary has more")
+    return made
 
 
 def encode(text: str, ranks_file: str) -> np.ndarray:
@@ -80,7 +83,8 @@ def pack(
     """(id, start, length, doc_tokens, sequence_id, offset, ids): one row for each piece.
 
     ids holds the piece as little-endian unsigned 32-bit numbers. A null or empty text is the end id alone; rows
-    that repeat an id are packed each on their own; an empty table gives no rows. Other columns are ignored.
+    that repeat an id are packed each on their own; an empty table gives no rows. A very long text is encoded whole by
+    the task that reads it, with two bytes for each of its ids. Other columns are ignored.
     """
     work = Workspace(docs.sparkSession, "packing")
     rows = work.table(encoded(docs, id_col, text_col, ranks_file), "encoded")

@@ -258,7 +258,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redac
     """(id, n_email, n_ip, n_card, n_phone, base, spans[, redacted]); base and spans are "kind:start:end,...".
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans. One row for each input row, also
-    where ids repeat or are null. Other columns are ignored. redacted is the text with each union of overlapping
+    where ids repeat or are null. A very long text is searched whole by one task, which holds its spans. Other columns are
+    ignored. redacted is the text with each union of overlapping
     spans replaced by its first kind in brackets.
     """
     trees = model()
