@@ -1,7 +1,10 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.functions import text
+from faultline.functions import rules, text
 from faultline.operators import clusters, report, verdicts
 
 SINGLE = [
@@ -21,6 +24,60 @@ def test_verdicts_without_model(spark):
         assert r.fix_suggestions == [r.recommended_action]
 
 
+def plain_reason(text):
+    """The failure reason of a text, line after line."""
+    err = told = failed = None
+    for line in map(str.strip, text.splitlines()):
+        low = line.lower()
+        if "stderr" in low and not err:
+            for pattern in rules.STDERR_REASONS:
+                if m := re.search(f"({pattern})", line, re.I):
+                    err = m[1].strip()[:300]
+                    break
+        if low.startswith("failure_reason:"):
+            told = line[15:].strip("' ")[:300]
+        if not failed and (m := re.match(r".*?(Command failed\s*(?:\(.*?\))?\s*(?:on \w+\s*)?with status \d+.*)", line, re.I)):
+            failed = m[1][:300]
+        if m := re.search(r"(No module named '[^']+')", line):
+            return m[1]
+        if "failed to fetch package version" in low or "error reimaging" in low:
+            return line[:300]
+        if m := re.search(r"(valgrind error:.*)", line, re.I):
+            return m[1][:300]
+    if err:
+        return f"{err} ({told[:100]})" if told else err
+    return told or failed
+
+
+def test_reasons_of_texts_of_many_lines(spark):
+    rng = random.Random(11)
+    pieces = [
+        "x.stderr: Error EINVAL: no", "stderr no such file or directory: /a", "  stderr: permission denied (x)  ", "STDERR Invalid command: y", "plain", "", "failure_reason: 'it broke '", "Failure_Reason:", "failure_reason: " + "z" * 400,
+        "Command failed on h1 with status 3: do", "a Command failed (workunit test x) on h with status 12", "COMMAND FAILED with status 1", "No module named ''", "   ", "Connection refused", "stderr ", "é stderr ImportError: é",
+    ]
+    decisive = ["ImportError: No module named 'a.b'", "Failed to fetch package version from x", " Error reimaging machines " + "w" * 400, "see VALGRIND error: leak"]
+    texts = ["\n".join(rng.choice(pieces if rng.random() < 0.95 else decisive) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    texts += ["\r\n".join(t.split("\n")) for t in texts[:50]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.r for r in df.select("i", verdicts.reason(F.col("t")).alias("r")).collect()}
+    assert got == {i: plain_reason(t) for i, t in enumerate(texts)}
+    assert sum(r is None for r in got.values()) > 20 and len(set(got.values())) > 20
+
+
+def test_every_noise_form(spark):
+    """One line for each alternative of the noise rule, as a search of its own tells, and lines that only come near."""
+    after = [
+        "10.0.0.1:0/123 >> x", "conn(0xab12f", "s=STATE_OPEN", "s=READY", "s=BANNER", "s=AUTH_X", "s=NONE", "s=CLOSED", "q.mark_down", "x.stop", "x.ready entity", "shutdown_connections", "wait complete", "Processor -- start", "start start",
+        "x.connect", "mon_subscribe", "mon_getmap", "mon_command", "==== mon_map", "==== config(1", "==== mgrmap", "==== osd_map", "_handle_peer_banner", "Inferring config",
+    ]
+    lines = [f"INFO:teuthology.orchestra.run.h1.stderr: 2024 {x}" for x in after] + [f"x {x} y" for x in after]
+    lines += ["journalctl@ceph.mon.a.b.stdout: x dispatch", "journalctl@ceph.mon.a.b.stdout: x dispatch.", "journalctl@ceph.mon.a.b.stdout: Reconfiguring q", "a gzip -5 --verbose b", "tar c -f - -C /x", "-- replaced with a.gz", "  12.5% -- replaced", "x 12.5% -- replaced"]
+    lines += [f"INFO:teuthology.orchestra.run.h1.stderr:{x}" for x in ("", "  ", "12+34 records in", "99 bytes copied", "x 99 bytes")] + ["real 1m2.3s", "sys\t0m0s", "user 1m2s."]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    got = {r.i for r in df.where(text.has(F.col("line"), rules.NOISE)).collect()}
+    assert got == {i for i, x in enumerate(lines) if re.search(rules.NOISE, x)} and len(after) <= len(got) <= len(after) + 12
+
+
 def test_types(spark):
     want = {
         "error einval": "test_bug", "CommandFailedError (workunit test x": "infra", "command failed (s3 x tests": "test_bug", "reimage of x failed": "infra", "sigabrt": "crash", "timed out": "timeout",
@@ -107,9 +164,6 @@ def test_a_large_family_costs_one_comparison_each(spark):
 def test_merge_against_comparing_all_heads(spark, monkeypatch, seed, crowd):
     """Random signatures in two runs, some with one set of tokens, some with none; with crowds taken by hubs and without."""
     monkeypatch.setattr(clusters, "CROWD", crowd)
-    import random
-    import re
-
     rng, rows = random.Random(seed), []
     for i in range(150):
         words = " ".join(rng.sample(["alpha", "beta", "gamma", "delta", "eps", "zeta"], rng.randrange(3, 7))) + f" {rng.choice(['one', 'two', '9'])} {i}" if i % 15 else f"{i} {i}"
