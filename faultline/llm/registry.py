@@ -29,6 +29,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def secrets_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3_secret_scan over documents, each third with a random-looking token of its own behind its text; the token's place is where added spans are."""
+    docs = table(spark, sf_dir, "documents")
+    token = F.base64(F.unhex(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256)))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" bearer "), F.substring(F.regexp_replace(token, "[^A-Za-z0-9]", "x"), 1, 40), F.lit(" end"))
+    rows = secrets.spans(docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, text).otherwise(F.col("text"))))
+    return rows.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.without_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
@@ -205,6 +214,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op3_secret_scan": op3_secret_scan,
+        "secrets_planted": secrets_planted,
         "op4_line_dedup": op4_line_dedup,
         "op5_packing": op5_packing,
         "op6_warc": op6_warc,

@@ -99,3 +99,25 @@ def test_many_matches_in_one_text(spark):
     text = "".join(f"{rng.randrange(1 << 70):018x}{rng.choice((' ', ' token: abcdefghijkl12 ', ' é '))}" for _ in range(9000))
     got = scan(spark, [text])[0]
     assert got.base == flat(brute(text)) and got.n_hex > 8000 and got.n_assign > 1000
+
+
+def test_planted_tokens_are_found(spark):
+    """Tokens of forty random letters and digits behind every third document: nearly all are added spans, and base spans stay."""
+    import base64
+    import re
+
+    root = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{root}/documents.parquet").collect()}
+    got, found, planted = {r.doc_id: r for r in registry.secrets_planted(spark, root).collect()}, 0, 0
+    for doc, text in texts.items():
+        if doc % 3 == 0:
+            token = re.sub("[^A-Za-z0-9]", "x", base64.b64encode(hashlib.sha256(str(doc).encode()).digest()).decode())[:40]
+            at = len(text) + len(" bearer ")
+            text += f" bearer {token} end"
+            base = [x for x in brute(text) if x[0] < at + 40 and x[2] > at]
+            planted += 1
+            found += any(x.startswith("entropy:") and at <= int(x.split(":")[1]) < at + 40 for x in got[doc].spans.split(",") if x) or bool(base)
+        assert got[doc].base_sha256 == hashlib.sha256(flat(brute(text)).encode()).hexdigest()
+    assert planted > 300 and found >= 0.97 * planted
+    plain = [r for r in got.values() if r.doc_id % 3]
+    assert sum("entropy" in r.spans for r in plain) <= 0.01 * len(plain)
