@@ -30,6 +30,7 @@ BANDS, ROWS = 16, 4
 CHUNK = 1 << 14
 PAIRS_A_SALT = 1_000
 CROWD = 16
+BROADCAST_IDS = 1_000_000
 CELLS = 1 << 16
 PARITIES = tuple(f"p{i}" for i in range(8))
 MASKS, ODD, MIX = (np.random.default_rng(s).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for s in (21, 22, 23))
@@ -63,34 +64,52 @@ def row_hash(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+def texts_of(part: pa.RecordBatch, column: int) -> list[bytes]:
+    return [x.as_buffer().to_pybytes() if x.is_valid and len(x.as_buffer() or b"") else b"" for x in part.column(column)]
+
+
+def node_names(found: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in found], dtype=np.uint64).view(np.int64)
+
+
 def sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, rid, node, n, fp, bands, grams) of each row; rid hashes id and text, node names the set of shingles."""
+    """(id, rid, node, n, fp, bands) of each row; rid hashes id and text, node names the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part = batch.slice(lo, 1024)
-                texts = [x.as_buffer().to_pybytes() if x.is_valid and len(x.as_buffer() or b"") else b"" for x in part.column(2)]
+                texts = texts_of(part, 2)
                 found = [grams(x, width) for x in texts]
-                node = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in found], dtype=np.uint64).view(np.int64)
                 fp = np.array([simhash.fingerprint(x, width) for x in texts], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(node), pa.array([len(g) for g in found], pa.int32()), pa.array(fp),
-                     pa.array([bands(g) for g in found], pa.list_(pa.int64())), pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))],
-                    names=["id", "rid", "node", "n", "fp", "bands", "grams"],
-                )
+                    [part.column(0), part.column(1), pa.array(node_names(found)), pa.array([len(g) for g in found], pa.int32()), pa.array(fp), pa.array([bands(g) for g in found], pa.list_(pa.int64()))],
+                    names=["id", "rid", "node", "n", "fp", "bands"],
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, rid long, node long, n int, fp long, bands array<long>, grams array<long>")
+    return rows.mapInArrow(run, "id long, rid long, node long, n int, fp long, bands array<long>")
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(node, n, grams) of the rows whose rid is in wanted: the shingles' hashes, 8 bytes each, of those sets that may meet another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                found = [grams(x, width) for x in texts_of(batch.slice(lo, 1024), 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(node_names(found)), pa.array([len(g) for g in found], pa.int32()), pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))], names=["node", "n", "grams"])
+
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted  # 8 bytes each
+    rows = docs.select(row_hash(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text")).join(few, "rid", "left_semi")
+    return rows.select("text").mapInArrow(run, "node long, n int, grams array<long>")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Those (a, b) whose sets reach the similarity; a node of many pairs is dealt to several tasks."""
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    held = rows.select("node", "grams").join(used, "node", "left_semi").dropDuplicates(["node"])
+def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Those (a, b) whose sets reach the similarity; held (node, n, grams) has each set once. A node of many pairs is dealt to several tasks."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_SALT).cast("int").alias("salts")).where("salts > 1")
     salts = F.coalesce("salts", F.lit(1))
-    left = held.select(F.col("node").alias("a"), F.col("grams").alias("ga")).join(many, "a", "left")
+    left = held.select(F.col("node").alias("a"), F.col("grams").alias("ga")).join(pairs.select("a").distinct(), "a", "left_semi").join(many, "a", "left")
     left = left.select("a", "ga", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
     both = dealt.join(held.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").join(left, ["a", "salt"])
@@ -173,33 +192,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # each round of components has a folder of its own; all go when the result is written
     work, *rounds = (Workspace(spark, "shingles") for _ in range(4))
     rows = work.table(sets(docs, id_col, text_col, width), "rows")
-    nodes = work.table(rows.where("n > 0").select("node", "n", "fp", "bands").dropDuplicates(["node"]), "nodes")
+    nodes = work.table(rows.where("n > 0").select("node", "n", "fp", "bands", "rid").dropDuplicates(["node"]), "nodes")
     golay = work.table(simhash.links(nodes.select("fp").distinct(), work), "golay")
     work.drop("keys")
     ends = golay.withColumn("key", F.xxhash64("src", "dst"))
     ends = ends.select("key", F.col("src").alias("fp")).union(ends.select("key", F.col("dst").alias("fp")))
     keys = nodes.select("node", "n", F.explode("bands").alias("key")).union(nodes.select("node", "n", F.xxhash64("fp").alias("key")))
     keys = work.table(keys.union(nodes.join(ends, "fp").select("node", "n", "key")).select("key", "node", "n"), "filed")
+    # only sets that stand beside another under some key are ever compared
+    met = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    wanted = nodes.select("node", "rid").join(keys.join(met, "key").select("node").distinct(), "node").select("rid")
+    wanted = work.table(wanted.distinct(), "wanted")
+    held = work.table(whole_sets(docs, wanted, id_col, text_col, width).dropDuplicates(["node"]), "held")
     seen = work.table(starred(keys, F.col("node"), similarity), "star")
-    links = work.table(verified(seen, rows, similarity), "first")
+    links = work.table(verified(seen, held, similarity), "first")
     members = work.table(still_open(keys, links, rounds[0]), "open")
     rest = paired(members.where(F.col("members") <= crowd), similarity)
     dense = work.table(members.where(F.col("members") > crowd).select("node").distinct(), "crowd")
     if dense.limit(1).count():
-        held = rows.select("node", "n", "grams").join(dense, "node", "left_semi").dropDuplicates(["node"])
-        rare = work.table(rarest(held, similarity), "rare")
+        rare = work.table(rarest(held.join(dense, "node", "left_semi"), similarity), "rare")
         # other hubs than before, and another one for each key
         more = work.table(starred(rare, F.xxhash64("key", "node"), similarity).join(seen, ["a", "b"], "left_anti"), "more")
-        links = work.table(links.union(verified(more, rows, similarity)), "second")
+        links = work.table(links.union(verified(more, held, similarity)), "second")
         rest = rest.union(paired(still_open(rare, links, rounds[1]), similarity, ranked=True)).distinct()
         seen = seen.union(more)
     rest = work.table(rest.join(seen, ["a", "b"], "left_anti"), "rest")
-    links = work.table(links.union(verified(rest, rows, similarity)), "links")
+    links = work.table(links.union(verified(rest, held, similarity)), "links")
     roots = connected_components(links, rounds[2], "a", "b")
-    named = rows.select("id", "rid", "node").join(roots, "node", "left").select("id", "rid", F.coalesce("root", "node").alias("root"))
-    named = work.table(named, "roots")
-    least = named.groupBy("root").agg(F.min("id").alias("component"))
-    out = Workspace(spark, "near").table(named.join(least, "root").select("id", "rid", "root", "component"), "components")
+    ended = rows.select("id", "rid", "node").join(roots, "node", "left").select("id", "rid", F.coalesce("root", "node").alias("root"))
+    ended = work.table(ended, "roots")
+    least = ended.groupBy("root").agg(F.min("id").alias("component"))
+    out = Workspace(spark, "near").table(ended.join(least, "root").select("id", "rid", "root", "component"), "components")
     for used in (work, *rounds):
         used.drop()
     return out
