@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions import rules, text
 from faultline.operators import clusters, condense, extract, report, triage, verdicts
 from faultline.operators.tables import Tables
+from faultline.plans.session import compiled
 from faultline.sources import logs, store
 
 MODEL, VERSION = "rules", "v1"
@@ -687,7 +688,7 @@ SELECT doc_id, coalesce(b.c, a.c) AS root_cause, CASE WHEN coalesce(b.c, a.c) IS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in Q.items()}
+    return {k: compiled(f) for k, (f, _) in Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:

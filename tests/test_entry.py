@@ -25,3 +25,10 @@ def test_query_equals_its_sql(spark, name):
     df = registry.queries()[name](spark, ROOT)
     assert sorted(df.columns) == columns
     assert sorted(str(list(r)) for r in df.select(columns).collect()) == want
+
+
+def test_log_queries_run_rules_compiled(spark):
+    """Of a session that was started with Spark's own limit, too, as the JVM leaves longer methods to its interpreter."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    registry.queries()["snapshot_cards"](spark, ROOT)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
