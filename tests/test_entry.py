@@ -32,3 +32,8 @@ def test_log_queries_run_rules_compiled(spark):
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
     registry.queries()["snapshot_cards"](spark, ROOT)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_union_of_runs_finds_the_jobs_once(spark):
+    df = registry.queries()["multi_run_union"](spark, ROOT)
+    assert df.count() > 1 and not any("events.parquet" in f for f in df.inputFiles())
