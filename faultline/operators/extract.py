@@ -203,7 +203,12 @@ def command_stderr(lines: DataFrame, back: int = 50) -> DataFrame:
     largest line number of their kind, so no line is walked.
     """
     lines = known(lines)
-    return stderr_texts(shown(lines, failure_spans(failures(lines), back)))
+    return stderr_texts(shown(remote(lines), failure_spans(failures(lines), back)))
+
+
+def remote(lines: DataFrame) -> DataFrame:
+    """The lines that stderr_texts() reads: all that it looks for stands behind "run."."""
+    return lines.where(F.col("line").contains("run."))
 
 
 def stderr_texts(near: DataFrame) -> DataFrame:
@@ -236,44 +241,46 @@ def stderr_texts(near: DataFrame) -> DataFrame:
     )
 
 
-def tail(lines: DataFrame, most: int) -> DataFrame:
-    """The last lines of each job, with n, its number of lines. Jobs' ends are counted before the exchange."""
-    ends = lines.groupBy(*keys(lines)).agg((F.max("line_no") + 1).alias("n"))
-    return lines.join(ends, keys(lines)).where(F.col("line_no") >= F.col("n") - most)
+def job_ends(lines: DataFrame) -> DataFrame:
+    """(job_id, n, told): each job's number of lines and its last failure_reason line, counted before the exchange."""
+    told = F.col("line").contains("failure_reason:") & strip(F.col("line")).startswith("failure_reason:")
+    return lines.groupBy(*keys(lines)).agg((F.max("line_no") + 1).alias("n"), F.max(F.when(told, F.col("line_no"))).alias("told"))
 
 
 def largest(rows: Column, test, field: str = "at") -> Column:
     return F.array_max(F.transform(F.filter(rows, test), lambda x: x[field]))
 
 
-def failure_reason(lines: DataFrame, most: int = 499) -> DataFrame:
+def failure_reason(lines: DataFrame, most: int = 499, ends: DataFrame | None = None) -> DataFrame:
     """(job_id, reason): the last failure_reason line of the final 499, with the indented lines that follow it.
 
-    A job gives its last 499 lines at most to one row, and that row is searched.
+    A job that has one gives the lines from there on to one row, 499 at most, and that row is searched. ends is
+    job_ends() where it is at hand.
     """
-    rows = tail(known(lines), most)
-    line = F.col("line")
+    lines = known(lines)
+    ends = job_ends(lines) if ends is None else ends
+    line, k = F.col("line"), keys(lines)
+    rows = lines.join(ends.where(F.col("told") >= F.col("n") - most).select(*k, F.col("told").alias("from")), k).where(F.col("line_no") >= F.col("from"))
     item = F.struct(F.col("line_no").alias("at"), strip(line).alias("text"), (line.startswith("  ") | line.startswith("\t")).alias("indented"))
-    rows = rows.groupBy(*keys(rows)).agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    rows = rows.withColumn("from", largest(F.col("xs"), lambda x: x["text"].startswith("failure_reason:"))).where("from is not null")
-    rows = rows.withColumn("xs", F.filter("xs", lambda x: x["at"] >= F.col("from")))
+    rows = rows.groupBy(*k, "from").agg(F.array_sort(F.collect_list(item)).alias("xs"))
     rows = rows.withColumn("stop", F.array_min(F.transform(F.filter("xs", lambda x: (x["at"] > F.col("from")) & ~x["indented"]), lambda x: x["at"])))
     kept = F.filter("xs", lambda x: F.col("stop").isNull() | (x["at"] < F.col("stop")))
     return rows.select(*keys(rows), F.array_join(F.transform(kept, lambda x: x["text"]), " ").alias("reason"))
 
 
-def tail_summary(lines: DataFrame) -> DataFrame:
+def tail_summary(lines: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(job_id, kind, start_line, end_line, text): the summary at a log's end.
 
     `data`: the run of key lines around the last one of the final 499 lines, down to the first other line within
     300; else `header`: from the last heading in the final 1,999 lines, 300 lines; else `tail`: the last 150 lines.
 
     A job gives its last 1,999 lines at most to one row, and that row is searched. Where a run of key lines begins
-    before them, the lines above are fetched besides.
+    before them, the lines above are fetched besides. ends (job_id, n), where given, are the jobs that are read.
     """
     lines = known(lines)
     k, line, text = keys(lines), F.col("line"), strip(F.col("line"))
-    rows = tail(lines, 1999).withColumns({"bare": text}).withColumn("data", has(F.col("bare"), rules.SUMMARY_DATA))
+    ends = (job_ends(lines) if ends is None else ends).select(*k, "n")
+    rows = lines.join(ends, k).where(F.col("line_no") >= F.col("n") - 1999).withColumns({"bare": text}).withColumn("data", has(F.col("bare"), rules.SUMMARY_DATA))
     breaks = (F.col("bare") != "") & ~F.col("bare").startswith("-") & ~F.col("data")
     item = F.struct(F.col("line_no").alias("at"), "line", "data", has(line, rules.SUMMARY_HEADER).alias("head"), breaks.alias("breaks"))
     rows = rows.groupBy(*k, "n").agg(F.array_sort(F.collect_list(item)).alias("xs"))
@@ -300,24 +307,27 @@ def tail_summary(lines: DataFrame) -> DataFrame:
     return more.select(*k, "kind", F.coalesce("begun", "start_line").alias("start_line"), "end_line", F.concat_ws("\n", "upper", "text").alias("text"))
 
 
-def trace_marks(lines: DataFrame) -> DataFrame:
+def trace_marks(lines: DataFrame, since: DataFrame | None = None) -> DataFrame:
     """(job_id, part, line_no, start, kind, follow): lines that start a trace or may end one, from a job's first start on.
 
     Whether a line ends a trace depends on itself and on the next line that isn't blank: `end` after an exception's
     line, `jump` where a chained trace follows at `follow`, `stop` before a flush-left line. Of marks in a row that
-    start nothing only the first can matter, and only that one is kept.
+    start nothing only the first can matter, and only that one is kept. since (job_id, since) are the jobs' first
+    starts where they are at hand.
     """
     k = keys(lines)
-    since = lines.where(has(F.col("line"), rules.TRACEBACK_START)).groupBy(*k).agg(F.min("line_no").alias("since"))
+    if since is None:
+        since = lines.where(has(F.col("line"), rules.TRACEBACK_START)).groupBy(*k).agg(F.min("line_no").alias("since"))
     rows = lines.join(since, k).where("line_no >= since").withColumn("bare", strip(F.col("line"))).where("bare <> ''")
     start, chain = has(F.col("line"), rules.TRACEBACK_START), has(F.col("bare"), rules.TRACEBACK_CHAIN)
     rows = rows.select(
         *k, stretch(F.col("line_no")).alias("part"), "line_no", start.alias("start"), has(F.col("bare"), rules.TRACEBACK_END).alias("final"),
         F.struct("line_no", (start | chain).alias("linked"), F.substring("line", 1, 1).isin(" ", "\t").alias("indented")).alias("own"), F.col("bare").rlike(r"^(File |\.\.\.)").alias("inner"),
     )
-    heads = rows.groupBy(*k, "part").agg(F.min("own").alias("head"))
-    heads = heads.select(*k, "part", F.lead("head").over(along(heads)).alias("later"))
-    rows = rows.withColumn("next", F.lead("own").over(inside(rows))).join(heads, [*k, "part"]).withColumn("next", F.coalesce("next", "later"))
+    # the first line of each later stretch, beside the stretch before it; jobs of one stretch have none
+    heads = rows.where(F.col("line_no") >= STRETCH).groupBy(*k, "part").agg(F.min("own").alias("later"))
+    heads = heads.withColumn("part", F.coalesce(F.lag("part").over(along(heads)), F.lit(0).cast("long")))
+    rows = rows.withColumn("next", F.lead("own").over(inside(rows))).join(heads, [*k, "part"], "left").withColumn("next", F.coalesce("next", "later"))
     linked = F.coalesce(F.col("next.linked"), F.lit(False))
     kind = F.when(F.col("inner"), None).when(F.col("final"), F.when(linked, "jump").otherwise("end"))
     kind = kind.when((F.col("next.line_no") == F.col("line_no") + 1) & ~F.col("next.indented") & ~linked, "stop")
