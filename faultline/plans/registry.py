@@ -331,7 +331,7 @@ def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, job_id, job_ord, status, log_text): the generated logs as those of two runs, both with job ids 0 to n; every 7th was not fetched."""
     number = F.col("job_ord")
-    rows = whole_logs(spark, sf_dir).select((number % 2).cast("string").alias("run_id"), F.floor(number / 2).cast("long").alias("job_ord"), "raw_log", (number % 7).alias("m"))
+    rows = written(whole_logs(spark, sf_dir), "logs").select((number % 2).cast("string").alias("run_id"), F.floor(number / 2).cast("long").alias("job_ord"), "raw_log", (number % 7).alias("m"))
     return rows.select("run_id", F.col("job_ord").cast("string").alias("job_id"), "job_ord", F.when(F.col("m") > 0, "ok").otherwise("fetch_failed").alias("status"), F.when(F.col("m") > 0, F.col("raw_log")).alias("log_text"))
 
 

@@ -37,3 +37,12 @@ def test_log_queries_run_rules_compiled(spark):
 def test_union_of_runs_finds_the_jobs_once(spark):
     df = registry.queries()["multi_run_union"](spark, ROOT)
     assert df.count() > 1 and not any("events.parquet" in f for f in df.inputFiles())
+
+
+def test_verdicts_of_runs_read_written_logs(spark, monkeypatch):
+    """Logs are read for their lines, sizes, states and fallbacks, so they are made once."""
+    given = []
+    monkeypatch.setattr(registry.triage, "triage", lambda logs: given.append(logs) or registry.triage.Triage(None, None, None, spark.range(1).selectExpr(*(f"id AS {c}" for c in "run_id job_id cluster_id severity failure_type root_cause confidence fallback".split())), None, {}))
+    registry.queries()["run_verdicts"](spark, ROOT)
+    files = given[0].inputFiles()
+    assert files and not any("events.parquet" in f for f in files)
