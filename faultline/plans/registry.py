@@ -596,7 +596,7 @@ CASE WHEN f < 3 THEN 0.7 ELSE 0.65 END::DOUBLE AS confidence, CASE WHEN f < 3 TH
         "SELECT event_id, event_id % 3 < 2 AS ungrounded FROM events",
     ),
     "parse_stats": (
-        lambda s, d: condense.parse_stats(condense.parsed(whole_logs(s, d))).drop("condensed_chars"),
+        lambda s, d: condense.parse_stats(condense.parsed(written(whole_logs(s, d), "logs"))).drop("condensed_chars"),
         f"""WITH RECURSIVE {TRACES}, hits AS (SELECT * FROM lines WHERE {matches('line', rules.ERROR_WORD)} AND NOT {matches('line', rules.NOISE)}), {islands_sql("hits", 5, 5, 1)},
 bl AS (SELECT sp.job_id, start_line, string_agg(line, chr(10) ORDER BY line_no) AS text FROM sp JOIN lines ON sp.job_id = lines.job_id AND line_no BETWEEN start_line AND end_line GROUP BY 1, 2),
 bn AS (SELECT job_id, count(DISTINCT {fingerprint_sql("text")}) AS error_blocks FROM bl GROUP BY 1), tn AS (SELECT job_id, count(DISTINCT tr) AS tracebacks FROM tb GROUP BY 1),

@@ -46,3 +46,8 @@ def test_verdicts_of_runs_read_written_logs(spark, monkeypatch):
     registry.queries()["run_verdicts"](spark, ROOT)
     files = given[0].inputFiles()
     assert files and not any("events.parquet" in f for f in files)
+
+
+def test_parsed_logs_are_made_once(spark):
+    """Their sizes are read from the written logs, not from the events again."""
+    assert not any("events.parquet" in f for f in registry.queries()["parse_stats"](spark, ROOT).inputFiles())
