@@ -42,7 +42,12 @@ TEMPLATES = (
 
 
 def generated_lines(events: DataFrame) -> DataFrame:
-    """(job_id, line_no, line): a log for each user of the events table, by a join with line templates."""
+    """(job_id, line_no, line): a log for each user of the events table, by a join with line templates.
+
+    Events are dealt by user first, for the numbers along a log and for the rules after them: these cost far more than reading,
+    and where no number is asked for, a file of few large row groups would otherwise be as few tasks.
+    """
+    events = events.hint("rebalance", "user_id")
     templates = events.sparkSession.createDataFrame(TEMPLATES, "et string, km int, seq int, tmpl string")
     keyed = events.withColumn("kk", F.regexp_extract("props", "([0-9]+)", 1))
     keyed = keyed.withColumn("mod", F.when(F.col("event_type") == "error", F.col("kk").cast("int") % 18).otherwise(0))

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from faultline.plans import registry
@@ -51,3 +52,20 @@ def test_verdicts_of_runs_read_written_logs(spark, monkeypatch):
 def test_parsed_logs_are_made_once(spark):
     """Their sizes are read from the written logs, not from the events again."""
     assert not any("events.parquet" in f for f in registry.queries()["parse_stats"](spark, ROOT).inputFiles())
+
+
+def test_rules_on_generated_lines_are_many_tasks(spark, tmp_path):
+    """Of events in one row group, too, where no line number is asked for; and where one is, its exchange is the only one."""
+    spark.read.parquet(f"{ROOT}/events.parquet").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    size = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1b")
+    try:
+        found = registry.extract.signals(registry.lines(spark, str(tmp_path)))
+        assert found.select(F.spark_partition_id().alias("part")).distinct().count() > 1
+        numbered = registry.lines(spark, str(tmp_path))
+        numbered.collect()
+        plan = numbered._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set(size, before)
